@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.llm.mixing import taken_words
+from terravane.llm.repeats import remove_repeats
 from terravane.llm.sharding import shard_ring
 
 
@@ -35,10 +36,17 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_phrase_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that 200-byte strings found elsewhere cover."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, length=200, keep=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ring_sharding": op2_ring_sharding,
         "op4_source_mix": op4_source_mix,
+        "op8_phrase_parsing": op8_phrase_parsing,
     }
 
 
