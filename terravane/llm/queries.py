@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.llm.mixing import taken_words
+from terravane.llm.neardup import near_duplicates
 from terravane.llm.repeats import remove_repeats
 from terravane.llm.sharding import shard_ring
 
@@ -30,6 +31,12 @@ def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard", "hops")
 
 
+def op3_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents over 2-word shingles at a similarity of 0.8."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, words=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source with weights 5, 2, 1 and at most three passes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -45,6 +52,7 @@ def op8_phrase_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ring_sharding": op2_ring_sharding,
+        "op3_minhash_hamming": op3_minhash_hamming,
         "op4_source_mix": op4_source_mix,
         "op8_phrase_parsing": op8_phrase_parsing,
     }
