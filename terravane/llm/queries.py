@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terravane.llm.embeddups import near_duplicate_vectors
 from terravane.llm.mixing import taken_words
 from terravane.llm.neardup import near_duplicates
 from terravane.llm.repeats import remove_repeats
@@ -43,6 +44,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors within each label at a cosine of 0.93."""
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op8_phrase_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes that 200-byte strings found elsewhere cover."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ring_sharding": op2_ring_sharding,
         "op3_minhash_hamming": op3_minhash_hamming,
         "op4_source_mix": op4_source_mix,
+        "op7_collision_counting": op7_collision_counting,
         "op8_phrase_parsing": op8_phrase_parsing,
     }
 
