@@ -60,8 +60,8 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index, step)
 
 
-def streams(docs: DataFrame, text: str, key: str, source: str, start: str, size: str) -> DataFrame:
-    """Adds each row's word count and where its words start in its source's token stream.
+def streams(docs: DataFrame, text: str, key: str, source: str, start: str, size: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their word count and where their words start in their source's token stream; source sizes.
 
     The stream's order is pseudorandom in (key, text).  A prefix sum over bins keeps any source,
     however large, out of a single task.
@@ -69,13 +69,15 @@ def streams(docs: DataFrame, text: str, key: str, source: str, start: str, size:
     bin_ = fresh(docs, "_bin")
     base = docs.withColumn(size, word_count(F.col(text)))
     base = base.withColumn(start, F.xxhash64(key, text)).withColumn(bin_, F.pmod(start, F.lit(BINS)))
-    totals = base.groupBy(source, bin_).agg(F.sum(size).alias("n"))
-    before = Window.partitionBy(source).orderBy(bin_).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col(source).alias("s"), F.col(bin_).alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy(source, bin_).orderBy(start, key, size).rowsBetween(Window.unboundedPreceding, -1)
-    joined = base.withColumn(start, F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    joined = joined.join(offsets, F.col(source).eqNullSafe(F.col("s")) & (F.col(bin_) == F.col("b")))
-    return joined.withColumn(start, F.col(start) + F.col("offset")).drop("s", "b", "offset", bin_)
+    ranked = base.withColumn(start, F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    # Totals come from the ranked rows, so that Spark can use their exchange again and reads the texts once.
+    totals = ranked.groupBy(F.col(source).alias("s"), F.col(bin_).alias("b")).agg(F.max(F.col(start) + F.col(size)).alias("n"))
+    before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    joined = ranked.join(offsets, F.col(source).eqNullSafe(F.col("s")) & F.col(bin_).eqNullSafe(F.col("b")))
+    sizes = totals.groupBy(F.col("s").alias("source")).agg(F.sum("n").alias("source_size"))
+    return joined.withColumn(start, F.col(start) + F.col("offset")).drop("s", "b", "offset", bin_), sizes
 
 
 def draws(plan: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
@@ -97,7 +99,8 @@ def draws(plan: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame
     plan = plan.withColumn("total", F.sum("draws").over(whole)).withColumn("low", F.col("high") - F.col("draws"))
     # Slots come from each source's own range of the permutation, a row for every thousand first.
     slots = plan.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / 1000)))).filter("draws > 0")
-    slots = slots.repartition(F.xxhash64("source", "part"))
+    # The rows are few bytes each but long to compute, so their number of partitions is not left to their size.
+    slots = slots.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("source", "part"))
     slots = slots.withColumn("i", F.explode(F.sequence(F.col("part") * 1000, F.least(F.col("part") * 1000 + 999, F.col("draws") - 1))))
     slots = slots.withColumn("slot", permuted(F.col("low") + F.col("i"), F.col("total"), F.lit(seed), F.lit("slot")))
     slots = slots.withColumn("block", permuted(F.col("i") % F.col("n"), F.col("n"), F.lit(seed), F.col("source"), F.floor(F.col("i") / F.col("n"))))
@@ -114,8 +117,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     A source without words gets target 0.  Rows with equal key and text are interchangeable.
     """
     size, start = fresh(docs, "size"), fresh(docs, "start")
-    placed = streams(docs, text, key, source, start, size)
-    sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(word_count(F.col(text))).alias("source_size"))
+    placed, sizes = streams(docs, text, key, source, start, size)
     plan = targets(sizes, weights, cap)
     slots = draws(plan, block, shard_slots, seed)
     times = slots.groupBy("source", "block").agg(F.count("*").alias("times"))
@@ -123,7 +125,8 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     spans = placed.filter(F.col(size) > 0).select(F.col(source).alias("source"), F.col(start).alias("start"), F.col(size).alias("size"))
     spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     same = spans["source"].eqNullSafe(times["source"]) & (spans["block"] == times["block"])
-    picks = spans.join(times, same).select(
+    # Their sizes are known too late for Spark: it takes what explode makes of a few rows for small.
+    picks = spans.join(times.hint("merge"), same).select(
         spans["source"],
         "start",
         F.greatest(spans["block"] * block - F.col("start"), F.lit(0)).alias("first"),
