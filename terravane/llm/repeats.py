@@ -33,101 +33,93 @@ from terravane.llm.common import drop_stages, dropping_shuffles, fresh, shared_f
 LEVELS = (0.16, 0.75, 1.0)
 
 
-def runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of a byte array: least hash, phrase hash, first start, last start, whether it may repeat itself."""
-    empty = np.zeros(0, dtype=np.int64)
-    if len(data) < length:
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty.astype(bool)
+def runs(data: np.ndarray, borders: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of the texts between the borders of a byte array.
+
+    Returns for each run its text, least hash, phrase hash, first and last start (within its
+    text), and whether it may repeat itself.
+    """
+    begin, end = borders[:-1], borders[1:]
+    long = np.flatnonzero(end - begin >= length)
+    strings = (end - begin)[long] - length + 1
+    total = int(strings.sum())
+    # Starts of the strings that lie within one text.
+    start = np.arange(total) + np.repeat(begin[long] - np.concatenate([[0], np.cumsum(strings)[:-1]]), strings) if total else np.zeros(0, dtype=np.int64)
+    if not total:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none.astype(np.uint64), none.astype(np.uint64), none, none, none.astype(bool)
     p = rolling.prefix(data)
     h = rolling.windows(p, gram)
-    least = rolling.sliding_min(h, length - gram + 1)
-    new = np.flatnonzero(least[1:] != least[:-1]) + 1
-    first = np.concatenate([np.zeros(1, dtype=np.int64), new])
-    last = np.concatenate([new, np.array([len(least)])]) - 1
+    least = rolling.sliding_min(h, length - gram + 1)[start]
+    new = np.ones(total, dtype=bool)
+    new[1:] = least[1:] != least[:-1]
+    new[np.concatenate([[0], np.cumsum(strings)[:-1]])] = True
+    at = np.flatnonzero(new)
+    first, last = start[at], start[np.concatenate([at[1:], [total]]) - 1]
     phrase = rolling.slices(p, first, last + length)
     # A run's string that begins with the least gram, and is not the run's last, proves a second occurrence.
-    twice = np.flatnonzero((h[: len(least) - 1] == least[:-1]) & (least[1:] == least[:-1]))
-    again = np.zeros(len(first), dtype=bool)
-    again[np.searchsorted(first, twice, side="right") - 1] = True
-    return least[first], phrase, first, last, again
-
-
-def _columns(schema: pa.Schema, parts: list[tuple]) -> pa.RecordBatch:
-    arrays = [np.concatenate(c) if isinstance(c[0], np.ndarray) else c for c in zip(*parts, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64) if getattr(a, "dtype", None) == np.uint64 else a, type=f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
+    twice = np.flatnonzero(~new[1:] & (h[start[:-1]] == least[:-1]))
+    again = np.zeros(len(at), dtype=bool)
+    again[np.searchsorted(at, twice, side="right") - 1] = True
+    text = np.searchsorted(begin, first, side="right") - 1
+    # Empty texts share their border with the next one, which is the last of them.
+    return text, least[at], phrase, first - begin[text], last - begin[text], again
 
 
 _RUNS = pa.schema([("gram", pa.int64()), ("phrase", pa.int64()), ("doc", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("again", pa.bool_())])
 _RUNS_DDL = "gram long, phrase long, doc long, at int, first int, last int, again boolean"
 
 
-def _find_runs(length: int, gram: int, unit: str):
-    """Maps (doc, at, context, bytes) to its runs; ``first`` and ``last`` are relative to the document.
-
-    Memory follows the longest text, as rows go out every few megabytes.
-    """
+def _find_runs(length: int, gram: int):
+    """Maps (doc, at, context, bytes) to its runs; ``first`` and ``last`` are relative to the document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, rows = [], 0
         for batch in batches:
-            docs, ats, contexts = (batch.column(c).to_pylist() for c in ("doc", "at", "context"))
-            for doc, at, context, value in zip(docs, ats, contexts, batch.column(unit), strict=True):
-                data = np.frombuffer(value.as_buffer() or b"", dtype=np.uint8)
-                grams, phrases, first, last, again = runs(data, length, gram)
-                n = len(grams)
-                if not n:
-                    continue
-                if context is not None:
-                    grams = rolling.mix(grams ^ np.uint64(context % (1 << 64)))
-                parts.append((grams, phrases, np.full(n, doc), np.full(n, at, dtype=np.int32), (first + at).astype(np.int32), (last + at).astype(np.int32), again))
-                rows += n
-                if rows > 50_000:
-                    yield _columns(_RUNS, parts)
-                    parts, rows = [], 0
-        if parts:
-            yield _columns(_RUNS, parts)
+            docs, ats = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "at"))
+            contexts = batch.column("context").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for row, data, borders in rolling.chunks(batch.column("bytes")):
+                text, grams, phrases, first, last, again = runs(data, borders, length, gram)
+                text = text + row
+                grams, at = rolling.mix(grams ^ contexts[text]), ats[text]
+                made = (grams.view(np.int64), phrases.view(np.int64), docs[text], at, first + at, last + at, again)
+                yield pa.RecordBatch.from_arrays([pa.array(a).cast(f.type) for a, f in zip(made, _RUNS, strict=True)], schema=_RUNS)
 
     return work
 
 
-def _shared(found: DataFrame) -> DataFrame:
-    """The runs whose hash occurs twice, with the facts of the hash: many phrases?, and how often each phrase.
-
-    Counts are pre-aggregated before each shuffle; a hash that very many runs share is one row
-    on one side of the join, whose other side Spark may split.
-    """
-    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("phrase").alias("p"), F.max("phrase").alias("q"), F.max("again").alias("self"))
-    grams = grams.filter("n > 1 or self").select("gram", (F.col("p") != F.col("q")).alias("varied"), "self")
-    return found.join(grams, "gram")
-
-
 def repeated_ranges(docs: DataFrame, length: int, folder: str) -> DataFrame:
     """Starts of repeated strings, as ``(doc, first, last)`` ranges, of ``(doc, bytes)`` rows.
 
-    ``doc`` is a hash of the bytes, so rows with equal bytes share their ranges.
+    ``doc`` is a hash of the bytes, so rows with equal bytes share their ranges.  Counts are
+    pre-aggregated before each shuffle; a hash that very many runs share is one row on one side
+    of a join, whose other side Spark may split.
     """
-    source, ranges, unit = docs.select("doc", F.lit(0).alias("at"), F.lit(None).cast("long").alias("context"), "bytes"), [], "bytes"
+    source, ranges = docs.select("doc", F.lit(0).alias("at"), F.lit(0).cast("long").alias("context"), "bytes"), []
     for level, part in enumerate(LEVELS):
         gram = max(1, min(length, round(length * part)))
-        found = source.mapInArrow(_find_runs(length, gram, unit), _RUNS_DDL)
-        kept = write_stage(_shared(found), folder, f"runs-{level}")
-        phrases = kept.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at", "first", "last")).alias("one"), F.max("varied").alias("varied"), F.max("self").alias("self"))
-        phrases = write_stage(phrases, folder, f"phrases-{level}")
-        full = phrases.filter("n > 1").select("gram", "phrase")
-        ranges.append(kept.join(full, ["gram", "phrase"], "left_semi").select("doc", "first", "last"))
+        found = source.mapInArrow(_find_runs(length, gram), _RUNS_DDL)
         if gram == length:
+            # Each run is a single string, so its hash says all.
+            twice = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+            ranges.append(found.select("gram", "doc", "first", "last").join(twice, "gram").select("doc", "first", "last"))
             break
-        # Copies of a phrase behave alike; its first occurrence stands for all.  Level by level the phrases get
-        # shorter and are cut out of the ones before.
-        open_ = phrases.filter("varied or self").select("one.*", "gram")
-        wanted = open_.groupBy("doc", "at").agg(F.collect_list(F.struct("first", "last", "gram")).alias("wanted"))
+        grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("phrase").alias("p"), F.max("phrase").alias("q"), F.max("again").alias("self"))
+        grams = grams.filter("n > 1 or self").select("gram", (F.expr("p <> q") | F.col("self")).alias("open"))
+        kept = write_stage(found.drop("again").join(grams, "gram").withColumn("pick", F.xxhash64("doc", "at", "first")), folder, f"runs-{level}")
+        # Copies of a phrase behave alike; one occurrence stands for all on the next level.
+        phrases = kept.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min("pick").alias("picked"))
+        marked = write_stage(kept.join(phrases, ["gram", "phrase"]).filter("n > 1 or open"), folder, f"marked-{level}")
+        ranges.append(marked.filter("n > 1").select("doc", "first", "last"))
+        stand = marked.filter("open and pick = picked").dropDuplicates(["gram", "phrase", "pick"])
+        wanted = stand.groupBy("doc", "at").agg(F.collect_list(F.struct("first", "last", "gram")).alias("wanted"))
         texts = source.select("doc", "at", "bytes").join(wanted.hint("shuffle_hash"), ["doc", "at"])
-        if level == 0:
-            # Rows with equal bytes are one text here.
-            texts = texts.groupBy("doc", "at").agg(F.first("wanted").alias("wanted"), F.first("bytes").alias("bytes"))
         texts = texts.select("doc", "at", "bytes", F.explode("wanted").alias("w"))
         cut = F.substring(F.col("bytes"), F.col("w.first") - F.col("at") + 1, F.col("w.last") - F.col("w.first") + length)
-        source = write_stage(texts.select("doc", F.col("w.first").alias("at"), F.col("w.gram").alias("context"), cut.alias("bytes")), folder, f"texts-{level}")
+        texts = texts.select("doc", F.col("w.first").alias("at"), F.col("w.gram").alias("context"), cut.alias("bytes"))
+        if level == 0:
+            # Rows with equal bytes have given their phrases once each.
+            texts = texts.dropDuplicates(["doc", "at", "context"])
+        source = write_stage(texts, folder, f"texts-{level}")
     out = ranges[0]
     for more in ranges[1:]:
         out = out.union(more)
@@ -190,7 +182,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, keep:
     encoded = F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))
     ranges = repeated_ranges(docs.select(F.xxhash64(encoded).alias("doc"), encoded.alias("bytes")).filter(F.octet_length("bytes") >= length), length, folder)
     lists = write_stage(ranges.groupBy("doc").agg(F.collect_list("first").alias("_firsts"), F.collect_list("last").alias("_lasts")), folder, "ranges")
-    drop_stages(spark, folder, *[f"{s}-{k}" for s in ("runs", "phrases", "texts") for k in range(len(LEVELS))])
+    drop_stages(spark, folder, *[f"{s}-{k}" for s in ("runs", "marked", "texts") for k in range(len(LEVELS))])
 
     doc = fresh(docs, "_doc")
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], encoded.alias("_bytes"), F.xxhash64(encoded).alias(doc))

@@ -7,7 +7,10 @@ All arithmetic is modulo 2**64 on numpy unsigned integers.  A prefix hash
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -72,3 +75,19 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
         step *= 2
     rest = width - step
     return np.minimum(h[:-rest], h[rest:]) if rest else h
+
+
+def chunks(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Neighbouring values of a binary column, about ``size`` bytes at a time and without copies.
+
+    Yields the number of the first value, their bytes one after the other, and len + 1 borders.
+    """
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, dtype=wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    row = 0
+    while row < len(column):
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + size, side="right")) - 1)
+        yield row, data[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row]
+        row = stop
