@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -61,6 +62,11 @@ def literal_table(spark: SparkSession, schema: str, rows: Sequence[dict]) -> Dat
     return spark.range(1).select(F.explode(parsed).alias("r")).select("r.*")
 
 
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """A schema with further fields."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table does not have yet, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -1,30 +1,36 @@
 """MinHash near-duplicates by a multi-index Hamming join, confirmed on full shingle sets.
 
-A document's signature has ``SYMBOLS`` symbols of 16 bits, each the hash of its least shingle
-under one of as many permutations: two signatures agree in a symbol with the probability of the
-sets' Jaccard similarity.  Their Hamming distance counts the symbols that differ.
+A document's signature has ``SYMBOLS`` symbols of 11 bits, each the hash of its least shingle
+under one of as many permutations: two signatures agree in a symbol with about the probability of
+the sets' Jaccard similarity.  Their Hamming distance counts the symbols that differ.
 
 The signature is split into chunks of ``CHUNK`` symbols.  Two signatures at a distance of at most
 ``RADIUS`` differ in at most one symbol of some chunk, because RADIUS < 2 * SYMBOLS / CHUNK
 (pigeonhole).  Enumerating the allowed error of a chunk means leaving out each of its symbols in
-turn, so all pairs within the radius meet in one of SYMBOLS keys.  At a similarity of 0.8 the
-distance is binomial with mean 9.6 of 48, and exceeds 23 about 3 times in a million.
+turn, so all pairs within the radius meet in one of SYMBOLS keys.  Pairs that meet are candidates
+up to the distance ``LIMIT``: at a similarity of 0.8 the distance is binomial with mean 12 of 60,
+and exceeds it about once in a million; such a pair fails to meet about once in ten million.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.llm import rolling
-from terravane.llm.common import components, drop_stages, fresh, shared_folder, write_stage
+from terravane.llm.common import components, drop_stages, fresh, shared_folder, with_fields, write_stage
 
-SYMBOLS, CHUNK = 48, 4
-RADIUS = 2 * (SYMBOLS // CHUNK) - 1
+SYMBOLS, CHUNK = 60, 5
+CHUNKS = SYMBOLS // CHUNK
+RADIUS, LIMIT = 2 * CHUNKS - 1, 28
+#: A chunk is a 64-bit number with a symbol of 11 bits in each lane of 12.
+LANE, SYMBOL = 12, (1 << 11) - 1
+_LOW, _HIGH = (sum(x << LANE * j for j in range(CHUNK)) for x in (SYMBOL, SYMBOL + 1))
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _XOR = _rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32)
@@ -55,33 +61,33 @@ def shingles(data: np.ndarray, n: int) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The 16-bit symbols of a set of at least one hash."""
+    """The chunks of the signature of a set of at least one hash."""
     low = (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.full(SYMBOLS, np.iinfo(np.uint32).max, dtype=np.uint32)
     for i in range(0, len(low), 2048):
         part = low[i : i + 2048, None] ^ _XOR
         part *= _MUL
         np.minimum(least, part.min(axis=0), out=least)
-    mixed = rolling.mix(least.astype(np.uint64))
-    return (mixed & np.uint64(0xFFFF)).astype(np.uint16)
+    symbols = rolling.mix(least.astype(np.uint64)) & np.uint64(SYMBOL)
+    return (symbols.reshape(CHUNKS, CHUNK) << (np.arange(CHUNK, dtype=np.uint64) * np.uint64(LANE))).sum(axis=1, dtype=np.uint64)
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """For each signature of (m, SYMBOLS), its SYMBOLS keys: each chunk without each of its symbols."""
-    m = len(sig)
-    chunks = sig.reshape(m, SYMBOLS // CHUNK, CHUNK).astype(np.uint64)
-    out = np.empty((m, SYMBOLS // CHUNK, CHUNK), dtype=np.uint64)
+    """For signatures of (m, CHUNKS), their (m, SYMBOLS) keys: each chunk without each of its symbols."""
+    out = np.empty((*sig.shape, CHUNK), dtype=np.uint64)
     for left in range(CHUNK):
-        key = np.zeros(chunks.shape[:2], dtype=np.uint64)
-        for j in range(CHUNK):
-            if j != left:
-                key = (key << np.uint64(16)) | chunks[:, :, j]
-        out[:, :, left] = key
-    place = np.arange(SYMBOLS, dtype=np.uint64) << np.uint64(48)
-    return rolling.mix(out.reshape(m, SYMBOLS) | place)
+        out[:, :, left] = sig & np.uint64(_LOW ^ (SYMBOL << LANE * left))
+    place = np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(rolling.BASE)
+    return rolling.mix(out.reshape(len(sig), SYMBOLS) + place)
 
 
-_SETS = "n_shingles long, node long, sig binary"
+def distance(x: str, y: str) -> Column:
+    """Hamming distance of two signatures: a lane of the difference is filled up beyond its symbol if not 0."""
+    parts = [F.bit_count((F.col(x)[c].bitwiseXOR(F.col(y)[c]) + F.lit(_LOW)).bitwiseAND(F.lit(_HIGH))) for c in range(CHUNKS)]
+    return reduce(lambda p, q: p + q, parts)
+
+
+_SETS = "n_shingles long, node long, sig array<long>"
 
 
 def _fingerprints(n: int, schema: pa.Schema):
@@ -93,7 +99,7 @@ def _fingerprints(n: int, schema: pa.Schema):
                 counts.append(len(found))
                 if len(found):
                     nodes.append(int(rolling.mix(np.bitwise_xor.reduce(rolling.mix(found + np.uint64(1)), keepdims=True) + np.uint64(len(found))).view(np.int64)[0]))
-                    sigs.append(signature(found).tobytes())
+                    sigs.append(signature(found).view(np.int64))
                 else:
                     nodes.append(None)
                     sigs.append(None)
@@ -107,7 +113,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 2000):
             part = batch.slice(i, 2000)
-            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
+            sig = part.column("sig").flatten().to_numpy().view(np.uint64).reshape(-1, CHUNKS)
             if len(sig):
                 node = np.repeat(part.column("node").to_numpy(zero_copy_only=False), SYMBOLS)
                 yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sig).ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
@@ -139,11 +145,6 @@ def _links(percent: int):
     return work
 
 
-def distance(x: str, y: str):
-    """Hamming distance of two signatures, held as arrays of 16-bit symbols."""
-    return F.size(F.filter(F.arrays_zip(F.col(x).alias("x"), F.col(y).alias("y")), lambda p: p["x"] != p["y"]))
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
     """Adds ``n_shingles``, ``component_id`` and ``kept`` to every row.
 
@@ -160,9 +161,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     folder = shared_folder(spark)
     encoded = F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(encoded).alias("th"), encoded.alias("_bytes"))
-    types = rows.drop("_bytes").schema
-    for column in _SETS.split(", "):
-        types = types.add(*column.split())
+    types = with_fields(rows.drop("_bytes").schema, _SETS)
     prints = write_stage(rows.mapInArrow(_fingerprints(words, to_arrow_schema(types)), types), folder, "prints")
     nodes = prints.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("one"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     nodes = write_stage(nodes.select("node", "one.id", "one.th", "n", "sig"), folder, "nodes")
@@ -182,11 +181,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     inside = met.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", "node").alias("main")).filter("lo <> hi").select("key", "main")
     inside = write_stage(inside.join(mixed, "key"), folder, "inside")
-    lesser = inside.filter("component <> main").select("key", F.col("node").alias("x"), F.col("component").alias("cx"), "main")
-    other = inside.select("key", F.col("node").alias("y"), F.col("component").alias("cy"))
-    pairs = lesser.join(other, "key").filter("cx <> cy and (cy = main or x < y)")
+    inside = inside.join(nodes.select("node", "n", "sig"), "node")
+    lesser = inside.filter("component <> main").select("key", F.col("node").alias("x"), F.col("component").alias("cx"), "main", F.col("n").alias("na"), F.col("sig").alias("sa"))
+    other = inside.select("key", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    # The distance is part of the join's condition: pairs beyond the limit are never made.
+    apart = F.expr("cx <> cy and (cy = main or x < y)") & _may_link(percent)
+    pairs = lesser.withColumnRenamed("key", "k").join(other, (F.col("k") == F.col("key")) & apart)
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _confirmed(_plausible(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti"), nodes, percent), sets_of, rows, words, percent, folder, "rest")
+    more = _confirmed(pairs.join(stars, ["a", "b"], "left_anti"), sets_of, rows, words, percent, folder, "rest")
     merged = components(links.union(more), folder, "last")
 
     labels = nodes.select("node", "id").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -204,14 +206,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id"))).drop(id_, th)
 
 
+def _may_link(percent: int) -> Column:
+    """Whether the sizes and signatures of ``a`` and ``b`` allow the similarity."""
+    sizes = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
+    return sizes & (distance("sa", "sb") <= LIMIT)
+
+
 def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs within the radius whose set sizes allow the similarity."""
-    symbols = F.transform(F.sequence(F.lit(0), F.lit(SYMBOLS - 1)), lambda i: F.substring("sig", 2 * i + 1, F.lit(2)))
-    side = nodes.select("node", "n", symbols.alias("s"))
+    """The pairs whose sizes and signatures allow the similarity."""
     for name in ("a", "b"):
-        pairs = pairs.join(side.withColumnsRenamed({"node": name, "n": f"n{name}", "s": f"s{name}"}), name)
-    sizes = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
-    return pairs.filter(sizes & (distance("sa", "sb") <= RADIUS)).select("a", "b")
+        pairs = pairs.join(nodes.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("sig").alias(f"s{name}")), name)
+    return pairs.filter(_may_link(percent)).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets_of: DataFrame, rows: DataFrame, words: int, percent: int, folder: str, name: str) -> DataFrame:
