@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import fresh
+from terravane.llm.common import fresh, with_fields
 
 SPACE = "▁"
 MEMORY_WORDS, MEMORY_PAIRS = 300_000, 500_000
@@ -237,9 +237,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", keep: list[str]
         model = docs.sparkSession.sparkContext.broadcast(file.read())
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     shown = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(fresh(docs, "_text")))
-    schema = shown.select(*[F.col(f"`{c}`") for c in keep]).schema
-    for column in ("ids array<int>", "n_ids long", "n_fallback long", "round_trip boolean"):
-        schema = schema.add(*column.split())
+    schema = with_fields(shown.select(*[F.col(f"`{c}`") for c in keep]).schema, "ids array<int>, n_ids long, n_fallback long, round_trip boolean")
     return shown.mapInArrow(_encode(model_file, model, to_arrow_schema(schema)), schema)
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.llm.embeddups import near_duplicate_vectors
+from terravane.llm.langid import identify
 from terravane.llm.mixing import taken_words
 from terravane.llm.neardup import near_duplicates
+from terravane.llm.pieces import encode
 from terravane.llm.repeats import remove_repeats
 from terravane.llm.sharding import shard_ring
 
@@ -55,6 +57,22 @@ def op8_phrase_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, length=200, keep=["doc_id"])
 
 
+def op9_piece_transducer(spark: SparkSession, sf_dir: str, model_file: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
+    """The piece ids of every whole document, and whether decoding them gives it back."""
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_file)
+
+
+def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole document, learned outside the held-out quarter.
+
+    A null doc_id counts as an empty text here, and so is learned from.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
+    docs = docs.withColumn("held_out", fold == 2)
+    return identify(docs, learn=~F.col("held_out"), keep=["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ring_sharding": op2_ring_sharding,
@@ -62,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_source_mix": op4_source_mix,
         "op7_collision_counting": op7_collision_counting,
         "op8_phrase_parsing": op8_phrase_parsing,
+        "op9_piece_transducer": op9_piece_transducer,
+        "op10_cross_parsing": op10_cross_parsing,
     }
 
 
