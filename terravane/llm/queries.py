@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terravane.llm.common import literal_table
 from terravane.llm.embeddups import near_duplicate_vectors
 from terravane.llm.langid import identify
 from terravane.llm.mixing import taken_words
@@ -14,6 +15,8 @@ from terravane.llm.neardup import near_duplicates
 from terravane.llm.pieces import encode
 from terravane.llm.repeats import remove_repeats
 from terravane.llm.sharding import shard_ring
+from terravane.llm.toolcalls import CONVERSATIONS_SQL, REPLY, SCHEMA, conversation_calls, link_calls
+from terravane.llm.warc import archive_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +49,19 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record after writing, normalising and reading back the archives."""
+    records, _ = archive_round_trip(table(spark, sf_dir, "pages"))
+    return records.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation as a call or a result, linked, ordered and serialised."""
+    calls, results = conversation_calls(table(spark, sf_dir, "conversations"))
+    linked = link_calls(calls, results, literal_table(spark, SCHEMA, REPLY))
+    return linked.withColumn("errors", F.concat_ws(";", "errors"))
+
+
 def op7_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors within each label at a cosine of 0.93."""
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
@@ -78,6 +94,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ring_sharding": op2_ring_sharding,
         "op3_minhash_hamming": op3_minhash_hamming,
         "op4_source_mix": op4_source_mix,
+        "op5_archive_members": op5_archive_members,
+        "op6_tool_calls": op6_tool_calls,
         "op7_collision_counting": op7_collision_counting,
         "op8_phrase_parsing": op8_phrase_parsing,
         "op9_piece_transducer": op9_piece_transducer,
@@ -86,4 +104,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_tool_calls": CONVERSATIONS_SQL}
