@@ -1,17 +1,75 @@
-"""A corpus pipeline: language ID, near-dedup, repeated passages, source mix, tokens."""
+"""A corpus pipeline in five stages, each of them one of the corpus operators.
+
+A stage is a function of (spark, docs, sf_dir).  All but the last return the columns of
+``documents``; ``n_chars`` follows the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terravane.llm.common import shared_folder, write_stage
+from terravane.llm.langid import identify
+from terravane.llm.mixing import mixed_rows
+from terravane.llm.neardup import near_duplicates
+from terravane.llm.pieces import encode
+from terravane.llm.repeats import remove_repeats
+
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which no language can be found, as they have no letters or no text."""
+    return identify(docs).filter("lang_pred <> 'und'").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that with the smallest doc_id, of each group of near-duplicates.
+
+    Similar means a Jaccard similarity of 0.8 or more over shingles of five words.  Of rows that
+    are equal in doc_id and text one stays.
+    """
+    kept = near_duplicates(docs, words=5, percent=80).filter("kept").select(docs.columns)
+    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes text covered by 200-byte strings that occur elsewhere; documents of nothing else go."""
+    cleaned = remove_repeats(docs, with_kept=True).filter("kept <> '' or n_removed = 0")
+    text = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return cleaned.select([text[c].alias(c) if c in text else F.col(c) for c in docs.columns])
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draws blocks of words by source: weights 5, 2, 1 repeating, three passes over a source at most."""
+    mixed = mixed_rows(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each row's text, with its doc_id, language and source."""
+    return encode(docs, MODEL_FILE, keep=["doc_id", "lang", "source"])
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language),
+    ("MinHash near-dedup", near_dedup),
+    ("suffix-array dedup", repeats),
+    ("source mix", source_mix),
+    ("SentencePiece tokens", tokens),
+]
 
 #: SQL cannot express the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder but the last."""
+    folder = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = write_stage(docs, folder, f"stage-{k}")
     return docs

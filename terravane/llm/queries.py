@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terravane.llm.common import literal_table
 from terravane.llm.embeddups import near_duplicate_vectors
 from terravane.llm.langid import identify
+from terravane.llm.media import find_copies, pictures
 from terravane.llm.mixing import taken_words
 from terravane.llm.neardup import near_duplicates
 from terravane.llm.pieces import encode
@@ -23,6 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pictures that share a view with an edited crop of every hundredth one.
+
+    The tables hold no images, so every embedding is drawn as one.
+    """
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    queries = pictures(vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding", edited=True)
+    found = find_copies(queries, pictures(vectors, "vec_id", "embedding"))
+    return found.withColumnsRenamed({"query": "query_id", "image": "vec_id"})
+
+
 def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on a ring of 8 shards whose row counts differ by one at most.
 
@@ -91,6 +103,7 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_image_copies": op1_image_copies,
         "op2_ring_sharding": op2_ring_sharding,
         "op3_minhash_hamming": op3_minhash_hamming,
         "op4_source_mix": op4_source_mix,

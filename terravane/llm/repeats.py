@@ -158,7 +158,8 @@ def _remove(length: int, keep_text: bool, schema: pa.Schema):
                 out["n_spans"].append(spans)
                 out["kept_sha256"].append(digest.hexdigest())
                 if keep_text:
-                    out["kept"].append(b"".join(kept))
+                    # A cut may go through a character: what is left of it goes too.
+                    out["kept"].append(b"".join(kept).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if f.name in out else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
 
     return work
@@ -168,8 +169,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, keep:
     """Removes every byte covered by a ``length``-byte string that also starts anywhere else.
 
     Returns the columns ``keep`` (by default all but the text) with ``n_bytes``, ``n_removed``,
-    ``n_spans`` (maximal removed runs) and ``kept_sha256`` of the remaining bytes, and these
-    bytes as ``kept`` if asked for.  Texts are taken as UTF-8; a null text is empty; texts shorter
+    ``n_spans`` (maximal removed runs) and ``kept_sha256`` of the remaining bytes, and their text
+    as ``kept`` if asked for.  Texts are taken as UTF-8; a null text is empty; texts shorter
     than ``length`` lose nothing; matches never cross rows; a string repeated within its own row
     counts; rows that repeat a whole text all lose it.  Strings are compared by 64-bit hashes of
     the run and 64-bit hashes of the phrase together.
@@ -188,7 +189,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, keep:
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], encoded.alias("_bytes"), F.xxhash64(encoded).alias(doc))
     joined = rows.join(lists.withColumnRenamed("doc", doc).hint("shuffle_hash"), doc, "left").drop(doc)
     types = rows.select(*[F.col(f"`{c}`") for c in keep]).schema
-    for column in ("n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *(["kept binary"] if with_kept else [])):
+    for column in ("n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *(["kept string"] if with_kept else [])):
         name, kind = column.split()
         types = types.add(name, kind)
     return joined.mapInArrow(_remove(length, with_kept, to_arrow_schema(types)), types)
