@@ -20,6 +20,7 @@ into words there; a worker remembers the paths of the words it has met.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,12 @@ from pyspark.sql import functions as F
 from terravane.llm.common import fresh, with_fields
 
 SPACE = "▁"
-MEMORY_WORDS, MEMORY_PAIRS = 300_000, 500_000
+MEMORY_WORDS, MEMORY_PAIRS = 600_000, 500_000
 #: Kinds of pieces and models in the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Stands for the symbol before the first.
+START = (1 << 21) - 1
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -62,6 +65,23 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield tag >> 3, value
 
 
+class Memory(dict):
+    """Remembered results; of twice MEMORY_WORDS those asked for least recently are forgotten."""
+
+    def __init__(self, make) -> None:
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(self) >= MEMORY_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+
 class Transducer:
     """The compiled model."""
 
@@ -100,11 +120,14 @@ class Transducer:
         inner = {c for t in self.ids if len(t) > 1 for c in t}
         apart = "".join(c for c in "\n\t\r" if c not in inner)
         self.cut = re.compile(f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" + (f"|[{apart}]" if apart else "")).findall
-        self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.words, self.pairs = Memory(self.word), {}
         self.surface = [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else t.replace(SPACE, " ").encode() for t, k in zip(self.texts, self.kinds, strict=True)]
         self.surface[self.unknown] = " ⁇ ".encode()
 
+    def text(self, symbol: int) -> str:
+        """A symbol is a piece's id, or SIZE and the number of a character that is no piece."""
+        return self.texts[symbol] if symbol < len(self.texts) else chr(symbol - len(self.texts))
+
     def merged(self, text: str) -> list[str]:
         """What merging makes of a short text: the best-scored neighbours first, leftmost of equals."""
         parts = list(text)
@@ -116,74 +139,92 @@ class Transducer:
             parts[k : k + 2] = ["".join(parts[k : k + 2])]
         return parts
 
-    def apart(self, u: str, v: str) -> bool:
-        """Whether merging leaves the pieces u and v as neighbours; u is empty at the start."""
-        key = (u, v)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= MEMORY_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(u + v) == ([u, v] if u else [v])
+    def apart(self, u: int, v: int) -> bool:
+        """Whether merging leaves the symbols u and v as neighbours, or v alone at the start (u = START)."""
+        if len(self.pairs) >= MEMORY_PAIRS:
+            self.pairs.clear()
+        parts = ([] if u == START else [self.text(u)]) + [self.text(v)]
+        known = self.pairs[u << 21 | v] = self.merged("".join(parts)) == parts
         return known
 
-    def path(self, word: str) -> list[str]:
-        """The shortest path over a normalised word, as the texts of its pieces."""
-        n = len(word)
-        cost = [0.0] + [float("inf")] * n
-        last: list[str | None] = [None] * (n + 1)
+    def merge_path(self, word: str) -> list[int]:
+        """The path of a byte-pair model: ``last[j]`` is the one symbol that can end at j."""
+        n, size, root, pairs = len(word), len(self.texts), self.trie, self.pairs
+        last: list[int | None] = [None] * (n + 1)
+        last[0] = START
         for i in range(n):
             u = last[i]
-            if i and u is None:
-                continue
-            node, j = self.trie, i
-            arcs = []
-            while j < n and (node := node.get(word[j])) is not None:
+            node = root.get(word[i])
+            j = i + 1
+            if node is None or "" not in node:
+                v = size + ord(word[i])
+                if last[j] is None and (pairs.get(u << 21 | v) or (u << 21 | v not in pairs and self.apart(u, v))):
+                    last[j] = v
+            while node is not None:
+                v = node.get("")
+                if v is not None and last[j] is None:
+                    good = pairs.get(u << 21 | v)
+                    if good is None:
+                        good = self.apart(u, v)
+                    if good:
+                        last[j] = v
+                if j == n:
+                    break
+                node = node.get(word[j])
                 j += 1
+        out = []
+        while n:
+            v = last[n]
+            out.append(v)
+            n -= len(self.texts[v]) if v < size else 1
+        return out[::-1]
+
+    def score_path(self, word: str) -> list[int]:
+        """The path of a unigram model: the largest sum of scores, an unknown character at a penalty."""
+        n, size = len(word), len(self.texts)
+        cost, last = [0.0] + [float("inf")] * n, [0] * (n + 1)
+        for i in range(n):
+            node, j, arcs = self.trie.get(word[i]), i + 1, []
+            if node is None or "" not in node:
+                arcs.append((j, size + ord(word[i]), self.penalty))
+            while node is not None:
                 if "" in node:
-                    arcs.append((word[i:j], -self.scores[node[""]]))
-            if not arcs or len(arcs[0][0]) > 1:
-                arcs.append((word[i], self.penalty))
-            for v, weight in arcs:
-                end = i + len(v)
-                if self.bpe:
-                    if last[end] is None and self.apart(u or "", v):
-                        last[end] = v
-                elif cost[i] + weight < cost[end]:
+                    arcs.append((j, node[""], -self.scores[node[""]]))
+                if j == n:
+                    break
+                node = node.get(word[j])
+                j += 1
+            for end, v, weight in arcs:
+                if cost[i] + weight < cost[end]:
                     cost[end], last[end] = cost[i] + weight, v
         out = []
         while n:
             out.append(last[n])
-            n -= len(last[n])
+            n -= len(self.texts[last[n]]) if last[n] < size else 1
         return out[::-1]
 
     def word(self, word: str) -> bytes:
         """The ids of a word, as 32-bit numbers."""
-        ids: list[int] = []
-        for piece in self.path(word):
-            i = self.ids.get(piece)
-            if i is not None:
-                ids.append(i)
-            elif self.bytes:
-                ids.extend(self.bytes[b] for b in piece.encode())
-            else:
-                ids.append(self.unknown)
-        return np.array(ids, dtype=np.int32).tobytes()
+        path = self.merge_path(word) if self.bpe else self.score_path(word)
+        size = len(self.texts)
+        if max(path) >= size:
+            ids: list[int] = []
+            for v in path:
+                if v < size:
+                    ids.append(v)
+                elif self.bytes:
+                    ids.extend(self.bytes[b] for b in self.text(v).encode())
+                else:
+                    ids.append(self.unknown)
+            path = ids
+        return array("i", path).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text."""
         if not text:
             return np.zeros(0, dtype=np.int32)
-        if len(self.words) > MEMORY_WORDS:
-            self.words.clear()
         words = self.cut((SPACE if self.dummy else "") + text.replace(" ", SPACE))
-        known = self.words
-        try:
-            found = b"".join(map(known.__getitem__, words))
-        except KeyError:
-            for word in words:
-                if word not in known:
-                    known[word] = self.word(word)
-            found = b"".join(map(known.__getitem__, words))
-        return np.frombuffer(found, dtype=np.int32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 give U+FFFD."""
