@@ -281,7 +281,7 @@ def class_weights(spark: SparkSession, d: str) -> DataFrame:
 PIXELS = """
 pixels AS (SELECT l_linenumber AS scene, CAST(floor((l_partkey % 64) / 8) AS INTEGER) AS "row", CAST(l_partkey % 8 AS INTEGER) AS col,
   CAST(l_tax * 10 AS FLOAT) AS red, CAST(l_discount * 10 AS FLOAT) AS nir, CAST(l_suppkey % 12 AS INTEGER) AS quality, l_quantity AS weight FROM lineitem),
-measured AS (SELECT *, CASE WHEN quality NOT IN (0, 1, 3, 8, 9, 10, 11) AND nir + red <> 0 THEN CAST((CAST(nir AS DOUBLE) - red) / (CAST(nir AS DOUBLE) + red) AS FLOAT) END AS value FROM pixels),
+measured AS (SELECT *, CASE WHEN quality NOT IN (0, 1, 3, 8, 9, 10, 11) AND nir + red <> 0 THEN CAST(CAST(nir - red AS DOUBLE) / CAST(nir + red AS DOUBLE) AS FLOAT) END AS value FROM pixels),
 used AS (SELECT * FROM measured WHERE value BETWEEN -1.0 AND 1.0)"""
 
 
