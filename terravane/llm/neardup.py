@@ -28,6 +28,8 @@ from terravane.llm.common import components, drop_stages, fresh, shared_folder,
 SYMBOLS, CHUNK = 60, 5
 CHUNKS = SYMBOLS // CHUNK
 RADIUS, LIMIT = 2 * CHUNKS - 1, 28
+#: Orders in which buckets choose their centre, and nodes that a task compares with as many.
+ORDERS, BLOCK = 3, 128
 #: A chunk is a 64-bit number with a symbol of 11 bits in each lane of 12.
 LANE, SYMBOL = 12, (1 << 11) - 1
 _LOW, _HIGH = (sum(x << LANE * j for j in range(CHUNK)) for x in (SYMBOL, SYMBOL + 1))
@@ -167,7 +169,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     nodes = write_stage(nodes.select("node", "one.id", "one.th", "n", "sig"), folder, "nodes")
 
     keys = nodes.select("node", "sig").mapInArrow(_keys, "key long, node long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1").drop("n")
+    # A bucket's centre is its first node in one of a few orders, so buckets of a group have several centres.
+    rank = F.xxhash64("node", F.pmod("key", F.lit(ORDERS)))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", rank).alias("centre")).filter("n > 1").drop("n")
     met = write_stage(keys.join(shared, "key"), folder, "met")
 
     # First every member of a bucket against the bucket's centre; that settles groups of copies.
@@ -175,26 +179,31 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     stars = met.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     stars = _plausible(stars, nodes, percent)
     links = _confirmed(stars, sets_of, rows, words, percent, folder, "stars")
-    groups = write_stage(components(links, folder, "first"), folder, "groups")
+    groups = components(links, folder, "first")
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    groups = write_stage(groups.join(sizes, "component"), folder, "groups")
 
-    # Then, only where a bucket still holds several components, the pairs between them.
-    inside = met.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", "node").alias("main")).filter("lo <> hi").select("key", "main")
+    # Then, where a bucket still holds several components, each node against the larger of them as wholes.
+    inside = met.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     inside = write_stage(inside.join(mixed, "key"), folder, "inside")
-    inside = inside.join(nodes.select("node", "n", "sig"), "node")
-    lesser = inside.filter("component <> main").select("key", F.col("node").alias("x"), F.col("component").alias("cx"), "main", F.col("n").alias("na"), F.col("sig").alias("sa"))
-    other = inside.select("key", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    # The distance is part of the join's condition: pairs beyond the limit are never made.
-    apart = F.expr("cx <> cy and (cy = main or x < y)") & _may_link(percent)
-    pairs = lesser.withColumnRenamed("key", "k").join(other, (F.col("k") == F.col("key")) & apart)
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    about = nodes.select("node", "n", "sig")
+    x = inside.join(about, "node").select("key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("size_x"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    y = inside.groupBy("key", "component").agg(F.min("node").alias("node"), F.max("size").alias("size")).join(about, "node")
+    y = y.select(F.col("key").alias("k"), F.col("component").alias("cy"), F.col("size").alias("size_y"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    # The distance to a node of its own is part of the join's condition, so pairs beyond the limit are never made.
+    towards = F.expr("size_x < size_y or (size_x = size_y and cx < cy)") & ((F.col("size_y") > 1) | _may_link(percent))
+    meetings = x.join(y, (F.col("key") == F.col("k")) & towards).select("x", "cy", "size_y").distinct()
+    meetings = write_stage(meetings, folder, "meetings")
+    pairs = meetings.filter("size_y = 1").select(F.least("x", "cy").alias("a"), F.greatest("x", "cy").alias("b")).distinct()
     more = _confirmed(pairs.join(stars, ["a", "b"], "left_anti"), sets_of, rows, words, percent, folder, "rest")
+    more = more.union(_linked_wholes(meetings.filter("size_y > 1"), groups, sets_of, rows, words, percent, folder))
     merged = components(links.union(more), folder, "last")
 
     labels = nodes.select("node", "id").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labels.groupBy("component").agg(F.min("id").alias("component_id"))
     labels = write_stage(labels.join(least, "component").select("node", "component_id"), folder, "labels")
-    drop_stages(spark, folder, "met", "inside", "groups", "stars", "rest")
+    drop_stages(spark, folder, "met", "inside", "meetings", "groups", "stars", "rest", "wholes")
 
     found = prints.select("id", "th", "n_shingles", "node").distinct().join(labels, "node", "left").drop("node")
     id_, th = fresh(docs, "_id"), fresh(docs, "_th")
@@ -219,17 +228,74 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(_may_link(percent)).select("a", "b")
 
 
+def _sets(ids: DataFrame, sets_of: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """``(node, shingles)`` of the nodes, made again from their texts."""
+    wanted = ids.join(sets_of, "node").withColumnsRenamed({"id": "_i", "th": "_t"}).hint("shuffle_hash")
+    texts = rows.join(wanted, (F.col("th") == F.col("_t")) & F.col("id").eqNullSafe(F.col("_i"))).select("node", F.col("_bytes").alias("bytes"))
+    # Only a repeated row, equal in key and text, gives its set twice.
+    return texts.mapInArrow(_set_of(words), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
 def _confirmed(pairs: DataFrame, sets_of: DataFrame, rows: DataFrame, words: int, percent: int, folder: str, name: str) -> DataFrame:
     """The pairs that are similar enough on their full sets."""
     pairs = write_stage(pairs, folder, f"{name}-pairs")
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = ids.join(sets_of, "node")
-    wanted = wanted.withColumnsRenamed({"id": "_i", "th": "_t"}).hint("shuffle_hash")
-    texts = rows.join(wanted, (F.col("th") == F.col("_t")) & F.col("id").eqNullSafe(F.col("_i"))).select("node", F.col("_bytes").alias("bytes"))
-    # Only a repeated row, equal in key and text, gives its set twice.
-    sets = texts.mapInArrow(_set_of(words), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = write_stage(sets, folder, f"{name}-sets")
+    sets = write_stage(_sets(ids, sets_of, rows, words), folder, f"{name}-sets")
     joined = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
     links = write_stage(joined.mapInArrow(_links(percent), "a long, b long"), folder, name)
     drop_stages(rows.sparkSession, folder, f"{name}-pairs", f"{name}-sets")
     return links
+
+
+def linked_to(asking: list[np.ndarray], members: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """For each asking set that is similar enough to a member, its number and the first such member's."""
+    owner = np.repeat(np.arange(len(members)), [len(m) for m in members])
+    values = np.concatenate(members)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    sizes = np.array([len(m) for m in members])
+    out = []
+    for i, one in enumerate(asking):
+        low, high = np.searchsorted(values, one, "left"), np.searchsorted(values, one, "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        same = np.bincount(owner[at], minlength=len(members))
+        good = np.flatnonzero(100 * same >= percent * (sizes + len(one) - same))
+        if len(good):
+            out.append((i, int(good[0])))
+    return out
+
+
+def _ask(percent: int):
+    def work(asking: pa.Table, members: pa.Table) -> pa.Table:
+        x, y = asking.column("x").to_pylist(), members.column("y").to_pylist()
+        found = []
+        if x and y:
+            sets = [[np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in c] for c in (asking.column("shingles"), members.column("members"))]
+            found = linked_to(*sets, percent)
+        return pa.table({"a": pa.array([x[i] for i, _ in found], pa.int64()), "b": pa.array([y[j] for _, j in found], pa.int64())})
+
+    return work
+
+
+def _linked_wholes(meetings: DataFrame, groups: DataFrame, sets_of: DataFrame, rows: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
+    """A link from each node to each component it met that has a similar enough member.
+
+    ``meetings`` has ``x`` and ``cy``.  All members are looked at, not only those met.  Members and
+    asking nodes are dealt into blocks of about BLOCK, and a task compares a block with a block;
+    as one link is enough to join a component, at most one comes out for each node and block.
+    """
+    asked = meetings.groupBy("cy").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    members = groups.join(asked, F.col("component") == F.col("cy")).select("cy", F.col("node").alias("y"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), "chunks")
+    ids = members.select(F.col("y").alias("node")).union(meetings.select("x")).distinct()
+    sets = write_stage(_sets(ids, sets_of, rows, words), folder, "wholes-sets")
+    everyone = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    right = members.join(sets.withColumnRenamed("node", "y"), "y").select("cy", F.pmod(F.xxhash64("y"), "blocks").cast("int").alias("block"), everyone.alias("chunk"), "y", "shingles")
+    asking = meetings.join(asked, "cy").withColumn("blocks", F.ceil(F.col("size_y") / BLOCK).cast("int"))
+    everyone = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = asking.join(sets.withColumnRenamed("node", "x"), "x").select("cy", everyone.alias("block"), F.pmod(F.xxhash64("x"), "chunks").cast("int").alias("chunk"), "x", "shingles")
+    right = right.select(*[F.col(c).alias(n) for c, n in zip(right.columns, ("cm", "bm", "km", "y", "members"), strict=True)])
+    links = left.groupBy("cy", "block", "chunk").cogroup(right.groupBy("cm", "bm", "km")).applyInArrow(_ask(percent), "a long, b long")
+    links = write_stage(links, folder, "wholes")
+    drop_stages(rows.sparkSession, folder, "wholes-sets")
+    return links
