@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,24 +108,26 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compare(threshold: float):
-    def work(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row is a pair of blocks: ids and vectors of both, and whether they are one block."""
-        for batch in pairs:
-            for row in range(batch.num_rows):
-                ids, units = {}, {}
-                for s in "ab":
-                    ids[s] = batch.column(f"ids_{s}")[row].values.to_numpy()
-                    raw = batch.column(f"units_{s}")[row].values.to_pylist()
-                    units[s] = np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(raw), -1)
-                same = batch.column("same")[row].as_py()
-                x, y = block_links(units["a"], units["b"], threshold, same)
-                x, y = ids["a"][x], ids["b"][y]
-                linked, n = np.unique(np.concatenate([x, y]), return_counts=True)
-                tree = forest(x, y)
-                node = np.concatenate([linked, np.array([p for p, _ in tree], dtype=np.int64)])
-                other = pa.array([None] * len(linked) + [q for _, q in tree], pa.int64())
-                count = np.concatenate([n, np.zeros(len(tree), dtype=np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), other, pa.array(count, pa.int64())], names=["node", "other", "n"])
+    def work(table: pa.Table) -> pa.Table:
+        """The rows of a pair of blocks: what their links add to each vector's count, and a forest of them."""
+        sides = {}
+        for side in "ab":
+            part = table.filter(pc.equal(table.column("side"), side))
+            sides[side] = part.column("node").to_numpy(), np.frombuffer(b"".join(part.column("unit").to_pylist()), dtype=np.float64).reshape(part.num_rows, -1) if part.num_rows else None
+        first = table.slice(0, 1).to_pylist()[0]
+        same = first["inside"] and first["i"] == first["j"]
+        (ids, units), (others, their) = sides["a"], sides["a"] if same else sides["b"]
+        if len(ids) and len(others):
+            x, y = block_links(units, their, threshold, same)
+            x, y = ids[x], others[y]
+        else:
+            x = y = np.zeros(0, dtype=np.int64)
+        linked, n = np.unique(np.concatenate([x, y]), return_counts=True)
+        tree = forest(x, y)
+        node = np.concatenate([linked, np.array([p for p, _ in tree], dtype=np.int64)])
+        other = pa.array([None] * len(linked) + [q for _, q in tree], pa.int64())
+        count = np.concatenate([n, np.zeros(len(tree), dtype=np.int64)])
+        return pa.table({"node": pa.array(node, pa.int64()), "other": other, "n": pa.array(count, pa.int64())})
 
     return work
 
@@ -161,13 +164,8 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", label: str =
     meetings = F.concat(inside, F.coalesce(nexts, none), F.coalesce(prevs, none))
     dealt = blocks.select("label", "dim", "node", "unit", F.explode(meetings).alias("m")).select("label", "dim", "node", "unit", "m.*")
     group = ["label", "dim", "band", "i", "j", "inside"]
-    # A task's rows are two blocks, so these lists have about 2 * BLOCK vectors at most.
-    pairs = dealt.groupBy(*group).agg(*[F.collect_list(F.when(F.col("side") == s, F.col(c))).alias(f"{n}_{s}") for s in "ab" for c, n in (("node", "ids"), ("unit", "units"))])
-    pairs = pairs.withColumn("same", F.col("inside") & (F.col("i") == F.col("j")))
-    pairs = pairs.filter((F.size("ids_a") > 0) & (F.col("same") | (F.size("ids_b") > 0)))
-    for c in ("ids", "units"):
-        pairs = pairs.withColumn(f"{c}_b", F.when(F.col("same"), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")))
-    found = pairs.select("ids_a", "units_a", "ids_b", "units_b", "same").mapInArrow(_compare(threshold), "node long, other long, n long")
+    # A group is two blocks, of about 2 * BLOCK vectors.
+    found = dealt.groupBy(*group).applyInArrow(_compare(threshold), "node long, other long, n long")
     found = write_stage(found, folder, "found")
 
     counts = found.groupBy("node").agg(F.sum("n").alias("n_links"))
