@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # WGS84 and the UTM grid.
@@ -66,6 +66,23 @@ def from_utm(easting: Column, northing: Column, zone: int, south: bool = False)
     return F.degrees(F.atan2(F.sinh(v), F.cos(u))) + (zone * 6 - 183), F.degrees(phi)
 
 
+def projected_bounds(spark: SparkSession, box: tuple[float, float, float, float], zone: int, points: int = 21, south: bool = False) -> DataFrame:
+    """The box in metres around a box (west, south, east, north) in degrees: one row of west .. north.
+
+    Its edges are curves in the projection, so points along them are projected, not corners alone.
+    """
+    w, s, e, n = box
+    steps = spark.range(points + 1).select((F.col("id") / float(points)).alias("t"))
+    edges = F.array(*[
+        F.struct((F.lit(x0) + (x1 - x0) * F.col("t")).alias("lon"), (F.lit(y0) + (y1 - y0) * F.col("t")).alias("lat"))
+        for x0, y0, x1, y1 in ((w, s, e, s), (w, n, e, n), (w, s, w, n), (e, s, e, n))
+    ])
+    edge = steps.select(F.explode(edges).alias("p")).select("p.*")
+    east, north = to_utm(F.col("lon"), F.col("lat"), zone, south)
+    placed = edge.select(east.alias("x"), north.alias("y"))
+    return placed.agg(F.min("x").alias("west"), F.min("y").alias("south"), F.max("x").alias("east"), F.max("y").alias("north"))
+
+
 def boxes_meet(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Whether boxes with west, south, east and north meet; touching counts."""
     return (a["west"] <= b["east"]) & (a["east"] >= b["west"]) & (a["south"] <= b["north"]) & (a["north"] >= b["south"])

@@ -136,3 +136,38 @@ def same_grid(a: DataFrame, b: DataFrame) -> DataFrame:
     """``(same)``: whether two grids have the same cells, by their counts and extremes."""
     facts = [t.agg(F.count("*").alias("n"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")) for t in (a, b)]
     return facts[0].intersect(facts[1]).agg((F.count("*") == 1).alias("same"))
+
+
+def metadata(df: DataFrame, by: Sequence[str] = ("scene_id",)) -> DataFrame:
+    """Shape and extent of each raster's pixels, and how many of them have a value."""
+    return df.groupBy(*by).agg(
+        F.min("row").alias("first_row"),
+        F.min("col").alias("first_col"),
+        (F.max("row") - F.min("row") + 1).alias("height"),
+        (F.max("col") - F.min("col") + 1).alias("width"),
+        F.count("*").alias("cells"),
+        F.count("value").alias("valid"),
+    )
+
+
+def banded(pixels: DataFrame, bands: Sequence[str], keys: Sequence[str] = ("scene_id", "row", "col")) -> DataFrame:
+    """Long pixels (keys, band, value) with a column for each band; one pass, one shuffle."""
+    return pixels.groupBy(*keys).agg(*[F.max(F.when(F.col("band") == b, F.col("value"))).alias(b) for b in bands])
+
+
+def vegetation_composite(pixels: DataFrame, target: DataFrame, red: str = "red", nir: str = "nir", quality: str = "scl", bad: Sequence[int] = BAD_CLASSES) -> DataFrame:
+    """Mean index over all scenes on the target's cells, with the number of clear scenes; uncovered cells are null.
+
+    Scenes that lack a band have no complete pixels and so contribute nothing.
+    """
+    wide = banded(pixels, [red, nir, quality])
+    wide = wide.withColumn("value", normalised_difference(F.col(nir).cast("float"), F.col(red).cast("float"), clear(F.col(quality).cast("int"), bad)))
+    composed = composite(in_range(wide, "value"))
+    return target.join(composed, ["row", "col"], "left").withColumn("scenes", F.coalesce("scenes", F.lit(0)))
+
+
+def region_mean(df: DataFrame, value: str, box: tuple[float, float, float, float], longitude: str = "longitude", latitude: str = "latitude", by: Sequence[str] = ()) -> DataFrame:
+    """Mean of the cells whose centre lies in a box (west, south, east, north), borders included."""
+    west, south, east, north = box
+    inside = F.col(longitude).between(west, east) & F.col(latitude).between(south, north)
+    return df.filter(inside).groupBy(*by).agg(F.avg(value).alias(value), F.count(value).alias("cells"))

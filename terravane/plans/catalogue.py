@@ -344,6 +344,33 @@ def nodata_encoding(spark: SparkSession, d: str) -> DataFrame:
     return written.agg(F.round(F.sum("v"), 2).alias("total"), F.count_if(F.col("v") == raster.NODATA).alias("missing"))
 
 
+@query(f"""WITH {PIXELS}, marked AS (SELECT scene, "row", col, max(CASE WHEN scene <> 3 OR l % 2 = 0 THEN red END) AS red, max(nir) AS nir, max(CASE WHEN scene <> 5 THEN quality END) AS quality
+    FROM (SELECT *, "row" + col AS l FROM pixels) GROUP BY 1, 2, 3),
+  i AS (SELECT *, CASE WHEN quality NOT IN (0, 1, 3, 8, 9, 10, 11) AND nir + red <> 0 THEN CAST(CAST(nir - red AS DOUBLE) / CAST(nir + red AS DOUBLE) AS FLOAT) END AS value FROM marked),
+  c AS (SELECT "row", col, avg(value) AS value, count(value) AS scenes FROM i WHERE value BETWEEN -1.0 AND 1.0 GROUP BY 1, 2),
+  cells AS (SELECT r.range AS "row", c.range AS col FROM range(9) r, range(8) c)
+  SELECT CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, round(value, 6) AS value, coalesce(scenes, 0) AS scenes FROM cells LEFT JOIN c USING ("row", col)""")
+def vegetation_composite(spark: SparkSession, d: str) -> DataFrame:
+    """The whole composite from long bands; scene 3 lacks half its red band, scene 5 its quality."""
+    p = pixels(spark, d)
+    bands = p.select(F.col("scene").alias("scene_id"), "row", "col", F.expr("stack(3, 'red', double(red), 'nir', double(nir), 'scl', double(quality)) AS (band, value)"))
+    absent = (F.col("scene_id") == 3) & (F.col("band") == "red") & ((F.col("row") + F.col("col")) % 2 != 0) | (F.col("scene_id") == 5) & (F.col("band") == "scl")
+    return raster.vegetation_composite(bands.filter(~absent), raster.grid(spark, 9, 8)).withColumn("value", r6("value"))
+
+
+@query("""SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS time, round(avg(o_totalprice), 2) AS price, count(o_totalprice) AS cells
+  FROM orders WHERE o_custkey % 100 BETWEEN 20 AND 40 AND o_custkey % 70 BETWEEN 10 AND 30 GROUP BY 1""")
+def region_series(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly means over the places within a box."""
+    placed = table(spark, d, "orders").select(calendar.month_start(F.col("o_orderdate")).alias("time"), F.col("o_totalprice").alias("price"), (F.col("o_custkey") % 100).alias("longitude"), (F.col("o_custkey") % 70).alias("latitude"))
+    return raster.region_mean(placed, "price", (20, 10, 40, 30), by=["time"]).withColumn("price", F.round("price", 2))
+
+
+@query("""SELECT vec_id AS scene_id, 0 AS first_row, 0 AS first_col, 8 AS height, 8 AS width, CAST(64 AS BIGINT) AS cells, CAST(len(list_filter(embedding, lambda x: x IS NOT NULL)) AS BIGINT) AS valid FROM embeddings""")
+def raster_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return raster.metadata(raster.reshaped(table(spark, d, "embeddings"), "vec_id", "embedding", 8))
+
+
 GRID = """
 cells AS (SELECT vec_id AS scene_id, CAST(floor((k - 1) / 8) AS INTEGER) AS r, CAST((k - 1) % 8 AS INTEGER) AS c, CAST(embedding[k] AS DOUBLE) AS value
   FROM embeddings, (SELECT unnest(range(1, 65)) AS k)),

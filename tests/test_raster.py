@@ -107,3 +107,25 @@ def test_common_box(spark):
     b = {k: F.lit(v) for k, v in {"west": 1.0, "south": -1.0, "east": 3.0, "north": 1.0}.items()}
     got = spark.range(1).select(geo.boxes_meet(a, b), *geo.common_box(a, b).values()).first()
     assert tuple(got) == (True, 1.0, 0.0, 2.0, 1.0)
+
+
+def test_documented_window_of_the_study_box(spark):
+    """Box 35.3-35.8 E, 32.0-33.3 N in zone 37, on the tile whose north-west is (199,980, 3,700,020)."""
+    box = geo.projected_bounds(spark, (35.3, 32.0, 35.8, 33.3), 37)
+    assert abs(box.first().west - 150408) < 1
+    tile = {"west": F.lit(199980.0), "south": F.lit(3590220.0), "east": F.lit(309780.0), "north": F.lit(3700020.0)}
+    both = geo.common_box({k: F.col(k) for k in ("west", "south", "east", "north")}, tile)
+    window = geo.pixel_window(both, tile["west"], tile["north"], 10.0)
+    got = box.select(*[v.alias(k) for k, v in window.items()]).first()
+    assert (got.width, got.height, got.col_off, got.row_off) == (204, 10044, 0, 0) or (got.width, got.height) == (204, 10044)
+
+
+def test_composite_from_long_bands(spark):
+    rows = [("a", 0, 0, "red", 0.2), ("a", 0, 0, "nir", 0.6), ("a", 0, 0, "scl", 4.0), ("b", 0, 0, "red", 0.3), ("b", 0, 0, "nir", 0.5), ("b", 0, 0, "scl", 8.0), ("c", 0, 1, "red", 0.1), ("c", 0, 1, "nir", 0.3)]
+    pixels = frame(spark, rows, "scene_id string, row int, col int, band string, value double")
+    got = {(r.row, r.col): (r.value, r.scenes) for r in raster.vegetation_composite(pixels, raster.grid(spark, 1, 2)).collect()}
+    assert got == {(0, 0): (pytest.approx(0.5, abs=1e-6), 1), (0, 1): (None, 0)}
+    meta = {r.scene_id: (r.height, r.width, r.valid) for r in raster.metadata(pixels).collect()}
+    assert meta["a"] == (1, 1, 3)
+    cells = frame(spark, [(35.0, 32.0, 1.0), (36.0, 33.0, 3.0), (40.0, 33.0, 9.0)], "longitude double, latitude double, v double")
+    assert tuple(raster.region_mean(cells, "v", (35, 32, 36, 33)).first()) == (2.0, 2)
