@@ -67,12 +67,29 @@ def with_fields(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that the table does not have yet, whatever its case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+class Hidden:
+    """A table under column names that no operator uses; ``restore`` gives them back."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.names = df.columns
+        self.df = df.toDF(*[f"_c{i}" for i in range(len(self.names))])
+
+    def __call__(self, name: str) -> str:
+        """The present name of a column; exact names come before those in another case."""
+        same = [i for i, n in enumerate(self.names) if n == name] or [i for i, n in enumerate(self.names) if n.lower() == name.lower()]
+        if not same:
+            raise ValueError(f"no column {name}")
+        return f"_c{same[0]}"
+
+    def columns(self, names: Sequence[str] | None = None) -> list[str]:
+        """The present names of the columns asked for, by default all."""
+        return [self(n) for n in names] if names is not None else self.df.columns
+
+    def restore(self, df: DataFrame, *results: str, names: Sequence[str] | None = None) -> DataFrame:
+        """The columns asked for, as they were called, and the results, which take the place of columns so called."""
+        made = {r.lower() for r in results}
+        back = [(h, self.names[int(h[2:])]) for h in self.columns(names)]
+        return df.select(*[F.col(h).alias(n) for h, n in back if n.lower() not in made], *results)
 
 
 def components(edges: DataFrame, folder: str, name: str = "components") -> DataFrame:

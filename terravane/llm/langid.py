@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terravane.llm.common import fresh
+from terravane.llm.common import Hidden, with_fields
 
 #: Bounds on what is learned from: rows a language, and characters a language of them.
 SAMPLE_ROWS, SAMPLE_CHARS = 64, 40_000
@@ -111,23 +111,23 @@ class Parser(dict):
 _parsers: dict[int, Parser] = {}
 
 
-def samples(rows: DataFrame, text: str, lang: str, order: Column) -> dict[str, str]:
+def samples(rows: DataFrame) -> dict[str, str]:
     """Words of a bounded sample of labelled rows for each language, in a fixed pseudorandom order.
 
-    Keys of the rows are chosen before their texts are read.  At most SAMPLE_ROWS rows and
+    ``rows`` has text ``t``, language ``l`` and a hash ``k``, by which they are ordered; those to
+    learn from are chosen before their texts are read.  At most SAMPLE_ROWS hashes and
     SAMPLE_CHARS characters of each language reach the driver.
     """
-    place, rank = fresh(rows, "_place"), fresh(rows, "_rank")
-    labelled = rows.filter(F.col(lang).isNotNull()).withColumn(place, order)
-    ranked = Window.partitionBy(lang).orderBy(place)
-    chosen = labelled.select(lang, place).distinct().withColumn(rank, F.row_number().over(ranked)).filter(F.col(rank) <= SAMPLE_ROWS)
+    labelled = rows.filter("l is not null")
+    ranked = F.row_number().over(Window.partitionBy("l").orderBy("k"))
+    chosen = labelled.select("l", "k").distinct().withColumn("rank", ranked).filter(F.col("rank") <= SAMPLE_ROWS).drop("rank")
     # At most SAMPLE_ROWS rows for each language.
-    picked = labelled.join(F.broadcast(chosen), [lang, place]).select(lang, place, F.substring(F.lower(text), 1, SAMPLE_CHARS).alias("_text")).distinct()
+    picked = labelled.join(F.broadcast(chosen), ["l", "k"]).groupBy("l", "k").agg(F.min(F.substring(F.lower("t"), 1, SAMPLE_CHARS)).alias("t"))
     out: dict[str, str] = {}
-    for row in picked.orderBy(lang, place, "_text").toLocalIterator():
-        have = out.get(row[0], " ")
+    for row in picked.orderBy("l", "k").toLocalIterator():
+        have = out.get(row.l, " ")
         if len(have) < SAMPLE_CHARS:
-            out[row[0]] = (have + "".join(f"{w} " for w in _LETTERS.findall(row[2] or "")))[:SAMPLE_CHARS]
+            out[row.l] = (have + "".join(f"{w} " for w in _LETTERS.findall(row.t or "")))[:SAMPLE_CHARS]
     return out
 
 
@@ -152,16 +152,19 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     are judged, by nothing but the text.  A text that is null or has no letter is ``und`` with
     score 0, and so is everything if nothing was learned.  ``score`` is 1 - best/second of the
     normalised phrase counts, 1 if only one language was learned; ties go to the language first
-    in code point order.
+    in code point order.  Columns named like the results give way to them.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
-    keep = list(docs.columns) if keep is None else keep
     rows = docs.filter(learn) if learn is not None else docs
-    found = samples(rows.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k")), "t", "l", F.xxhash64("k"))
+    hidden = Hidden(docs)
+    rows = Hidden(rows).df.select(F.col(hidden(text)).alias("t"), F.col(hidden(lang)).alias("l"), F.xxhash64(hidden(key)).alias("k"))
+    found = samples(rows)
     model = spark.sparkContext.broadcast(found)
     stamp = hash(tuple(sorted(found.items())))
-    shown = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(fresh(docs, "_text")))
-    schema = shown.select(*[F.col(f"`{c}`") for c in keep]).schema.add("lang_pred", "string").add("score", "double")
-    return shown.mapInArrow(_judge(model, stamp, to_arrow_schema(schema)), schema)
+    keep = list(docs.columns) if keep is None else keep
+    kept = hidden.columns(keep)
+    shown = hidden.df.select(*kept, F.col(hidden(text)).alias("_text"))
+    schema = with_fields(shown.select(*kept).schema, "lang_pred string, score double")
+    return hidden.restore(shown.mapInArrow(_judge(model, stamp, to_arrow_schema(schema)), schema), "lang_pred", "score", names=keep)

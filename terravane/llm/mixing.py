@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terravane.llm.common import fresh
+from terravane.llm.common import Hidden
 
 #: Words are maximal runs of characters other than space, tab, newline, vertical tab, form feed and return.
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -66,7 +66,7 @@ def streams(docs: DataFrame, text: str, key: str, source: str, start: str, size:
     The stream's order is pseudorandom in (key, text).  A prefix sum over bins keeps any source,
     however large, out of a single task.
     """
-    bin_ = fresh(docs, "_bin")
+    bin_ = "_bin"
     base = docs.withColumn(size, word_count(F.col(text)))
     base = base.withColumn(start, F.xxhash64(key, text)).withColumn(bin_, F.pmod(start, F.lit(BINS)))
     inside = Window.partitionBy(source, bin_).orderBy(start, key, size).rowsBetween(Window.unboundedPreceding, -1)
@@ -110,13 +110,14 @@ def draws(plan: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, block: int = 64, shard_slots: int = 1024, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix of all rows by source: (rows, slots, picks).
 
-    Rows are those of ``docs`` with ``size`` (words; 0 for null and empty texts), ``start`` (its
-    place in its source's token stream), ``source_size`` and ``target``.  Slots say which block
+    The columns of ``docs`` may not be called like those made here: see ``Hidden``.  Rows are
+    those of ``docs`` with ``_size`` (words; 0 for null and empty texts), ``_start`` (its place in
+    its source's token stream), ``source_size`` and ``target``.  Slots say which block
     of which source fills each place of each output shard.  Picks are ``(source, start, first,
     last, times)``: words first..last of the row at ``start`` are drawn ``times`` times.
     A source without words gets target 0.  Rows with equal key and text are interchangeable.
     """
-    size, start = fresh(docs, "size"), fresh(docs, "start")
+    size, start = "_size", "_start"
     placed, sizes = streams(docs, text, key, source, start, size)
     plan = targets(sizes, weights, cap)
     slots = draws(plan, block, shard_slots, seed)
@@ -138,13 +139,17 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
 
 
 def taken_words(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """Per row of ``docs``: ``size``, ``source_size``, ``target`` and ``taken``, the words the mix takes from it."""
-    rows, _, picks = mix(docs, text, key, source, **options)
-    size, start = fresh(docs, "size"), fresh(docs, "start")
+    """Adds ``size``, ``source_size``, ``target`` and ``taken``, the words that the mix takes from the row.
+
+    Columns of ``docs`` that are called so give way.
+    """
+    hidden = Hidden(docs)
+    source = hidden(source)
+    rows, _, picks = mix(hidden.df, hidden(text), hidden(key), source, **options)
     sums = picks.groupBy(F.col("source").alias("_s"), F.col("start").alias("_at")).agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("_taken"))
-    match = F.col(source).eqNullSafe(F.col("_s")) & (F.col(start) == F.col("_at")) & (F.col(size) > 0)
-    out = rows.join(sums, match, "left")
-    return out.withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long")).drop("_s", "_at", "_taken", start)
+    match = F.col(source).eqNullSafe(F.col("_s")) & (F.col("_start") == F.col("_at")) & (F.col("_size") > 0)
+    out = rows.join(sums, match, "left").withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long"))
+    return hidden.restore(out.withColumnRenamed("_size", "size"), "size", "source_size", "target", "taken")
 
 
 def mixed_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
@@ -153,12 +158,13 @@ def mixed_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", source:
     A pass that takes all words keeps the text as it is; a part of a pass keeps its words, joined
     by single spaces.  Rows of which nothing is drawn are not in the mix.
     """
-    rows, _, picks = mix(docs, text, key, source, **options)
-    size, start = fresh(docs, "size"), fresh(docs, "start")
+    hidden = Hidden(docs)
+    text, source = hidden(text), hidden(source)
+    rows, _, picks = mix(hidden.df, text, hidden(key), source, **options)
     passes = picks.withColumn("p", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     passes = passes.groupBy(F.col("source").alias("_s"), F.col("start").alias("_at"), "p").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_spans"), F.sum(F.col("last") - F.col("first")).alias("_n"))
-    match = F.col(source).eqNullSafe(F.col("_s")) & (F.col(start) == F.col("_at"))
-    out = rows.filter(F.col(size) > 0).join(passes, match)
+    match = F.col(source).eqNullSafe(F.col("_s")) & (F.col("_start") == F.col("_at"))
+    out = rows.filter("_size > 0").join(passes, match)
     parts = F.flatten(F.transform("_spans", lambda s: F.slice(words(F.col(text)), (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int"))))
-    cut = F.when(F.col("_n") == F.col(size), F.col(text)).otherwise(F.array_join(parts, " "))
-    return out.select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    cut = F.when(F.col("_n") == F.col("_size"), F.col(text)).otherwise(F.array_join(parts, " "))
+    return hidden.restore(out.withColumn(text, cut))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.llm import rolling
-from terravane.llm.common import components, drop_stages, fresh, shared_folder, with_fields, write_stage
+from terravane.llm.common import Hidden, components, drop_stages, shared_folder, with_fields, write_stage
 
 SYMBOLS, CHUNK = 60, 5
 CHUNKS = SYMBOLS // CHUNK
@@ -155,12 +155,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     smallest key reachable over links, ``kept`` says whether that is the row's own.  A null or
     blank text has an empty set and is linked with nothing.  Rows with equal sets are one node,
     whose key is the smallest; rows with a null key belong to the node's component, and are kept
-    only if no row of it has a key.  Repeated rows with equal keys are kept alike.
+    only if no row of it has a key.  Repeated rows with equal keys are kept alike.  Columns named
+    like the results give way to them.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
     folder = shared_folder(spark)
+    hidden = Hidden(docs)
+    docs, key, text = hidden.df, hidden(key), hidden(text)
     encoded = F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(encoded).alias("th"), encoded.alias("_bytes"))
     types = with_fields(rows.drop("_bytes").schema, _SETS)
@@ -206,13 +209,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     drop_stages(spark, folder, "met", "inside", "meetings", "groups", "stars", "rest", "wholes")
 
     found = prints.select("id", "th", "n_shingles", "node").distinct().join(labels, "node", "left").drop("node")
-    id_, th = fresh(docs, "_id"), fresh(docs, "_th")
-    found = found.withColumnsRenamed({"id": id_, "th": th})
-    mine = fresh(docs, "_mine")
-    own = F.col(key).eqNullSafe(F.col(id_)) & (F.col(mine) == F.col(th))
-    out = docs.withColumn(mine, F.xxhash64(encoded)).join(found, own).drop(mine)
+    found = found.withColumnsRenamed({"id": "_id", "th": "_th"})
+    own = F.col(key).eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_th"))
+    out = docs.withColumn("_mine", F.xxhash64(encoded)).join(found, own)
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(key)))
-    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id"))).drop(id_, th)
+    out = out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    return hidden.restore(out, "n_shingles", "component_id", "kept")
 
 
 def _may_link(percent: int) -> Column:

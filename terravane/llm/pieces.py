@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import fresh, with_fields
+from terravane.llm.common import Hidden, with_fields
 
 SPACE = "▁"
 MEMORY_WORDS, MEMORY_PAIRS = 600_000, 500_000
@@ -269,7 +269,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", keep: list[str]
 
     Adds ``ids``, ``n_ids``, ``n_fallback`` (ids that stand for single bytes) and ``round_trip``
     (whether decoding gives the text back; U+2581 in a text comes back as a space).  Null and
-    empty texts have no ids.  ``model_file`` is a path on the driver; the model, of fixed size,
+    empty texts have no ids.  Columns named like the results give way.  ``model_file`` is a path on the driver; the model, of fixed size,
     is broadcast.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -277,9 +277,12 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", keep: list[str]
     with open(model_file, "rb") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    shown = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(fresh(docs, "_text")))
-    schema = with_fields(shown.select(*[F.col(f"`{c}`") for c in keep]).schema, "ids array<int>, n_ids long, n_fallback long, round_trip boolean")
-    return shown.mapInArrow(_encode(model_file, model, to_arrow_schema(schema)), schema)
+    hidden = Hidden(docs)
+    kept = hidden.columns(keep)
+    shown = hidden.df.select(*kept, F.col(hidden(text)).alias("_text"))
+    schema = with_fields(shown.select(*kept).schema, "ids array<int>, n_ids long, n_fallback long, round_trip boolean")
+    out = shown.mapInArrow(_encode(model_file, model, to_arrow_schema(schema)), schema)
+    return hidden.restore(out, "ids", "n_ids", "n_fallback", "round_trip", names=keep)
 
 
 def decode(rows: DataFrame, model_file: str, ids: str = "ids", to: str = "text") -> DataFrame:
@@ -288,7 +291,7 @@ def decode(rows: DataFrame, model_file: str, ids: str = "ids", to: str = "text")
 
     with open(model_file, "rb") as file:
         model = rows.sparkSession.sparkContext.broadcast(file.read())
-    schema = rows.schema.add(to, "string")
+    schema = with_fields(rows.schema, f"`{to}` string")
     shape = to_arrow_schema(schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

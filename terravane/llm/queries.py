@@ -45,7 +45,7 @@ def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
     )
-    sharded = shard_ring(docs, "doc_id", shards=8, spread=[F.col("text_crc32"), F.col("size")])
+    sharded = shard_ring(docs, "doc_id", shards=8, spread=["text_crc32", "size"])
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard", "hops")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.llm import rolling
-from terravane.llm.common import drop_stages, dropping_shuffles, fresh, shared_folder, write_stage
+from terravane.llm.common import Hidden, drop_stages, shared_folder, with_fields, write_stage
 
 #: Gram lengths by level, as parts of the minimum length; the last level is the length itself.
 LEVELS = (0.16, 0.75, 1.0)
@@ -134,9 +134,6 @@ def cover(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray,
     return begin[new], end[np.concatenate([new[1:], [len(begin)]]) - 1]
 
 
-_EXTRA_DDL = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-
-
 def _remove(length: int, keep_text: bool, schema: pa.Schema):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,23 +170,22 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, keep:
     as ``kept`` if asked for.  Texts are taken as UTF-8; a null text is empty; texts shorter
     than ``length`` lose nothing; matches never cross rows; a string repeated within its own row
     counts; rows that repeat a whole text all lose it.  Strings are compared by 64-bit hashes of
-    the run and 64-bit hashes of the phrase together.
+    the run and 64-bit hashes of the phrase together.  Columns named like the results give way.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
     folder = shared_folder(spark)
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    encoded = F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))
-    ranges = repeated_ranges(docs.select(F.xxhash64(encoded).alias("doc"), encoded.alias("bytes")).filter(F.octet_length("bytes") >= length), length, folder)
+    hidden = Hidden(docs)
+    encoded = F.coalesce(F.encode(hidden(text), "UTF-8"), F.lit(b""))
+    ranges = repeated_ranges(hidden.df.select(F.xxhash64(encoded).alias("doc"), encoded.alias("bytes")).filter(F.octet_length("bytes") >= length), length, folder)
     lists = write_stage(ranges.groupBy("doc").agg(F.collect_list("first").alias("_firsts"), F.collect_list("last").alias("_lasts")), folder, "ranges")
     drop_stages(spark, folder, *[f"{s}-{k}" for s in ("runs", "marked", "texts") for k in range(len(LEVELS))])
 
-    doc = fresh(docs, "_doc")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], encoded.alias("_bytes"), F.xxhash64(encoded).alias(doc))
-    joined = rows.join(lists.withColumnRenamed("doc", doc).hint("shuffle_hash"), doc, "left").drop(doc)
-    types = rows.select(*[F.col(f"`{c}`") for c in keep]).schema
-    for column in ("n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *(["kept string"] if with_kept else [])):
-        name, kind = column.split()
-        types = types.add(name, kind)
-    return joined.mapInArrow(_remove(length, with_kept, to_arrow_schema(types)), types)
+    kept = hidden.columns(keep)
+    rows = hidden.df.select(*kept, encoded.alias("_bytes"), F.xxhash64(encoded).alias("doc"))
+    joined = rows.join(lists.hint("shuffle_hash"), "doc", "left").drop("doc")
+    types = with_fields(rows.select(*kept).schema, "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_kept)
+    out = joined.mapInArrow(_remove(length, with_kept, to_arrow_schema(types)), types)
+    return hidden.restore(out, *types.names[len(kept) :], names=keep)

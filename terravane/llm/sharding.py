@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terravane.llm.common import fresh, literal_table
+from terravane.llm.common import Hidden, literal_table
 
 #: Positions on the ring are 0 .. RING - 1; virtual nodes sit on the borders of CELLS equal cells.
 RING, CELLS = 1 << 31, 1 << 16
@@ -57,7 +58,7 @@ def overflow(arcs: list[int], owners: list[int], room: list[int]) -> list[dict]:
     return pieces
 
 
-def shard_ring(docs: DataFrame, key: str, shards: int = 8, virtual_nodes: int = 64, slack: float = 0.0, spread: list[Column] | None = None, seed: int = 0) -> DataFrame:
+def shard_ring(docs: DataFrame, key: str, shards: int = 8, virtual_nodes: int = 64, slack: float = 0.0, spread: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """Adds ``shard``, ``slot``, ``home_shard`` and ``hops`` to every row.
 
     A row's place on the ring is a hash of ``key`` (and of ``spread``, which parts rows whose
@@ -65,7 +66,7 @@ def shard_ring(docs: DataFrame, key: str, shards: int = 8, virtual_nodes: int =
     quota, the row goes on to the next.  With ``slack`` 0 row counts differ by one at most, with
     ``slack`` e no shard holds more than (1 + e) of its share.  ``slot`` counts a shard's rows
     from 0 without gaps.  Null keys hash like any other value; rows that are equal in key and
-    spread are interchangeable; an empty table gives no rows.  A new shard changes the owner of
+    spread are interchangeable; an empty table gives no rows; columns named like results give way to them.  A new shard changes the owner of
     the arcs its virtual nodes cut, and quotas of the others, so only those rows move.
 
     Only counts go to the driver: one for each virtual node.  Ranks within an arc come from a
@@ -73,13 +74,14 @@ def shard_ring(docs: DataFrame, key: str, shards: int = 8, virtual_nodes: int =
     """
     spark = docs.sparkSession
     points = ring(shards, virtual_nodes, seed)
-    at, bin_, arc, rank, pieces = (fresh(docs, c) for c in ("_at", "_bin", "_arc", "_rank", "_pieces"))
-    spread = spread or []
+    hidden = Hidden(docs)
+    docs, by = hidden.df, [hidden(key), *[hidden(c) for c in spread]]
+    at, bin_, arc, rank, pieces = "_at", "_bin", "_arc", "_rank", "_pieces"
 
     total = docs.count()
     fine = max(0, math.ceil(math.log2(max(1, total) / BIN_ROWS / CELLS)))
     width = max(1, RING // CELLS >> fine)
-    placed = docs.withColumn(at, F.pmod(F.xxhash64(F.col(key), *spread), F.lit(RING)))
+    placed = docs.withColumn(at, F.pmod(F.xxhash64(*by), F.lit(RING)))
     placed = placed.withColumn(bin_, F.floor(F.col(at) / width))
 
     # Virtual nodes sit on cell borders, so a bin never spans two arcs.  An arc ends below its virtual node.
@@ -101,15 +103,16 @@ def shard_ring(docs: DataFrame, key: str, shards: int = 8, virtual_nodes: int =
     bins = bins.join(F.broadcast(plan.join(home, "arc")), "arc")
     bins = bins.select(F.col("bin").alias(bin_), F.col("offset").alias(rank), F.col("pieces").alias(pieces), F.col("home").alias(arc))
 
-    order = Window.partitionBy(bin_).orderBy(at, key, *spread)
+    order = Window.partitionBy(bin_).orderBy(at, *by)
     ranked = placed.withColumn(at, F.row_number().over(order)).join(bins, bin_)
     ranked = ranked.withColumn(rank, F.col(rank) + F.col(at) - 1)
     ranked = ranked.withColumn(pieces, F.filter(pieces, lambda p: (p["first"] <= F.col(rank)) & (F.col(rank) <= p["last"]))[0])
     piece = F.col(pieces)
-    return ranked.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+    sharded = ranked.select(
+        *docs.columns,
         piece["shard"].alias("shard"),
         (piece["base"] + F.col(rank) - piece["first"]).alias("slot"),
         F.col(arc).alias("home_shard"),
         piece["hops"].alias("hops"),
     )
+    return hidden.restore(sharded, "shard", "slot", "home_shard", "hops")
