@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a stage is written: its shuffle files go when it is a table, and batches of long texts stay small.
+STAGE_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,23 +29,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within the block, an execution's shuffle files go when it ends; its result is a table by then."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def stage_settings(spark: SparkSession) -> Iterator[None]:
+    """STAGE_SETTINGS within the block, and what was there before after it."""
+    before = {k: spark.conf.get(k, None) for k in STAGE_SETTINGS}
+    for k, v in STAGE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def write_stage(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    with dropping_shuffles(spark):
+    with stage_settings(spark):
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 

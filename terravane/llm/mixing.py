@@ -15,6 +15,8 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 #: Parts of a source whose words are counted side by side.
 BINS = 1024
 ROUNDS = 24
+#: Slots that are dealt out together.
+PIECE = 1024
 
 
 def words(text: Column) -> Column:
@@ -97,11 +99,17 @@ def draws(plan: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame
     plan = plan.withColumn("draws", passes * F.col("n") + rest)
     plan = plan.withColumn("high", F.sum("draws").over(whole.orderBy(F.col("source").asc_nulls_last())))
     plan = plan.withColumn("total", F.sum("draws").over(whole)).withColumn("low", F.col("high") - F.col("draws"))
-    # Slots come from each source's own range of the permutation, a row for every thousand first.
-    slots = plan.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / 1000)))).filter("draws > 0")
+    # Slots come from each source's own range of the permutation, cut into large and then small pieces.
+    def cut(df: DataFrame, name: str, first: Column, end: Column, step: int) -> DataFrame:
+        """A row for every ``step`` numbers from first to below end."""
+        return df.withColumn(name, F.explode(F.sequence(first, end - 1, F.lit(step).cast("long"))))
+
+    d = F.col("draws")
+    slots = cut(plan.filter("draws > 0"), "large", F.lit(0).cast("long"), d, PIECE * PIECE)
+    slots = cut(slots, "small", F.col("large"), F.least(F.col("large") + PIECE * PIECE, d), PIECE)
     # The rows are few bytes each but long to compute, so their number of partitions is not left to their size.
-    slots = slots.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("source", "part"))
-    slots = slots.withColumn("i", F.explode(F.sequence(F.col("part") * 1000, F.least(F.col("part") * 1000 + 999, F.col("draws") - 1))))
+    slots = slots.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("source", "small"))
+    slots = cut(slots, "i", F.col("small"), F.least(F.col("small") + PIECE, d), 1)
     slots = slots.withColumn("slot", permuted(F.col("low") + F.col("i"), F.col("total"), F.lit(seed), F.lit("slot")))
     slots = slots.withColumn("block", permuted(F.col("i") % F.col("n"), F.col("n"), F.lit(seed), F.col("source"), F.floor(F.col("i") / F.col("n"))))
     return slots.select("source", F.floor(F.col("slot") / shard_slots).alias("shard"), "slot", "block")
