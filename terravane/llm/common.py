@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 from contextlib import contextmanager
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,17 @@ def literal_table(spark: SparkSession, schema: str, rows: Sequence[dict]) -> Dat
     return spark.range(1).select(F.explode(parsed).alias("r")).select("r.*")
 
 
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one thing at a time, so that operators do not add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def with_fields(schema: StructType, ddl: str) -> StructType:
     """A schema with further fields."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

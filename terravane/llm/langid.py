@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terravane.llm.common import Hidden, with_fields
+from terravane.llm.common import Hidden, held, with_fields
 
 #: Bounds on what is learned from: rows a language, and characters a language of them.
 SAMPLE_ROWS, SAMPLE_CHARS = 64, 40_000
 #: Parsed words that a worker remembers.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 350_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -108,9 +108,6 @@ class Parser(dict):
         return self.languages[order[0]], float(1 - rates[order[0]] / rates[order[1]])
 
 
-_parsers: dict[int, Parser] = {}
-
-
 def samples(rows: DataFrame) -> dict[str, str]:
     """Words of a bounded sample of labelled rows for each language, in a fixed pseudorandom order.
 
@@ -133,10 +130,7 @@ def samples(rows: DataFrame) -> dict[str, str]:
 
 def _judge(model, stamp: int, schema: pa.Schema):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if stamp not in _parsers:
-            _parsers.clear()
-            _parsers[stamp] = Parser(model.value)
-        parser = _parsers[stamp]
+        parser = held(("languages", stamp), lambda: Parser(model.value))
         for batch in batches:
             found = [parser.judge(t.as_py()) for t in batch.column("_text")]
             made = {"lang_pred": [x for x, _ in found], "score": [x for _, x in found]}

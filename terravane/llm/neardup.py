@@ -28,8 +28,8 @@ from terravane.llm.common import Hidden, components, drop_stages, shared_folder,
 SYMBOLS, CHUNK = 60, 5
 CHUNKS = SYMBOLS // CHUNK
 RADIUS, LIMIT = 2 * CHUNKS - 1, 28
-#: Orders in which buckets choose their centre, and nodes that a task compares with as many.
-ORDERS, BLOCK = 3, 128
+#: Chunks of the first round, orders in which its buckets choose their centre, and nodes that a task compares with as many.
+FIRST, ORDERS, BLOCK = 2, 3, 128
 #: A chunk is a 64-bit number with a symbol of 11 bits in each lane of 12.
 LANE, SYMBOL = 12, (1 << 11) - 1
 _LOW, _HIGH = (sum(x << LANE * j for j in range(CHUNK)) for x in (SYMBOL, SYMBOL + 1))
@@ -111,14 +111,23 @@ def _fingerprints(n: int, schema: pa.Schema):
     return work
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 2000):
-            part = batch.slice(i, 2000)
-            sig = part.column("sig").flatten().to_numpy().view(np.uint64).reshape(-1, CHUNKS)
-            if len(sig):
-                node = np.repeat(part.column("node").to_numpy(zero_copy_only=False), SYMBOLS)
-                yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sig).ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
+def _keys(chunks: int):
+    """(node, component, size, sig) -> a row for each key of the first chunks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["node", "component", "size"]
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                sig = part.column("sig").flatten().to_numpy().view(np.uint64).reshape(-1, CHUNKS)
+                keys = chunk_keys(sig)[:, : chunks * CHUNK]
+                same = [pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), keys.shape[1])) for c in names]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys).ravel().view(np.int64)), *same], names=["key", *names])
+
+    return work
+
+
+_KEYS = "key long, node long, component long, size long"
 
 
 def _set_of(n: int):
@@ -171,25 +180,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     nodes = prints.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("one"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     nodes = write_stage(nodes.select("node", "one.id", "one.th", "n", "sig"), folder, "nodes")
 
-    keys = nodes.select("node", "sig").mapInArrow(_keys, "key long, node long")
-    # A bucket's centre is its first node in one of a few orders, so buckets of a group have several centres.
+    # First, by the keys of a few chunks, every member of a bucket against the bucket's centre: that settles most of
+    # any group of copies.  The centre is the first in one of a few orders, so buckets of a group have several.
+    lone = nodes.select("node", F.col("node").alias("component"), F.lit(1).cast("long").alias("size"), "sig")
+    keys = lone.mapInArrow(_keys(FIRST), _KEYS).select("key", "node")
     rank = F.xxhash64("node", F.pmod("key", F.lit(ORDERS)))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", rank).alias("centre")).filter("n > 1").drop("n")
-    met = write_stage(keys.join(shared, "key"), folder, "met")
-
-    # First every member of a bucket against the bucket's centre; that settles groups of copies.
+    stars = keys.join(shared, "key").filter("node <> centre")
+    stars = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    stars = write_stage(_plausible(stars, nodes, percent), folder, "stars")
     sets_of = nodes.select("node", "id", "th")
-    stars = met.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    stars = _plausible(stars, nodes, percent)
-    links = _confirmed(stars, sets_of, rows, words, percent, folder, "stars")
+    links = _confirmed(stars, sets_of, rows, words, percent, folder, "near")
     groups = components(links, folder, "first")
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
     groups = write_stage(groups.join(sizes, "component"), folder, "groups")
 
-    # Then, where a bucket still holds several components, each node against the larger of them as wholes.
-    inside = met.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
-    mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    inside = write_stage(inside.join(mixed, "key"), folder, "inside")
+    # Then, where a bucket of any key holds several components, each node against the larger of them as wholes.
+    labelled = nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"), "sig")
+    keys = labelled.mapInArrow(_keys(CHUNKS), _KEYS)
+    mixed = keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    inside = write_stage(keys.join(mixed, "key"), folder, "inside")
     about = nodes.select("node", "n", "sig")
     x = inside.join(about, "node").select("key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("size_x"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     y = inside.groupBy("key", "component").agg(F.min("node").alias("node"), F.max("size").alias("size")).join(about, "node")
@@ -206,7 +216,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     labels = nodes.select("node", "id").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labels.groupBy("component").agg(F.min("id").alias("component_id"))
     labels = write_stage(labels.join(least, "component").select("node", "component_id"), folder, "labels")
-    drop_stages(spark, folder, "met", "inside", "meetings", "groups", "stars", "rest", "wholes")
+    drop_stages(spark, folder, "inside", "meetings", "groups", "stars", "near", "rest", "wholes")
 
     found = prints.select("id", "th", "n_shingles", "node").distinct().join(labels, "node", "left").drop("node")
     found = found.withColumnsRenamed({"id": "_id", "th": "_th"})

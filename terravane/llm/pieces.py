@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import Hidden, with_fields
+from terravane.llm.common import Hidden, held, with_fields
 
 SPACE = "▁"
 MEMORY_WORDS, MEMORY_PAIRS = 600_000, 500_000
@@ -232,14 +232,8 @@ class Transducer:
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
-_compiled: dict[str, Transducer] = {}
-
-
 def _transducer(name: str, model) -> Transducer:
-    if name not in _compiled:
-        _compiled.clear()
-        _compiled[name] = Transducer(model.value)
-    return _compiled[name]
+    return held(("pieces", name), lambda: Transducer(model.value))
 
 
 def _encode(name: str, model, schema: pa.Schema):
