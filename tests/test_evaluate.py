@@ -10,7 +10,7 @@ from terravane.plans import report
 
 @pytest.fixture(scope="module")
 def scored(spark):
-    """The eleven held-out months of the published evaluation: labels and forest probabilities."""
+    """Eleven months with two events and scores that tie with listed thresholds."""
     p = [0.08950767665723929, 0.06666328786166247, 0.5, 0.3, 0.25, 0.45, 0.62, 0.1, 0.31, 0.4, 0.2]
     y = [0, 0, 1, 0, 0, 0, 0, 0, 1, 0, 0]
     return spark.createDataFrame(list(zip(range(11), y, p, strict=True)), "id int, y int, prob double")
