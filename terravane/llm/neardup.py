@@ -29,7 +29,7 @@ SYMBOLS, CHUNK = 60, 5
 CHUNKS = SYMBOLS // CHUNK
 RADIUS, LIMIT = 2 * CHUNKS - 1, 28
 #: Chunks of the first round, orders in which its buckets choose their centre, and nodes that a task compares with as many.
-FIRST, ORDERS, BLOCK = 2, 3, 128
+FIRST, ORDERS, BLOCK = 1, 3, 128
 #: A chunk is a 64-bit number with a symbol of 11 bits in each lane of 12.
 LANE, SYMBOL = 12, (1 << 11) - 1
 _LOW, _HIGH = (sum(x << LANE * j for j in range(CHUNK)) for x in (SYMBOL, SYMBOL + 1))
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     nodes = prints.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("one"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     nodes = write_stage(nodes.select("node", "one.id", "one.th", "n", "sig"), folder, "nodes")
 
-    # First, by the keys of a few chunks, every member of a bucket against the bucket's centre: that settles most of
+    # First, by the keys of a chunk, every member of a bucket against the bucket's centre: that settles most of
     # any group of copies.  The centre is the first in one of a few orders, so buckets of a group have several.
     lone = nodes.select("node", F.col("node").alias("component"), F.lit(1).cast("long").alias("size"), "sig")
     keys = lone.mapInArrow(_keys(FIRST), _KEYS).select("key", "node")
@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     pairs = meetings.filter("size_y = 1").select(F.least("x", "cy").alias("a"), F.greatest("x", "cy").alias("b")).distinct()
     more = _confirmed(pairs.join(stars, ["a", "b"], "left_anti"), sets_of, rows, words, percent, folder, "rest")
     more = more.union(_linked_wholes(meetings.filter("size_y > 1"), groups, sets_of, rows, words, percent, folder))
-    merged = components(links.union(more), folder, "last")
+    # A component's star stands for its links.
+    merged = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), folder, "last")
 
     labels = nodes.select("node", "id").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labels.groupBy("component").agg(F.min("id").alias("component_id"))
