@@ -29,7 +29,7 @@ SYMBOLS, CHUNK = 60, 5
 CHUNKS = SYMBOLS // CHUNK
 RADIUS, LIMIT = 2 * CHUNKS - 1, 28
 #: Chunks of the first round, orders in which its buckets choose their centre, and nodes that a task compares with as many.
-FIRST, ORDERS, BLOCK = 1, 3, 128
+FIRST, ORDERS, BLOCK = 2, 3, 128
 #: A chunk is a 64-bit number with a symbol of 11 bits in each lane of 12.
 LANE, SYMBOL = 12, (1 << 11) - 1
 _LOW, _HIGH = (sum(x << LANE * j for j in range(CHUNK)) for x in (SYMBOL, SYMBOL + 1))
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     nodes = prints.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("one"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     nodes = write_stage(nodes.select("node", "one.id", "one.th", "n", "sig"), folder, "nodes")
 
-    # First, by the keys of a chunk, every member of a bucket against the bucket's centre: that settles most of
+    # First, by the keys of a few chunks, every member of a bucket against the bucket's centre: that settles most of
     # any group of copies.  The centre is the first in one of a few orders, so buckets of a group have several.
     lone = nodes.select("node", F.col("node").alias("component"), F.lit(1).cast("long").alias("size"), "sig")
     keys = lone.mapInArrow(_keys(FIRST), _KEYS).select("key", "node")
@@ -191,11 +191,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     stars = write_stage(_plausible(stars, nodes, percent), folder, "stars")
     sets_of = nodes.select("node", "id", "th")
     links = _confirmed(stars, sets_of, rows, words, percent, folder, "near")
-    groups = components(links, folder, "first")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    groups = write_stage(groups.join(sizes, "component"), folder, "groups")
-
-    # Then, where a bucket of any key holds several components, each node against the larger of them as wholes.
+    # Candidates make clusters, confirmed links the components within them.
+    strict = components(links, folder, "first").withColumnRenamed("component", "strict")
+    groups = components(stars, folder, "loose").join(strict, "node", "left").withColumn("strict", F.coalesce("strict", "node"))
+    parts = groups.groupBy("component", "strict").agg(F.count("*").alias("n"))
+    main = parts.groupBy("component").agg(F.max_by("strict", "n").alias("main"), F.sum("n").alias("size"))
+    groups = write_stage(groups.join(main, "component"), folder, "groups")
+
+    # Then each node that is not linked with most of its own cluster against that cluster as a whole, and, where a
+    # bucket of any key holds several clusters, each node against the larger of them.
     labelled = nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"), "sig")
     keys = labelled.mapInArrow(_keys(CHUNKS), _KEYS)
     mixed = keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
@@ -210,9 +214,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     meetings = write_stage(meetings, folder, "meetings")
     pairs = meetings.filter("size_y = 1").select(F.least("x", "cy").alias("a"), F.greatest("x", "cy").alias("b")).distinct()
     more = _confirmed(pairs.join(stars, ["a", "b"], "left_anti"), sets_of, rows, words, percent, folder, "rest")
-    more = more.union(_linked_wholes(meetings.filter("size_y > 1"), groups, sets_of, rows, words, percent, folder))
+    own = groups.filter("strict <> main").select(F.col("node").alias("x"), F.col("component").alias("cy"), F.col("size").alias("size_y"))
+    more = more.union(_linked_wholes(meetings.filter("size_y > 1").union(own), groups, sets_of, rows, words, percent, folder))
     # A component's star stands for its links.
-    merged = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), folder, "last")
+    merged = components(groups.select(F.col("node").alias("a"), F.col("strict").alias("b")).union(more), folder, "last")
 
     labels = nodes.select("node", "id").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labels.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -260,8 +265,8 @@ def _confirmed(pairs: DataFrame, sets_of: DataFrame, rows: DataFrame, words: int
     return links
 
 
-def linked_to(asking: list[np.ndarray], members: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """For each asking set that is similar enough to a member, its number and the first such member's."""
+def linked_to(asking: list[np.ndarray], own: np.ndarray, members: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """For each asking set and each label but its own, the first member so labelled that is similar enough."""
     owner = np.repeat(np.arange(len(members)), [len(m) for m in members])
     values = np.concatenate(members)
     order = np.argsort(values, kind="stable")
@@ -273,9 +278,9 @@ def linked_to(asking: list[np.ndarray], members: list[np.ndarray], percent: int)
         n = high - low
         at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         same = np.bincount(owner[at], minlength=len(members))
-        good = np.flatnonzero(100 * same >= percent * (sizes + len(one) - same))
-        if len(good):
-            out.append((i, int(good[0])))
+        good = np.flatnonzero((100 * same >= percent * (sizes + len(one) - same)) & (labels != own[i]))
+        _, first = np.unique(labels[good], return_index=True)
+        out += [(i, int(j)) for j in good[first]]
     return out
 
 
@@ -284,30 +289,31 @@ def _ask(percent: int):
         x, y = asking.column("x").to_pylist(), members.column("y").to_pylist()
         found = []
         if x and y:
-            sets = [[np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in c] for c in (asking.column("shingles"), members.column("members"))]
-            found = linked_to(*sets, percent)
+            one, other = ([np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in c] for c in (asking.column("shingles"), members.column("members")))
+            found = linked_to(one, asking.column("own").to_numpy(), other, members.column("label").to_numpy(), percent)
         return pa.table({"a": pa.array([x[i] for i, _ in found], pa.int64()), "b": pa.array([y[j] for _, j in found], pa.int64())})
 
     return work
 
 
 def _linked_wholes(meetings: DataFrame, groups: DataFrame, sets_of: DataFrame, rows: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
-    """A link from each node to each component it met that has a similar enough member.
+    """A link from each node to each component of the clusters it met that has a similar enough member.
 
     ``meetings`` has ``x`` and ``cy``.  All members are looked at, not only those met.  Members and
     asking nodes are dealt into blocks of about BLOCK, and a task compares a block with a block;
-    as one link is enough to join a component, at most one comes out for each node and block.
+    as one link is enough to join a component, one comes out for each node, block and component.
     """
     asked = meetings.groupBy("cy").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    members = groups.join(asked, F.col("component") == F.col("cy")).select("cy", F.col("node").alias("y"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), "chunks")
+    members = groups.join(asked, F.col("component") == F.col("cy")).select("cy", F.col("node").alias("y"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), "chunks", F.col("strict").alias("label"))
     ids = members.select(F.col("y").alias("node")).union(meetings.select("x")).distinct()
     sets = write_stage(_sets(ids, sets_of, rows, words), folder, "wholes-sets")
     everyone = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    right = members.join(sets.withColumnRenamed("node", "y"), "y").select("cy", F.pmod(F.xxhash64("y"), "blocks").cast("int").alias("block"), everyone.alias("chunk"), "y", "shingles")
-    asking = meetings.join(asked, "cy").withColumn("blocks", F.ceil(F.col("size_y") / BLOCK).cast("int"))
+    right = members.join(sets.withColumnRenamed("node", "y"), "y").select("cy", F.pmod(F.xxhash64("y"), "blocks").cast("int").alias("block"), everyone.alias("chunk"), "y", "shingles", "label")
+    asking = meetings.join(groups.select(F.col("node").alias("x"), F.col("strict").alias("own")), "x", "left").withColumn("own", F.coalesce("own", "x"))
+    asking = asking.join(asked, "cy").withColumn("blocks", F.ceil(F.col("size_y") / BLOCK).cast("int"))
     everyone = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = asking.join(sets.withColumnRenamed("node", "x"), "x").select("cy", everyone.alias("block"), F.pmod(F.xxhash64("x"), "chunks").cast("int").alias("chunk"), "x", "shingles")
-    right = right.select(*[F.col(c).alias(n) for c, n in zip(right.columns, ("cm", "bm", "km", "y", "members"), strict=True)])
+    left = asking.join(sets.withColumnRenamed("node", "x"), "x").select("cy", everyone.alias("block"), F.pmod(F.xxhash64("x"), "chunks").cast("int").alias("chunk"), "x", "own", "shingles")
+    right = right.select(*[F.col(c).alias(n) for c, n in zip(right.columns, ("cm", "bm", "km", "y", "members", "label"), strict=True)])
     links = left.groupBy("cy", "block", "chunk").cogroup(right.groupBy("cm", "bm", "km")).applyInArrow(_ask(percent), "a long, b long")
     links = write_stage(links, folder, "wholes")
     drop_stages(rows.sparkSession, folder, "wholes-sets")

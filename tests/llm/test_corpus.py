@@ -114,10 +114,13 @@ def test_similarity_is_estimated():
 def test_linked_to_equals_sets():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint64) for _ in range(40)]
-    got = dict(neardup.linked_to(sets[:20], sets[20:], 50))
+    own, labels = rng.integers(0, 5, (2, 20))
+    got = neardup.linked_to(sets[:20], own, sets[20:], labels, 50)
+    want = set()
     for i, a in enumerate(sets[:20]):
-        good = [j for j, b in enumerate(sets[20:]) if 100 * len(np.intersect1d(a, b)) >= 50 * len(np.union1d(a, b))]
-        assert got.get(i) == (good[0] if good else None)
+        good = [j for j, b in enumerate(sets[20:]) if 100 * len(np.intersect1d(a, b)) >= 50 * len(np.union1d(a, b)) and labels[j] != own[i]]
+        want |= {(i, next(j for j in good if labels[j] == c)) for c in {labels[j] for j in good}}
+    assert set(got) == want and len(got) == len(want)
 
 
 def test_components(spark):
