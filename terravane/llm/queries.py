@@ -25,14 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pictures that share a view with an edited crop of every hundredth one.
+    """For every picture how many of the edited crops of every hundredth one it shares a view with, and the best of them.
 
     The tables hold no images, so every embedding is drawn as one.
     """
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     queries = pictures(vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding", edited=True)
     found = find_copies(queries, pictures(vectors, "vec_id", "embedding"))
-    return found.withColumnsRenamed({"query": "query_id", "image": "vec_id"})
+    best = F.max(F.struct("corners", -F.col("query"), "query", "turn", "halvings", "dx", "dy")).alias("b")
+    found = found.groupBy(F.col("image").alias("vec_id")).agg(F.count("*").alias("n_queries"), best)
+    out = vectors.select("vec_id").join(found, "vec_id", "left")
+    return out.select("vec_id", F.coalesce("n_queries", F.lit(0)).alias("n_queries"), F.col("b.query").alias("query_id"), "b.corners", "b.turn", "b.halvings", "b.dx", "b.dy")
 
 
 def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,8 @@ def test_every_edited_picture_finds_its_source(spark, sf):
     found = queries.op1_image_copies(spark, sf)
     wanted = spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 100 = 0").count()
     assert found.filter("query_id = vec_id").count() >= 0.9 * wanted
+    assert found.count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert found.filter("(n_queries > 0) <> (query_id is not null)").isEmpty()
 
 
 def test_tool_calls_equal_sql(spark, sf):
