@@ -358,12 +358,12 @@ def vegetation_composite(spark: SparkSession, d: str) -> DataFrame:
     return raster.vegetation_composite(bands.filter(~absent), raster.grid(spark, 9, 8)).withColumn("value", r6("value"))
 
 
-@query("""SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS time, round(avg(o_totalprice), 2) AS price, count(o_totalprice) AS cells
+@query("""SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS time, round(avg(o_totalprice), 6) AS price, count(o_totalprice) AS cells
   FROM orders WHERE o_custkey % 100 BETWEEN 20 AND 40 AND o_custkey % 70 BETWEEN 10 AND 30 GROUP BY 1""")
 def region_series(spark: SparkSession, d: str) -> DataFrame:
     """Monthly means over the places within a box."""
     placed = table(spark, d, "orders").select(calendar.month_start(F.col("o_orderdate")).alias("time"), F.col("o_totalprice").alias("price"), (F.col("o_custkey") % 100).alias("longitude"), (F.col("o_custkey") % 70).alias("latitude"))
-    return raster.region_mean(placed, "price", (20, 10, 40, 30), by=["time"]).withColumn("price", F.round("price", 2))
+    return raster.region_mean(placed, "price", (20, 10, 40, 30), by=["time"]).withColumn("price", r6("price"))
 
 
 @query("""SELECT vec_id AS scene_id, 0 AS first_row, 0 AS first_col, 8 AS height, 8 AS width, CAST(64 AS BIGINT) AS cells, CAST(len(list_filter(embedding, lambda x: x IS NOT NULL)) AS BIGINT) AS valid FROM embeddings""")
