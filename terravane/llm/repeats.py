@@ -13,7 +13,7 @@ Equal strings lie in runs with equal least hashes, so:
 * a run whose whole phrase occurs elsewhere consists of repeats;
 * only phrases that share their hash with a different phrase must be looked into.  One copy of
   each goes on to the next level, with a longer gram and thus shorter runs.  At k = N a run is a
-  single string, and the question is settled.
+  single string or equal strings in a row, and the question is settled.
 """
 
 from __future__ import annotations
@@ -99,8 +99,8 @@ def repeated_ranges(docs: DataFrame, length: int, folder: str) -> DataFrame:
         gram = max(1, min(length, round(length * part)))
         found = source.mapInArrow(_find_runs(length, gram), _RUNS_DDL)
         if gram == length:
-            # Each run is a single string, so its hash says all.
-            twice = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+            # A run is a single string, or equal ones in a row, each of which counts; its hash says all.
+            twice = found.groupBy("gram").agg(F.sum(F.expr("last - first + 1")).alias("n")).filter("n > 1").select("gram")
             ranges.append(found.select("gram", "doc", "first", "last").join(twice, "gram").select("doc", "first", "last"))
             break
         grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("phrase").alias("p"), F.max("phrase").alias("q"), F.max("again").alias("self"))

@@ -171,6 +171,14 @@ def test_repeats_of_random_and_periodic_bytes(spark):
     assert got == dict(enumerate(brute_repeats(texts, 12)))
 
 
+def test_a_lone_run_of_equal_bytes_repeats_itself(spark):
+    texts = ["before " + "=" * 300 + " after", "-" * 201, "~" * 200, "#" * 200 + " and " + "#" * 199, "ab" * 101]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df, length=200).collect()}
+    assert got == dict(enumerate(brute_repeats(texts, 200)))
+    assert [got[i][1] for i in range(4)] == [300, 201, 0, 0]
+
+
 def test_repeats_keep_whole_characters(spark):
     df = spark.createDataFrame([("é" * 20 + "x",), ("yé" + "é" * 18,)], "text string")
     got = repeats.remove_repeats(df, length=31, with_kept=True).collect()
