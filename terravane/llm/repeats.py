@@ -90,7 +90,8 @@ def _find_runs(length: int, gram: int):
 def repeated_ranges(docs: DataFrame, length: int, folder: str) -> DataFrame:
     """Starts of repeated strings, as ``(doc, first, last)`` ranges, of ``(doc, bytes)`` rows.
 
-    ``doc`` is a hash of the bytes, so rows with equal bytes share their ranges.  Counts are
+    ``doc`` is a hash of the bytes, so rows with equal bytes share their ranges, and each range
+    is given once, however many rows have it.  Counts are
     pre-aggregated before each shuffle; a hash that very many runs share is one row on one side
     of a join, whose other side Spark may split.
     """
@@ -123,7 +124,8 @@ def repeated_ranges(docs: DataFrame, length: int, folder: str) -> DataFrame:
     out = ranges[0]
     for more in ranges[1:]:
         out = out.union(more)
-    return out
+    # Every row of equal bytes has given its ranges; a list of them must not grow with the copies.
+    return out.distinct()
 
 
 def cover(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -179,6 +179,16 @@ def test_a_lone_run_of_equal_bytes_repeats_itself(spark):
     assert [got[i][1] for i in range(4)] == [300, 201, 0, 0]
 
 
+def test_ranges_of_copies_do_not_grow_with_the_copies(spark):
+    rng = random.Random(15)
+    text = words(rng, 200)
+    texts = [text] * 40 + ["before " + text, words(rng, 100)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(F.xxhash64("text").alias("doc"), F.encode("text", "UTF-8").alias("bytes"))
+    got = [tuple(r) for r in repeats.repeated_ranges(df.repartition(3), 200, shared_folder(spark)).collect()]
+    assert got and len(got) == len(set(got))
+    assert len({doc for doc, _, _ in got}) == 2
+
+
 def test_repeats_keep_whole_characters(spark):
     df = spark.createDataFrame([("é" * 20 + "x",), ("yé" + "é" * 18,)], "text string")
     got = repeats.remove_repeats(df, length=31, with_kept=True).collect()
