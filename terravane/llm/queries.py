@@ -25,17 +25,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every picture how many of the edited crops of every hundredth one it shares a view with, and the best of them.
+    """For every picture the edited crops of every hundredth one that it shares a view with: all, their number, and the best.
 
-    The tables hold no images, so every embedding is drawn as one.
+    The tables hold no images, so every embedding is drawn as one.  Equal embeddings give equal
+    pictures and are one class, ``class_id`` being its least vec_id.  ``matches`` has an entry for
+    each class of queries: its ``class_id``, its least query, how many queries it holds, and the
+    geometry, which is that of each pair of a query and a picture of the two classes.
     """
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries = pictures(vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding", edited=True)
-    found = find_copies(queries, pictures(vectors, "vec_id", "embedding"))
-    best = F.max(F.struct("corners", -F.col("query"), "query", "turn", "halvings", "dx", "dy")).alias("b")
-    found = found.groupBy(F.col("image").alias("vec_id")).agg(F.count("*").alias("n_queries"), best)
-    out = vectors.select("vec_id").join(found, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_queries", F.lit(0)).alias("n_queries"), F.col("b.query").alias("query_id"), "b.corners", "b.turn", "b.halvings", "b.dx", "b.dy")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")).alias("class"))
+    keyed = vectors.filter("vec_id is not null and class is not null")
+    images = keyed.groupBy("class").agg(F.min("vec_id").alias("class_id"), F.first("embedding").alias("embedding"))
+    asked = keyed.filter("vec_id % 100 = 0").groupBy("class").agg(F.min("vec_id").alias("query_id"), F.count("*").alias("n_queries"), F.first("embedding").alias("embedding"))
+    found = find_copies(pictures(asked, "class", "embedding", edited=True), pictures(images, "class", "embedding"))
+    classes = images.select("class", "class_id")
+    named = asked.select(F.col("class").alias("query"), "query_id", "n_queries").join(classes.withColumnRenamed("class", "query"), "query")
+    match = F.struct("class_id", "query_id", "n_queries", "corners", "turn", "halvings", "dx", "dy")
+    best = F.max(F.struct("corners", -F.col("query_id"), "query_id", "turn", "halvings", "dx", "dy")).alias("b")
+    found = found.join(named, "query").groupBy(F.col("image").alias("class")).agg(F.sum("n_queries").alias("n_queries"), best, F.array_sort(F.collect_list(match)).alias("matches"))
+    rows = vectors.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("class")).alias("class"))
+    out = rows.join(classes.join(found, "class", "left"), "class", "left")
+    of_best = [F.col("b.query_id").alias("query_id"), "b.corners", "b.turn", "b.halvings", "b.dx", "b.dy"]
+    return out.select("vec_id", F.coalesce("n_queries", F.lit(0)).alias("n_queries"), *of_best, "class_id", "matches")
 
 
 def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

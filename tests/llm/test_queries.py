@@ -1,11 +1,14 @@
 """The corpus queries over the driver tables."""
 
+from collections import Counter
+
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terravane.llm import queries
+from terravane.llm import media, queries
 
 COLUMNS = {
     "op2_ring_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
@@ -41,6 +44,25 @@ def test_every_edited_picture_finds_its_source(spark, sf):
     assert found.filter("(n_queries > 0) <> (query_id is not null)").isEmpty()
 
 
+def test_pictures_name_all_their_pairs(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    base, other = rng.normal(size=(2, 64))
+    near = base + rng.normal(size=64) * 0.002
+    vectors = [(0, base), (100, base), (1, base), (200, near), (2, near), (300, other), (400, -other), (3, None), (None, base)]
+    df = spark.createDataFrame([(k, v if v is None else v.tolist()) for k, v in vectors], "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = queries.op1_image_copies(spark, str(tmp_path)).cache()
+    asked = media.pictures(df.filter("vec_id % 100 = 0"), "vec_id", "embedding", edited=True)
+    want = sorted(tuple(r) for r in media.find_copies(asked, media.pictures(df, "vec_id", "embedding")).collect())
+    matches = out.select("vec_id", F.explode("matches").alias("m")).select("vec_id", "m.*")
+    members = out.filter("vec_id % 100 = 0").select("class_id", F.col("vec_id").alias("query"))
+    got = sorted(tuple(r) for r in matches.join(members, "class_id").select("query", "vec_id", "corners", "turn", "halvings", "dx", "dy").collect())
+    assert got == want
+    assert {(0, 200), (200, 0), (100, 1), (0, 100), (200, 2)} <= {r[:2] for r in got}
+    counts = Counter(r[1] for r in want)
+    assert {r.vec_id: r.n_queries for r in out.collect()} == {k: counts[k] for k, _ in vectors}
+
+
 def test_tool_calls_equal_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
