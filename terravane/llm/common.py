@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Settings while a stage is written: its shuffle files go when it is a table, and batches of long texts stay small.
-STAGE_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+STAGE_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+}
 
 
 def shared_folder(spark: SparkSession) -> str:

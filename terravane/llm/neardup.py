@@ -28,8 +28,8 @@ from terravane.llm.common import Hidden, components, drop_stages, shared_folder,
 SYMBOLS, CHUNK = 60, 5
 CHUNKS = SYMBOLS // CHUNK
 RADIUS, LIMIT = 2 * CHUNKS - 1, 28
-#: Chunks of the first round, orders in which its buckets choose their centre, and nodes that a task compares with as many.
-FIRST, ORDERS, BLOCK = 2, 3, 128
+#: Chunks of the first round, orders in which its buckets choose their centre, and nodes and shingles of a block.
+FIRST, ORDERS, BLOCK, BLOCK_SHINGLES = 2, 3, 128, 1 << 18
 #: A chunk is a 64-bit number with a symbol of 11 bits in each lane of 12.
 LANE, SYMBOL = 12, (1 << 11) - 1
 _LOW, _HIGH = (sum(x << LANE * j for j in range(CHUNK)) for x in (SYMBOL, SYMBOL + 1))
@@ -58,7 +58,7 @@ def shingles(data: np.ndarray, n: int) -> np.ndarray:
     n = min(n, len(h))
     out = np.zeros(len(h) - n + 1, dtype=np.uint64)
     for i in range(n):
-        out = rolling.mix(out * np.uint64(rolling.BASE) + h[i : i + len(out)] + np.uint64(n))
+        out = rolling.mix(out * np.uint64(rolling.MULTIPLIER) + h[i : i + len(out)] + np.uint64(n))
     return np.unique(out)
 
 
@@ -79,7 +79,7 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     out = np.empty((*sig.shape, CHUNK), dtype=np.uint64)
     for left in range(CHUNK):
         out[:, :, left] = sig & np.uint64(_LOW ^ (SYMBOL << LANE * left))
-    place = np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(rolling.BASE)
+    place = np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(rolling.MULTIPLIER)
     return rolling.mix(out.reshape(len(sig), SYMBOLS) + place)
 
 
@@ -89,23 +89,26 @@ def distance(x: str, y: str) -> Column:
     return reduce(lambda p, q: p + q, parts)
 
 
-_SETS = "n_shingles long, node long, sig array<long>"
+#: A set's size, its 128-bit print in two numbers, and its signature.
+_SETS = "n_shingles long, p long, q long, sig array<long>"
+
+
+def prints(hashes: np.ndarray) -> tuple[int, int]:
+    """A set's 128-bit print in two numbers."""
+    one = np.bitwise_xor.reduce(rolling.mix(hashes + np.uint64(1)), keepdims=True) + np.uint64(len(hashes))
+    two = np.add.reduce(rolling.mix(hashes ^ np.uint64(rolling.MULTIPLIER)), keepdims=True)
+    return tuple(int(rolling.mix(x).view(np.int64)[0]) for x in (one, two))
 
 
 def _fingerprints(n: int, schema: pa.Schema):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, nodes, sigs = [], [], []
+            made = {"n_shingles": [], "p": [], "q": [], "sig": []}
             for value in batch.column("_bytes"):
                 found = shingles(np.frombuffer(value.as_buffer() or b"", dtype=np.uint8), n)
-                counts.append(len(found))
-                if len(found):
-                    nodes.append(int(rolling.mix(np.bitwise_xor.reduce(rolling.mix(found + np.uint64(1)), keepdims=True) + np.uint64(len(found))).view(np.int64)[0]))
-                    sigs.append(signature(found).view(np.int64))
-                else:
-                    nodes.append(None)
-                    sigs.append(None)
-            made = {"n_shingles": counts, "node": nodes, "sig": sigs}
+                p, q = prints(found) if len(found) else (None, None)
+                for name, v in zip(made, (len(found), p, q, signature(found).view(np.int64) if len(found) else None), strict=True):
+                    made[name].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) if f.name in made else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
 
     return work
@@ -157,15 +160,17 @@ def _links(percent: int):
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """Adds ``n_shingles``, ``component_id`` and ``kept`` to every row.
+    """Adds ``n_shingles``, ``component_id``, ``kept`` and ``chosen`` to every row.
 
     A row's set holds its distinct ``words``-word shingles over whole texts, lower-cased in A-Z.
     Rows are linked when 100 * |intersection| >= ``percent`` * |union|; ``component_id`` is the
     smallest key reachable over links, ``kept`` says whether that is the row's own.  A null or
     blank text has an empty set and is linked with nothing.  Rows with equal sets are one node,
     whose key is the smallest; rows with a null key belong to the node's component, and are kept
-    only if no row of it has a key.  Repeated rows with equal keys are kept alike.  Columns named
-    like the results give way to them.
+    only if no row of it has a key.  ``chosen`` holds for one row of each component, the first by
+    key, null keys last, and then by a hash of the text; rows that repeat it in key and text are
+    chosen alike, and rows with an empty set always.  A very long text is one row's work.  An
+    empty table gives no rows.  Columns named like the results give way to them.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -174,11 +179,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     hidden = Hidden(docs)
     docs, key, text = hidden.df, hidden(key), hidden(text)
     encoded = F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(encoded).alias("th"), encoded.alias("_bytes"))
+    rows = docs.select(F.col(key).alias("id"), identity(encoded).alias("th"), encoded.alias("_bytes"))
     types = with_fields(rows.drop("_bytes").schema, _SETS)
     prints = write_stage(rows.mapInArrow(_fingerprints(words, to_arrow_schema(types)), types), folder, "prints")
-    nodes = prints.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("one"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    nodes = write_stage(nodes.select("node", "one.id", "one.th", "n", "sig"), folder, "nodes")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("one")
+    nodes = prints.filter("n_shingles > 0").groupBy("p", "q").agg(first, F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    # Numbers are given once, as the table is written, and so are distinct.
+    nodes = write_stage(nodes.select(F.monotonically_increasing_id().alias("node"), "p", "q", "one.id", "one.th", "n", "sig"), folder, "nodes")
 
     # First, by the keys of a few chunks, every member of a bucket against the bucket's centre: that settles most of
     # any group of copies.  The centre is the first in one of a few orders, so buckets of a group have several.
@@ -215,22 +222,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     pairs = meetings.filter("size_y = 1").select(F.least("x", "cy").alias("a"), F.greatest("x", "cy").alias("b")).distinct()
     more = _confirmed(pairs.join(stars, ["a", "b"], "left_anti"), sets_of, rows, words, percent, folder, "rest")
     own = groups.filter("strict <> main").select(F.col("node").alias("x"), F.col("component").alias("cy"), F.col("size").alias("size_y"))
-    more = more.union(_linked_wholes(meetings.filter("size_y > 1").union(own), groups, sets_of, rows, words, percent, folder))
+    more = more.union(_linked_wholes(meetings.filter("size_y > 1").union(own), groups, nodes.select("node", "n"), sets_of, rows, words, percent, folder))
     # A component's star stands for its links.
     merged = components(groups.select(F.col("node").alias("a"), F.col("strict").alias("b")).union(more), folder, "last")
 
-    labels = nodes.select("node", "id").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = labels.groupBy("component").agg(F.min("id").alias("component_id"))
-    labels = write_stage(labels.join(least, "component").select("node", "component_id"), folder, "labels")
-    drop_stages(spark, folder, "inside", "meetings", "groups", "stars", "near", "rest", "wholes")
+    labels = nodes.select("node", "p", "q", "id", "th").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = labels.groupBy("component").agg(first)
+    labels = write_stage(labels.join(least, "component").select("p", "q", "one"), folder, "labels")
+    drop_stages(spark, folder, "nodes", "inside", "meetings", "groups", "stars", "near", "rest", "wholes")
 
-    found = prints.select("id", "th", "n_shingles", "node").distinct().join(labels, "node", "left").drop("node")
+    found = prints.select("id", "th", "n_shingles", "p", "q").distinct().join(labels, ["p", "q"], "left").drop("p", "q")
     found = found.withColumnsRenamed({"id": "_id", "th": "_th"})
     own = F.col(key).eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_th"))
-    out = docs.withColumn("_mine", F.xxhash64(encoded)).join(found, own)
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(key)))
+    out = docs.withColumn("_mine", identity(encoded)).join(found, own)
+    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("one.id")).otherwise(F.col(key)))
     out = out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
-    return hidden.restore(out, "n_shingles", "component_id", "kept")
+    out = out.withColumn("chosen", (F.col("n_shingles") == 0) | (F.col("kept") & (F.col("_mine") == F.col("one.th"))))
+    return hidden.restore(out, "n_shingles", "component_id", "kept", "chosen")
+
+
+def identity(value: Column) -> Column:
+    """What stands for a binary value: 128 bits, as equal texts of a large corpus are told by it alone."""
+    return F.unhex(F.md5(value))
 
 
 def _may_link(percent: int) -> Column:
@@ -296,21 +309,28 @@ def _ask(percent: int):
     return work
 
 
-def _linked_wholes(meetings: DataFrame, groups: DataFrame, sets_of: DataFrame, rows: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
+def _linked_wholes(meetings: DataFrame, groups: DataFrame, sizes: DataFrame, sets_of: DataFrame, rows: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
     """A link from each node to each component of the clusters it met that has a similar enough member.
 
     ``meetings`` has ``x`` and ``cy``.  All members are looked at, not only those met.  Members and
-    asking nodes are dealt into blocks of about BLOCK, and a task compares a block with a block;
-    as one link is enough to join a component, one comes out for each node, block and component.
+    asking nodes are dealt into blocks of about BLOCK nodes and BLOCK_SHINGLES shingles, and a
+    task compares a block with a block; as one link is enough to join a component, one comes out
+    for each node, block and component.
     """
-    asked = meetings.groupBy("cy").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    members = groups.join(asked, F.col("component") == F.col("cy")).select("cy", F.col("node").alias("y"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), "chunks", F.col("strict").alias("label"))
+
+    def blocks(df: DataFrame, by: str, name: str) -> DataFrame:
+        n = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+        return df.groupBy(by).agg(n.cast("int").alias(name))
+
+    asked = blocks(meetings.join(sizes.withColumnRenamed("node", "x"), "x"), "cy", "chunks")
+    asked = asked.join(blocks(groups.join(sizes, "node").join(asked, F.col("component") == F.col("cy")), "cy", "blocks"), "cy")
+    members = groups.join(asked, F.col("component") == F.col("cy")).select("cy", F.col("node").alias("y"), "blocks", "chunks", F.col("strict").alias("label"))
     ids = members.select(F.col("y").alias("node")).union(meetings.select("x")).distinct()
     sets = write_stage(_sets(ids, sets_of, rows, words), folder, "wholes-sets")
     everyone = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     right = members.join(sets.withColumnRenamed("node", "y"), "y").select("cy", F.pmod(F.xxhash64("y"), "blocks").cast("int").alias("block"), everyone.alias("chunk"), "y", "shingles", "label")
     asking = meetings.join(groups.select(F.col("node").alias("x"), F.col("strict").alias("own")), "x", "left").withColumn("own", F.coalesce("own", "x"))
-    asking = asking.join(asked, "cy").withColumn("blocks", F.ceil(F.col("size_y") / BLOCK).cast("int"))
+    asking = asking.join(asked, "cy")
     everyone = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = asking.join(sets.withColumnRenamed("node", "x"), "x").select("cy", everyone.alias("block"), F.pmod(F.xxhash64("x"), "chunks").cast("int").alias("chunk"), "x", "own", "shingles")
     right = right.select(*[F.col(c).alias(n) for c, n in zip(right.columns, ("cm", "bm", "km", "y", "members", "label"), strict=True)])

@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from terravane.llm.common import Hidden, held, with_fields
 
 SPACE = "▁"
-MEMORY_WORDS, MEMORY_PAIRS = 600_000, 500_000
+#: Bounds of what a worker remembers: bytes of words, about what a word costs beside its characters
+#: and ids, characters of a word worth remembering, and pairs of pieces (of some 100 bytes each).
+MEMORY_BYTES, ENTRY, LONG_WORD, MEMORY_PAIRS = 64 << 20, 220, 256, 500_000
 #: Kinds of pieces and models in the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -66,18 +68,22 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Memory(dict):
-    """Remembered results; of twice MEMORY_WORDS those asked for least recently are forgotten."""
+    """Remembered results; of twice MEMORY_BYTES those asked for least recently are forgotten."""
 
     def __init__(self, make) -> None:
-        self.make, self.old = make, {}
+        self.make, self.old, self.size = make, {}, 0
 
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
             found = self.make(word)
-        if len(self) >= MEMORY_WORDS:
+        if len(word) > LONG_WORD:
+            return found
+        self.size += ENTRY + 2 * len(word) + len(found)
+        if self.size > MEMORY_BYTES:
             self.old = dict(self)
             self.clear()
+            self.size = ENTRY + 2 * len(word) + len(found)
         self[word] = found
         return found
 
@@ -150,7 +156,7 @@ class Transducer:
     def merge_path(self, word: str) -> list[int]:
         """The path of a byte-pair model: ``last[j]`` is the one symbol that can end at j."""
         n, size, root, pairs = len(word), len(self.texts), self.trie, self.pairs
-        last: list[int | None] = [None] * (n + 1)
+        last = array("i", [-1]) * (n + 1)
         last[0] = START
         for i in range(n):
             u = last[i]
@@ -158,11 +164,11 @@ class Transducer:
             j = i + 1
             if node is None or "" not in node:
                 v = size + ord(word[i])
-                if last[j] is None and (pairs.get(u << 21 | v) or (u << 21 | v not in pairs and self.apart(u, v))):
+                if last[j] < 0 and (pairs.get(u << 21 | v) or (u << 21 | v not in pairs and self.apart(u, v))):
                     last[j] = v
             while node is not None:
                 v = node.get("")
-                if v is not None and last[j] is None:
+                if v is not None and last[j] < 0:
                     good = pairs.get(u << 21 | v)
                     if good is None:
                         good = self.apart(u, v)
@@ -280,18 +286,25 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", keep: list[str]
 
 
 def decode(rows: DataFrame, model_file: str, ids: str = "ids", to: str = "text") -> DataFrame:
-    """Adds the text of a column of ids; null ids give null."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+    """Adds the text of a column of ids, which takes the place of a column so called.
 
+    Null lists give null and empty ones the empty text.  Null ids, and numbers that are no id of
+    the model, decode like the unknown piece; bytes that are no UTF-8 give U+FFFD.
+    """
     with open(model_file, "rb") as file:
         model = rows.sparkSession.sparkContext.broadcast(file.read())
-    schema = with_fields(rows.schema, f"`{to}` string")
-    shape = to_arrow_schema(schema)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("string")
+    def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = _transducer(model_file, model)
         for batch in batches:
-            texts = [machine.decode(x.values.to_numpy()) if x.is_valid else None for x in batch.column(ids)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name).cast(f.type) for f in shape if f.name != to], pa.array(texts, type=pa.string())], schema=shape)
+            texts = []
+            for value in batch:
+                if value.is_valid:
+                    known = value.values.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+                    texts.append(machine.decode(np.where((known >= 0) & (known < len(machine.texts)), known, machine.unknown)))
+                else:
+                    texts.append(None)
+            yield pa.array(texts, type=pa.string())
 
-    return rows.mapInArrow(work, schema)
+    return rows.withColumn(to, text_of(ids))

@@ -1,8 +1,10 @@
 """Vectorised polynomial hashes over bytes, shared by the operators that fingerprint text.
 
-All arithmetic is modulo 2**64 on numpy unsigned integers.  A prefix hash
-``P[i] = sum(c[j] * BASE**j for j < i)`` gives the hash of any slice as
-``(P[e] - P[s]) * BASE**-s``, because an odd base has an inverse modulo 2**64.
+Two polynomials at different points, modulo the prime 2**31 - 1, make one hash of 62 bits.  A prefix
+hash ``P[i] = sum(c[j] * B**j for j < i)`` gives the hash of any slice as ``(P[e] - P[s]) * B**-s``.
+The sums themselves are not reduced: their terms are below 2**32, and a text has fewer than 2**31
+bytes.  (Modulo 2**64 every base would do without a reduction, but there all bases take the
+Thue-Morse words for their complements.)
 """
 
 from __future__ import annotations
@@ -12,32 +14,51 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+PRIME = (1 << 31) - 1
+BASES = (1_390_208_809, 794_501_293)
+#: Multiplies what is mixed; odd.
+MULTIPLIER = 0x9E3779B97F4A7C15
+#: Powers that a worker keeps; longer texts make their own and forget them.
+KEPT = 1 << 20
 
-_powers = np.ones(1, dtype=np.uint64)
-_inverses = np.ones(1, dtype=np.uint64)
+_values = np.random.Generator(np.random.PCG64(31)).integers(1, PRIME, 256, dtype=np.uint64)
+_kept: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``BASE**i`` and ``BASE**-i`` for i in 0..n-1; kept per worker and grown on demand."""
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers), 1 << 16)
-        steps = np.full(size, BASE, dtype=np.uint64)
-        steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-        steps = np.full(size, INVERSE, dtype=np.uint64)
-        steps[0] = 1
-        _inverses = np.multiply.accumulate(steps)
-    return _powers, _inverses
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME for x < 2**63, by its bits."""
+    m = np.uint64(PRIME)
+    x = (x & m) + (x >> np.uint64(31))
+    x = (x & m) + (x >> np.uint64(31))
+    x[x == m] = 0
+    return x
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """``base**i`` modulo PRIME for i in 0..n-1."""
+    have = _kept.get(base)
+    if have is None:
+        have = np.ones(1, dtype=np.uint64)
+    while len(have) < n:
+        step = np.uint64(pow(base, len(have), PRIME))
+        have = np.concatenate([have, reduced(have * step)])
+    if len(have) <= KEPT:
+        _kept[base] = have
+    return have[:n]
+
+
+def inverse(base: int) -> int:
+    return pow(base, -1, PRIME)
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix hashes of a byte array, one more than its length."""
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    up, _ = powers(len(data) + 1)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
+    """Prefix sums of a byte array for both bases, one more than its length."""
+    out = np.zeros((len(BASES), len(data) + 1), dtype=np.uint64)
+    m = np.uint64(PRIME)
+    values = _values[data]
+    for k, base in enumerate(BASES):
+        x = values * powers(base, len(data))
+        np.cumsum((x & m) + (x >> np.uint64(31)), out=out[k, 1:])
     return out
 
 
@@ -53,18 +74,22 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def slices(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mixed hashes of the slices start..end-1, which also depend on their lengths."""
-    _, down = powers(len(p) + 1)
-    h = (p[end] - p[start]) * down[start]
+    h = np.zeros(len(start), dtype=np.uint64)
+    for k, base in enumerate(BASES):
+        down = powers(inverse(base), p.shape[1])
+        h = (h << np.uint64(31)) | reduced(reduced(p[k][end] - p[k][start]) * down[start])
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def windows(p: np.ndarray, width: int) -> np.ndarray:
     """Mixed hashes of every window of ``width`` bytes."""
-    n = len(p) - width
+    n = p.shape[1] - width
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    _, down = powers(len(p) + 1)
-    return mix((p[width:] - p[:n]) * down[:n])
+    h = np.zeros(n, dtype=np.uint64)
+    for k, base in enumerate(BASES):
+        h = (h << np.uint64(31)) | reduced(reduced(p[k, width:] - p[k, :n]) * powers(inverse(base), n))
+    return mix(h)
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:

@@ -59,7 +59,7 @@ def shingle_set(text, n):
 @pytest.mark.parametrize("n", [2, 5])
 def test_near_duplicates_equal_brute_force(docs, rows, n):
     got = neardup.near_duplicates(docs, words=n)
-    assert got.columns == ["doc_id", "text", "lang", "source", "node", "size", "_text", "n_shingles", "component_id", "kept"]
+    assert got.columns == ["doc_id", "text", "lang", "source", "node", "size", "_text", "n_shingles", "component_id", "kept", "chosen"]
     sets = [shingle_set(r[1], n) for r in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
@@ -73,7 +73,30 @@ def test_near_duplicates_equal_brute_force(docs, rows, n):
         ids = [rows[k][0] for k in range(len(rows)) if group[k] == group[i] and rows[k][0] is not None]
         least = min(ids) if ids else None
         want[r[0], r[1], len(sets[i]), least, r[0] == least] += 1
-    assert Counter((r.doc_id, r.text, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == want
+    found = got.collect()
+    assert Counter((r.doc_id, r.text, r.n_shingles, r.component_id, r.kept) for r in found) == want
+    chosen = {(r.doc_id, r.text) for r in found if r.chosen and r.n_shingles}
+    assert len(chosen) == len({group[i] for i in range(len(rows)) if sets[i]}) and all(r.chosen for r in found if not r.n_shingles)
+
+
+def test_one_row_of_a_group_is_chosen_whatever_its_keys(spark):
+    rng = random.Random(12)
+    base = words(rng, 200)
+    texts = [base, base.upper(), base + " tail", base + " other tail"]
+    for keys in ([None] * 4, [7] * 4, [None, 7, 7, None], [9, 8, None, 8]):
+        got = neardup.near_duplicates(spark.createDataFrame(list(zip(keys, texts, strict=True)), "doc_id long, text string")).collect()
+        assert sum(r.chosen for r in got) == 1
+        assert all(r.doc_id == min((k for k in keys if k is not None), default=None) for r in got if r.chosen)
+
+
+def test_complementary_words_have_different_hashes():
+    """Modulo 2**64 every base hashes the two texts alike."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits).encode() for flip in (0, 1))
+    a, b = (neardup.shingles(np.frombuffer(t, dtype=np.uint8), 2) for t in (one, other))
+    assert len(a) == len(b) == 1 and a[0] != b[0]
+    p = rolling.prefix(np.frombuffer(one + other, dtype=np.uint8))
+    assert rolling.windows(p, 1024)[0] != rolling.windows(p, 1024)[-1]
 
 
 def test_near_duplicates_of_nothing(none):
@@ -517,12 +540,25 @@ def test_unigram_path_is_the_best():
 
 
 def test_words_are_forgotten_not_lost(monkeypatch):
-    monkeypatch.setattr(pieces, "MEMORY_WORDS", 3)
+    monkeypatch.setattr(pieces, "MEMORY_BYTES", 3 * 300)
     monkeypatch.setattr(pieces, "MEMORY_PAIRS", 5)
     machine = pieces.Transducer(open(MODEL, "rb").read())
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    text = " ".join(f"word{i % 11} then" for i in range(60))
+    text = " ".join(f"word{i % 11} then" for i in range(60)) + " " + "longword" * 100
     assert machine.encode(text).tolist() == library.encode(text) and len(machine.words) <= 3
+    assert not any(len(w) > pieces.LONG_WORD for w in machine.words)
+
+
+def test_decoding_of_awkward_ids(spark):
+    rows = [([1, 2], "a"), (None, "b"), ([], "c"), ([None, 10**6, -5], "d"), ([3 + 0xC3], "e"), ([3 + 0xC3, 3 + 0xA9], "f")]
+    df = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(rows)], "k int, ids array<int>, text string")
+    machine = pieces.Transducer(open(MODEL, "rb").read())
+    first = min(machine.bytes.values())
+    df = df.withColumn("ids", F.transform("ids", lambda x: F.when((F.col("k") >= 4), x - 3 + first).otherwise(x)))
+    out = pieces.decode(df, MODEL)
+    assert out.columns == ["k", "ids", "text"]
+    got = {r.k: r.text for r in out.collect()}
+    assert got[1] is None and got[2] == "" and got[3].count("⁇") == 3 and got[4] == "\ufffd" and got[5] == "é"
 
 
 def test_encode_and_decode_tables(docs, rows, none):
@@ -552,7 +588,46 @@ def test_automaton_knows_all_substrings():
 
     subs = {text[i:j] for i in range(len(text)) for j in range(i, len(text) + 1)}
     assert all(known(s) for s in subs) and not any(known(s + "c") for s in subs if s + "c" not in subs)
-    assert langid.phrases(moves, "abcbxbca") == 3
+
+
+def brute_phrases(sample, text):
+    """Longest matches in the sample, whole texts with what is no letter made one blank."""
+    plain = lambda t: " " + re.sub("x+", " ", "".join(c if c.isalpha() else "x" for c in t.lower().replace("x", "q"))).strip() + " "
+    known, text = " ".join(map(plain, sample)).replace("  ", " "), plain(text)
+    count = i = 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[i : j + 1] in known:
+            j += 1
+        i, count = max(j, i + 1), count + 1
+    return len(text.replace(" ", "")), count
+
+
+@pytest.mark.parametrize("piece", [4096, 64, 7])
+def test_phrases_equal_brute_force(monkeypatch, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    monkeypatch.setattr(langid, "TOGETHER", 3000)
+    rng = random.Random(piece)
+    sample = {"one": [words(rng, 150), "ÉTÉ déjà, vu... 12 fois"], "two": ["".join(rng.choice("ab ½") for _ in range(900))], "few": ["z"]}
+    sample = {k: [t.replace("x", "q") for t in v] for k, v in sample.items()}
+    texts = [words(rng, rng.randint(0, 300)) for _ in range(30)] + ["".join(rng.choice("abo ½éΔ") for _ in range(rng.randint(0, 3000))) for _ in range(30)] + ["a" * 5000, None, "", "12", "½ ² ①", "b"]
+    texts = [t and t.replace("x", "q") for t in texts]
+    parser = langid.Parser(langid.Automata(sample))
+    n, phrases = parser.counts(texts)
+    for t, size, row in zip(texts, n, phrases, strict=True):
+        want = [brute_phrases(sample[k], t or "") for k in sorted(sample)]
+        assert size == want[0][0]
+        if size:
+            assert row.tolist() == [c for _, c in want]
+    assert [parser.judge([t])[0][0] for t in texts[-5:-1]] == ["und"] * 4
+
+
+def test_a_long_text_without_blanks_is_parsed_and_encoded(spark):
+    long = "abcdefghij" * 100_000
+    df = spark.createDataFrame([(1, long, "en"), (2, "some words", "en")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.identify(df).collect()} == {"en"}
+    assert all(r.round_trip for r in pieces.encode(df, MODEL).collect())
+    assert {r.n_shingles for r in neardup.near_duplicates(df).collect()} == {1}
 
 
 def test_language_of_awkward_rows(docs, rows, none):
