@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm.common import shared_folder, write_stage
+from terravane.llm.common import drop_stages, shared_folder, write_stage
 from terravane.llm.langid import identify
 from terravane.llm.mixing import mixed_rows
 from terravane.llm.neardup import near_duplicates
@@ -25,13 +25,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest doc_id, of each group of near-duplicates.
+    """Keeps one document of each group of near-duplicates, that with the smallest doc_id.
 
-    Similar means a Jaccard similarity of 0.8 or more over shingles of five words.  Of rows that
-    are equal in doc_id and text one stays.
+    Similar means a Jaccard similarity of 0.8 or more over shingles of five words.  Null doc_ids
+    come last, and a hash of the text decides among equal ones.  Documents without words are no
+    near-duplicates of any.  Of rows that are equal in doc_id and text one stays.
     """
-    kept = near_duplicates(docs, words=5, percent=80).filter("kept").select(docs.columns)
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    chosen = near_duplicates(docs, words=5, percent=80).filter("chosen").select(docs.columns)
+    return chosen.withColumn("_text", F.md5("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +43,20 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws blocks of words by source: weights 5, 2, 1 repeating, three passes over a source at most."""
+    """Draws blocks of words by source: weights 5, 2, 1 repeating, three passes over a source at most.
+
+    Documents without words (null, empty or blank texts) are in no block and so not in the mix; a
+    null source is a source of its own; repeated rows are drawn each for itself.
+    """
     mixed = mixed_rows(docs)
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each row's text, with its doc_id, language and source."""
+    """The ids of each row's text, with its doc_id, language and source.
+
+    Null and empty texts have no ids; every row has one in the result, repeated ones too.
+    """
     return encode(docs, MODEL_FILE, keep=["doc_id", "lang", "source"])
 
 
@@ -65,11 +73,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder but the last."""
+    """All stages over ``documents``, each written to the shared folder but the last.
+
+    A stage's table goes as soon as the next one is written; the last of them is read by the result.
+    """
     folder = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = write_stage(docs, folder, f"stage-{k}")
+            drop_stages(spark, folder, *[f"stage-{k - 1}"] * (k > 0))
     return docs
