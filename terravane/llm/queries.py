@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm.common import literal_table
+from terravane.llm.common import literal_table, shared_folder, write_stage
 from terravane.llm.embeddups import near_duplicate_vectors
 from terravane.llm.langid import identify
-from terravane.llm.media import find_copies, pictures
+from terravane.llm.media import describe, matched, pictures, representatives
 from terravane.llm.mixing import taken_words
 from terravane.llm.neardup import near_duplicates
 from terravane.llm.pieces import encode
@@ -25,27 +25,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every picture the edited crops of every hundredth one that it shares a view with: all, their number, and the best.
+    """For every picture its group of copies, and the edited crops of every hundredth picture found in that group.
 
     The tables hold no images, so every embedding is drawn as one.  Equal embeddings give equal
-    pictures and are one class, ``class_id`` being its least vec_id.  ``matches`` has an entry for
-    each class of queries: its ``class_id``, its least query, how many queries it holds, and the
-    geometry, which is that of each pair of a query and a picture of the two classes.
+    pictures, of which the one with the least vec_id (``class_id``) is described.  ``group_id`` is
+    the picture that stands for the group of copies: a picture belongs to it by its own corners,
+    and queries are compared with it.  ``n_queries`` counts the queries found, ``query_id`` and
+    the rest name the best.  ``matches`` lists all, with their geometry, in the row of the picture
+    that stands for the group, and nowhere else, so the result grows with the table.
     """
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")).alias("class"))
-    keyed = vectors.filter("vec_id is not null and class is not null")
-    images = keyed.groupBy("class").agg(F.min("vec_id").alias("class_id"), F.first("embedding").alias("embedding"))
-    asked = keyed.filter("vec_id % 100 = 0").groupBy("class").agg(F.min("vec_id").alias("query_id"), F.count("*").alias("n_queries"), F.first("embedding").alias("embedding"))
-    found = find_copies(pictures(asked, "class", "embedding", edited=True), pictures(images, "class", "embedding"))
-    classes = images.select("class", "class_id")
-    named = asked.select(F.col("class").alias("query"), "query_id", "n_queries").join(classes.withColumnRenamed("class", "query"), "query")
-    match = F.struct("class_id", "query_id", "n_queries", "corners", "turn", "halvings", "dx", "dy")
-    best = F.max(F.struct("corners", -F.col("query_id"), "query_id", "turn", "halvings", "dx", "dy")).alias("b")
-    found = found.join(named, "query").groupBy(F.col("image").alias("class")).agg(F.sum("n_queries").alias("n_queries"), best, F.array_sort(F.collect_list(match)).alias("matches"))
-    rows = vectors.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("class")).alias("class"))
-    out = rows.join(classes.join(found, "class", "left"), "class", "left")
-    of_best = [F.col("b.query_id").alias("query_id"), "b.corners", "b.turn", "b.halvings", "b.dx", "b.dy"]
-    return out.select("vec_id", F.coalesce("n_queries", F.lit(0)).alias("n_queries"), *of_best, "class_id", "matches")
+    folder = shared_folder(spark)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    keyed = vectors.filter("vec_id is not null and embedding is not null")
+    images = keyed.groupBy("embedding").agg(F.min("vec_id").alias("class_id"))
+    asked = keyed.filter("vec_id % 100 = 0").groupBy("embedding").agg(F.min("vec_id").alias("query_id"), F.count("*").alias("n_queries"))
+    described = write_stage(describe(pictures(images, "class_id", "embedding")), folder, "described")
+    asking = write_stage(describe(pictures(asked, "query_id", "embedding", edited=True)), folder, "asking")
+    members = representatives(described, folder)
+    found = matched(asking, described.join(members, "image", "left_anti"))
+    named = found.join(asked.select(F.col("query_id").alias("query"), "n_queries"), "query").withColumnRenamed("query", "query_id")
+    match = F.struct("query_id", "n_queries", "corners", "turn", "steps", "dx", "dy")
+    best = F.max(F.struct("corners", -F.col("query_id"), "query_id", "turn", "steps", "dx", "dy")).alias("b")
+    found = named.groupBy(F.col("image").alias("group_id")).agg(F.sum("n_queries").alias("n_queries"), best, F.array_sort(F.collect_list(match)).alias("matches"))
+    classes = images.join(members.withColumnRenamed("image", "class_id"), "class_id", "left")
+    classes = classes.select("embedding", "class_id", F.coalesce("representative", "class_id").alias("group_id"))
+    out = keyed.join(classes, "embedding").drop("embedding").join(found, "group_id", "left")
+    out = out.unionByName(vectors.filter("vec_id is null or embedding is null").drop("embedding"), allowMissingColumns=True)
+    of_best = [F.col(f"b.{c}").alias(c) for c in ("query_id", "corners", "turn", "steps", "dx", "dy")]
+    return out.select("vec_id", F.coalesce("n_queries", F.lit(0)).alias("n_queries"), *of_best, "class_id", "group_id", F.when(F.col("vec_id") == F.col("group_id"), F.col("matches")).alias("matches"))
 
 
 def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

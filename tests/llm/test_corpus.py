@@ -505,11 +505,62 @@ def test_cropped_turned_and_edited_copies_are_found(spark, scenes):
     found = media.find_copies(spark.createDataFrame(queries, "image long, media binary"), table).collect()
     assert {(r.query, r.image) for r in found} == {(100, 3), (101, 5), (102, 7)}
     by = {r.query: r for r in found}
-    assert abs(by[100].dx - 10) <= 3 and abs(by[100].dy - 20) <= 3 and by[100].turn == 0 and by[100].halvings == 0
+    assert abs(by[100].dx - 10) <= 3 and abs(by[100].dy - 20) <= 3 and by[100].turn == 0 and by[100].steps == 0
     assert by[102].turn in (3.0, 9.0, 2.5, 8.5, 3.5, 9.5)
     assert media.find_copies(table.limit(0), table).count() == 0
 
 
+def shrunk(pixels, by):
+    return np.rint(media._shrink(pixels.shape[0], by) @ pixels.astype(np.float32) @ media._shrink(pixels.shape[1], by).T)
+
+
+def test_smaller_copies_are_found(spark, scenes):
+    table = spark.createDataFrame([(k, pgm(s), k) for k, s in enumerate(scenes)], "image long, media binary, query int")
+    queries = [(100 + k, pgm(shrunk(scenes[k], 2 if k % 2 else 1 / 0.7))) for k in range(12)]
+    found = media.find_copies(spark.createDataFrame(queries, "image long, media binary"), table).collect()
+    right = {r.query: r.steps for r in found if r.image == r.query - 100}
+    assert len(right) >= 10 and all(r.image == r.query - 100 for r in found)
+    assert all(steps == (2 if k % 2 else 1) for k, steps in right.items())
+
+
+def test_copies_equal_brute_force(spark, scenes):
+    """All pairs of descriptors of all images instead of tables."""
+    images = [s[:70, :70] for s in scenes[:6]] + [scenes[0][10:80, 5:75], scenes[1][:70, :70] * 0.8 + 9, np.full((70, 70), 3)]
+    rows = [(k, pgm(p)) for k, p in enumerate(images)]
+    df = spark.createDataFrame(rows, "image long, media binary")
+    got = {(r.query, r.image): r.corners for r in media.find_copies(df, df).collect()}
+    known = [media.descriptors(media.gray(m)[None]) for _, m in rows]
+    want = {}
+    for i, (_, a, x) in enumerate(known):
+        for j, (_, b, y) in enumerate(known):
+            votes = {}
+            for p, bits in zip(a, x, strict=True):
+                for q, other in zip(b, y, strict=True):
+                    if int(np.unpackbits(bits ^ other).sum()) > media.MOST_BITS or not (bits.reshape(-1, 4) == other.reshape(-1, 4)).all(axis=1).any():
+                        continue
+                    p8, q8 = (np.array([np.rint(v[0] * 8) / 8, np.rint(v[1] * 8) / 8]) for v in (p, q))
+                    angles = [np.rint(v[2] / media.TURN) % (1 << media.ANGLE) * media.TURN for v in (p, q)]
+                    by = angles[1] - angles[0]
+                    d = q8 - media.STEP ** (q[3] - p[3]) * np.array([np.cos(by) * p8[0] - np.sin(by) * p8[1], np.sin(by) * p8[0] + np.cos(by) * p8[1]])
+                    for s in np.ndindex(2, 2, 2):
+                        t, u, v = (np.floor(z + h / 2) - h / 2 + 0.5 for z, h in zip((by / (2 * np.pi / media.TURNS), *(d / media.WINDOW)), s, strict=True))
+                        votes.setdefault((q[3] - p[3], t % media.TURNS, u, v), []).append((tuple(p), tuple(q)))
+            most = max((min(len({p for p, _ in v}), len({q for _, q in v})) for v in votes.values()), default=0)
+            if most >= media.LEAST_CORNERS:
+                want[i, j] = most
+    assert got == want and {(0, 6), (6, 0), (1, 7)} <= set(want)
+
+
+def test_groups_of_copies_have_representatives(spark, scenes):
+    rng = np.random.default_rng(4)
+    rows = [(k * 100 + j, pgm(np.clip(scenes[k] + rng.normal(0, 1.0, scenes[k].shape), 0, 255))) for k in range(4) for j in range(1 + 8 * (k < 2))]
+    described = media.describe(spark.createDataFrame(rows, "image long, media binary")).cache()
+    got = {r.image: r.representative for r in media.representatives(described, shared_folder(spark)).collect()}
+    assert all(a // 100 == b // 100 and b not in got for a, b in got.items())
+    assert len(got) == 16
+    assert media.representatives(described.limit(0), shared_folder(spark)).count() == 0
+
+
 # Pieces.
 
 
