@@ -407,6 +407,39 @@ def test_calls_are_linked_ordered_and_validated(spark):
     assert by["result", 9].json == '{"call_id":"a","content":"say \\"é\\"\\n","conv_id":"c","kind":"result","status":"linked","step":1,"turn":9}'
 
 
+CALLS, RESULTS = "conv_id string, turn long, call_id string, tool string, arguments string, needs array<string>, depth int, c string, first int", "conv_id string, turn long, call_id string, content string, n int, row int"
+
+
+def test_identifiers_hold_within_a_conversation(spark):
+    calls = [(c, 1, "call_0", "add", '{"x": 1, "y": 2}', None, 9, "c", 1) for c in ("a", "b", None)]
+    calls += [("d", 1, "t", "add", '{"x": 1, "y": 2}', None, 9, "c", 1), ("d", 2, "t", "nope", "{}", None, 9, "c", 1), ("d", 3, None, "nope", "{}", None, 9, "c", 1), ("d", 4, None, "add", "{}", [None, "t"], 9, "c", 1)]
+    results = [(c, 2, "call_0", "x", 1, 1) for c in ("a", None)]
+    schemas = literal_table(spark, toolcalls.SCHEMA, [{"tool": "add", "parameter": p, "kind": "number", "required": True} for p in "xy"])
+    out = toolcalls.link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), schemas).collect()
+    assert {(r.conv_id, r.turn): (r.status, r.errors, r.step) for r in out if r.kind == "call"} == {
+        ("a", 1): ("linked", [], 0), ("b", 1): ("unanswered", [], 0), (None, 1): ("linked", [], 0), ("d", 1): ("ambiguous", [], 0), ("d", 2): ("ambiguous", ["unknown tool"], 0),
+        ("d", 3): ("unanswered", ["unknown tool"], None), ("d", 4): ("unanswered", ["missing: x", "missing: y"], None),
+    }
+    assert [(r.status, r.step) for r in out if r.kind == "result"] == [("linked", 1)] * 2
+
+
+def test_depths_of_long_chains_and_webs(spark):
+    rng = random.Random(6)
+    needs = {f"c{k}": [f"c{k - 1}"] if k else [] for k in range(200)}
+    needs |= {f"w{k}": [f"w{j}" for j in rng.sample(range(k), min(k, 2))] + ["c7"] * (k == 5) + ["lost"] for k in range(12)}
+    needs |= {"x": ["y"], "y": ["z"], "z": ["x"], "behind": ["x"], "both": ["behind", "c3"], "self": ["self"], "after": ["c199"]}
+
+    def depth(x, seen=()):
+        if x in seen:
+            return None
+        found = [depth(y, (*seen, x)) for y in needs[x] if y in needs]
+        return None if None in found else max(found, default=-1) + 1
+
+    df = spark.createDataFrame(list(needs.items()), "id string, needs array<string>")
+    got = {r.id: r.depth for r in toolcalls.depths(df, shared_folder(spark)).collect()}
+    assert got == {x: d for x in needs if (d := depth(x)) is not None}
+
+
 def test_calls_of_nothing(spark):
     calls, results = toolcalls.conversation_calls(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert toolcalls.link_calls(calls, results, literal_table(spark, toolcalls.SCHEMA, toolcalls.REPLY)).count() == 0
