@@ -13,7 +13,7 @@ from terravane.llm.common import Hidden
 #: Words are maximal runs of characters other than space, tab, newline, vertical tab, form feed and return.
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: Parts of a source whose words are counted side by side.
-BINS = 1024
+BINS = 1 << 14
 ROUNDS = 24
 #: Slots that are dealt out together.
 PIECE = 1024
@@ -83,23 +83,28 @@ def streams(docs: DataFrame, text: str, key: str, source: str, start: str, size:
 
 
 def draws(plan: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
-    """How often each block of each source is drawn: ``(source, block, times)``.
-
-    ``plan`` has ``source``, ``source_size`` and ``target``.  The output is a row of slots, cut
-    into shards of ``shard_slots``.  Each shard's source counts are a multinomial draw under the
-    condition that all shards together give every source its number of blocks: the slot's place
-    in one pseudorandom permutation of all slots says which source it takes and which of that
-    source's draws it is.  Draw i of a source with n blocks is block ``permuted(i mod n)`` of
-    pass ``i div n``, so that no block is drawn again before all others have been.
+    """What fills each slot of the output: ``(source, shard, slot, pass, block, length)``.
+
+    ``plan`` has ``source``, ``source_size`` and ``target``.  A source of target t draws the blocks
+    of its passes one after the other until it has t words, of the last of them only what is
+    missing.  The output is a row of slots, one for each draw of all sources, cut into shards of
+    ``shard_slots``.  The urn of all draws is laid out on the slots by a pseudorandom permutation:
+    so each shard's source counts are a multinomial draw, under the condition that all shards
+    together have every source's number of draws.  Draw i of a source is entry i mod n of its pass
+    i div n over its n blocks, and each pass takes the blocks by its own pseudorandom permutation
+    of their indices; a shorter block at the stream's end is always a pass's last, so that the
+    words of a part of a pass are known beforehand.  No block is drawn again before all others
+    have been.
     """
     whole = Window.partitionBy(F.lit(0))
     plan = plan.filter("source_size > 0 and target > 0").withColumn("n", F.ceil(F.col("source_size") / block))
-    passes = F.floor(F.col("target") / F.col("source_size"))
-    rest = F.round((F.col("target") - passes * F.col("source_size")) / F.col("source_size") * F.col("n")).cast("long")
-    plan = plan.withColumn("draws", passes * F.col("n") + rest)
+    plan = plan.withColumn("words", F.round("target").cast("long"))
+    plan = plan.withColumn("passes", F.expr("words div source_size")).withColumn("rest", F.expr("words % source_size"))
+    plan = plan.withColumn("draws", F.col("passes") * F.col("n") + F.ceil(F.col("rest") / block))
     plan = plan.withColumn("high", F.sum("draws").over(whole.orderBy(F.col("source").asc_nulls_last())))
     plan = plan.withColumn("total", F.sum("draws").over(whole)).withColumn("low", F.col("high") - F.col("draws"))
-    # Slots come from each source's own range of the permutation, cut into large and then small pieces.
+
+    # Slots come from each source's own range of the urn, cut into large and then small pieces.
     def cut(df: DataFrame, name: str, first: Column, end: Column, step: int) -> DataFrame:
         """A row for every ``step`` numbers from first to below end."""
         return df.withColumn(name, F.explode(F.sequence(first, end - 1, F.lit(step).cast("long"))))
@@ -111,8 +116,12 @@ def draws(plan: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame
     slots = slots.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("source", "small"))
     slots = cut(slots, "i", F.col("small"), F.least(F.col("small") + PIECE, d), 1)
     slots = slots.withColumn("slot", permuted(F.col("low") + F.col("i"), F.col("total"), F.lit(seed), F.lit("slot")))
-    slots = slots.withColumn("block", permuted(F.col("i") % F.col("n"), F.col("n"), F.lit(seed), F.col("source"), F.floor(F.col("i") / F.col("n"))))
-    return slots.select("source", F.floor(F.col("slot") / shard_slots).alias("shard"), "slot", "block")
+    slots = slots.withColumn("pass", F.expr("i div n")).withColumn("entry", F.expr("i % n"))
+    short = (F.col("source_size") % block != 0).cast("long")
+    full = F.col("n") - short
+    block_of = F.when(F.col("entry") < full, permuted(F.col("entry"), full, F.lit(seed), F.col("source"), F.col("pass"))).otherwise(F.col("entry"))
+    length = F.when((F.col("pass") == F.col("passes")) & (F.col("i") == d - 1), F.col("rest") - F.col("entry") * block).otherwise(block)
+    return slots.select("source", F.expr(f"slot div {shard_slots}").alias("shard"), "slot", "pass", block_of.alias("block"), length.cast("long").alias("length"))
 
 
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, block: int = 64, shard_slots: int = 1024, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -120,44 +129,51 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
 
     The columns of ``docs`` may not be called like those made here: see ``Hidden``.  Rows are
     those of ``docs`` with ``_size`` (words; 0 for null and empty texts), ``_start`` (its place in
-    its source's token stream), ``source_size`` and ``target``.  Slots say which block
-    of which source fills each place of each output shard.  Picks are ``(source, start, first,
-    last, times)``: words first..last of the row at ``start`` are drawn ``times`` times.
-    A source without words gets target 0.  Rows with equal key and text are interchangeable.
+    its source's token stream), ``source_size`` and ``target``.  Slots say which block of which
+    source fills each place of each output shard; see ``draws``.  Picks are the slots joined with
+    the blocks by index: ``(source, start, shard, slot, pass, first, last)``, where the slot takes
+    words first..last-1 of the row at ``start``.  A source without words gets target 0.  Rows with
+    equal key and text are interchangeable.
     """
     size, start = "_size", "_start"
     placed, sizes = streams(docs, text, key, source, start, size)
     plan = targets(sizes, weights, cap)
     slots = draws(plan, block, shard_slots, seed)
-    times = slots.groupBy("source", "block").agg(F.count("*").alias("times"))
 
     spans = placed.filter(F.col(size) > 0).select(F.col(source).alias("source"), F.col(start).alias("start"), F.col(size).alias("size"))
     spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
-    same = spans["source"].eqNullSafe(times["source"]) & (spans["block"] == times["block"])
+    same = spans["source"].eqNullSafe(slots["source"]) & (spans["block"] == slots["block"])
     # Their sizes are known too late for Spark: it takes what explode makes of a few rows for small.
-    picks = spans.join(times.hint("merge"), same).select(
+    picks = spans.join(slots.hint("merge"), same).select(
         spans["source"],
         "start",
+        "shard",
+        "slot",
+        "pass",
         F.greatest(spans["block"] * block - F.col("start"), F.lit(0)).alias("first"),
-        F.least((spans["block"] + 1) * block - F.col("start"), F.col("size")).alias("last"),
-        "times",
+        F.least(spans["block"] * block + F.col("length") - F.col("start"), F.col("size")).alias("last"),
     )
     with_plan = placed.join(plan.withColumnRenamed("source", "_plan_source"), F.col(source).eqNullSafe(F.col("_plan_source"))).drop("_plan_source")
-    return with_plan, slots, picks
+    return with_plan, slots, picks.filter("first < last")
 
 
 def taken_words(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """Adds ``size``, ``source_size``, ``target`` and ``taken``, the words that the mix takes from the row.
+    """Adds ``size``, ``source_size``, ``target``, ``taken``, ``n_slots`` and ``first_shard``.
 
+    ``taken`` counts the words that the mix takes from the row, ``n_slots`` the slots of the output
+    that hold some of them, and ``first_shard`` is the first shard with one, null if none has.
     Columns of ``docs`` that are called so give way.
     """
     hidden = Hidden(docs)
     source = hidden(source)
     rows, _, picks = mix(hidden.df, hidden(text), hidden(key), source, **options)
-    sums = picks.groupBy(F.col("source").alias("_s"), F.col("start").alias("_at")).agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("_taken"))
+    of_row = [F.sum(F.col("last") - F.col("first")).alias("_taken"), F.count("*").alias("_slots"), F.min("shard").alias("first_shard")]
+    sums = picks.groupBy(F.col("source").alias("_s"), F.col("start").alias("_at")).agg(*of_row)
     match = F.col(source).eqNullSafe(F.col("_s")) & (F.col("_start") == F.col("_at")) & (F.col("_size") > 0)
-    out = rows.join(sums, match, "left").withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long"))
-    return hidden.restore(out.withColumnRenamed("_size", "size"), "size", "source_size", "target", "taken")
+    out = rows.join(sums, match, "left")
+    for name, found in (("taken", "_taken"), ("n_slots", "_slots")):
+        out = out.withColumn(name, F.coalesce(found, F.lit(0)).cast("long"))
+    return hidden.restore(out.withColumnRenamed("_size", "size"), "size", "source_size", "target", "taken", "n_slots", "first_shard")
 
 
 def mixed_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
@@ -169,8 +185,7 @@ def mixed_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", source:
     hidden = Hidden(docs)
     text, source = hidden(text), hidden(source)
     rows, _, picks = mix(hidden.df, text, hidden(key), source, **options)
-    passes = picks.withColumn("p", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
-    passes = passes.groupBy(F.col("source").alias("_s"), F.col("start").alias("_at"), "p").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_spans"), F.sum(F.col("last") - F.col("first")).alias("_n"))
+    passes = picks.groupBy(F.col("source").alias("_s"), F.col("start").alias("_at"), "pass").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_spans"), F.sum(F.col("last") - F.col("first")).alias("_n"))
     match = F.col(source).eqNullSafe(F.col("_s")) & (F.col("_start") == F.col("_at"))
     out = rows.filter("_size > 0").join(passes, match)
     parts = F.flatten(F.transform("_spans", lambda s: F.slice(words(F.col(text)), (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int"))))

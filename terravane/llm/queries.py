@@ -78,7 +78,7 @@ def op3_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source with weights 5, 2, 1 and at most three passes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return taken_words(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return taken_words(docs).select("doc_id", "size", "source_size", "target", "taken", "n_slots", "first_shard")
 
 
 def op5_archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
