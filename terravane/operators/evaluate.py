@@ -41,13 +41,24 @@ def roc_auc(df: DataFrame, by: Sequence[str], y: str = "y", prob: str = "prob")
     return sums.select(*keys, F.try_divide(F.col("w"), (F.col("pos") * F.col("neg")).cast("double")).alias("roc_auc"))
 
 
-def roc_auc_pairs(df: DataFrame, y: str = "y", prob: str = "prob") -> DataFrame:
-    """The same by comparing every positive with every negative score; distinct scores only, for checks."""
+def roc_auc_pairs(df: DataFrame, y: str = "y", prob: str = "prob", bins: int = 1024) -> DataFrame:
+    """The same by comparing positives with negatives, for checks.
+
+    Scores are cut into bins of equal width; pairs of one bin meet in a join and are compared one
+    by one (distinct scores only), pairs of different bins are counted by bins.
+    """
     counts = df.filter(F.col(prob).isNotNull()).groupBy(F.col(prob).alias("s")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n"))
-    a, b = counts.filter("p > 0").select(F.col("s").alias("sp"), "p"), counts.filter("n > 0").select(F.col("s").alias("sn"), "n")
+    counts = counts.withColumn("bin", F.floor(F.col("s") * bins))
+    a, b = counts.filter("p > 0").select("bin", F.col("s").alias("sp"), "p"), counts.filter("n > 0").select("bin", F.col("s").alias("sn"), "n")
     win = F.when(F.col("sp") > F.col("sn"), 1.0).when(F.col("sp") == F.col("sn"), 0.5).otherwise(0.0)
-    weight = F.col("p") * F.col("n")
-    return a.join(b).agg(F.try_divide(F.sum(win * weight), F.sum(weight).cast("double")).alias("roc_auc"))
+    near = a.join(b, "bin").agg(F.sum(win * F.col("p") * F.col("n")).alias("near"))
+    # A row for each bin.
+    totals = counts.groupBy("bin").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    far = totals.withColumn("below", below).agg(F.sum(F.col("p") * F.col("below")).alias("far"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    # One row each.
+    both = far.join(F.broadcast(near))
+    return both.select(F.try_divide(F.coalesce("near", F.lit(0.0)) + F.col("far"), (F.col("p") * F.col("n")).cast("double")).alias("roc_auc"))
 
 
 def cut_offs(first: int = 10, last: int = 90, parts: int = 100) -> Column:

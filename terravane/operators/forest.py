@@ -21,17 +21,16 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
     return counts.join(F.broadcast(total)).select(target, "n", (F.col("total") / (2.0 * F.col("n"))).alias("weight"))
 
 
-def fit(train: DataFrame, features: Sequence[str], target: str, trees: int = 500, depth: int = 5, min_leaf: int = 2, seed: int = 42, max_bins: int | None = None) -> RandomForestClassificationModel:
+def fit(train: DataFrame, features: Sequence[str], target: str, trees: int = 500, depth: int = 5, min_leaf: int = 2, seed: int = 42, max_bins: int = 256) -> RandomForestClassificationModel:
     """A forest on weighted rows.
 
-    ``max_bins`` defaults to allow every split point of a small series (up to 1024 of them), and
-    quantiles beyond.  A small table should come in one partition, then refits agree.
+    A feature is cut at ``max_bins`` quantiles of its values, or at all of them where it has fewer.
+    A small table should come in one partition, then refits agree.
     """
     # Two classes.
     weighted = train.join(F.broadcast(class_weights(train, target).drop("n")), target)
     ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(weighted)
-    bins = max_bins or min(1024, max(32, train.count() + 1))
-    forest = RandomForestClassifier(labelCol=target, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, maxBins=bins, seed=seed, featureSubsetStrategy="sqrt")
+    forest = RandomForestClassifier(labelCol=target, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, maxBins=max_bins, seed=seed, featureSubsetStrategy="sqrt")
     return forest.fit(ready)
 
 

@@ -11,6 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from terravane.functions.geo import to_utm
 
 # Classes of the scene classification that spoil a pixel, and the value written for missing ones.
 BAD_CLASSES = (0, 1, 3, 8, 9, 10, 11)
@@ -50,24 +53,40 @@ def composite(df: DataFrame, value: str = "value", keys: Sequence[str] = ("row",
     return df.groupBy(*keys).agg(F.avg(value).alias("value"), F.count(value).alias("scenes"))
 
 
-def coverage(grid: DataFrame, composed: DataFrame, keys: Sequence[str] = ("row", "col")) -> DataFrame:
+def coverage(grid: DataFrame, composed: DataFrame, keys: Sequence[str] = ("row", "col"), by: Sequence[str] = ()) -> DataFrame:
     """Covered cells, all cells of the grid and their ratio; uncovered cells count in the denominator."""
     joined = grid.join(composed, list(keys), "left")
-    return joined.agg(F.count("value").alias("covered"), F.count("*").alias("cells"), F.try_divide(F.count("value").cast("double"), F.count("*")).alias("fraction"))
+    return joined.groupBy(*by).agg(F.count("value").alias("covered"), F.count("*").alias("cells"), F.try_divide(F.count("value").cast("double"), F.count("*")).alias("fraction"))
+
 
+def weighted_summary(df: DataFrame, value: str, weight: str, by: Sequence[str] = (), bins: int = 1024) -> DataFrame:
+    """Weighted and plain mean, exact median, extremes and counts of pixels with positive weight.
 
-def weighted_summary(df: DataFrame, value: str, weight: str, by: Sequence[str] = ()) -> DataFrame:
-    """Weighted and plain mean, exact median, extremes and counts of pixels with positive weight."""
-    used = df.filter(finite(F.col(value)) & (F.col(weight) > 0))
-    return used.groupBy(*by).agg(
+    For the median equal values are counted first, and the counts of ranges of values; only the
+    ranges that hold the middle are ordered.
+    """
+    used = df.filter(finite(F.col(value)) & (F.col(weight) > 0)).withColumn("_group", F.struct(F.lit(0).alias("_"), *by))
+    facts = used.groupBy("_group").agg(
         F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("weighted_mean"),
         F.avg(value).alias("mean"),
-        F.median(value).alias("median"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
         F.count("*").alias("pixels"),
         F.sum(weight).alias("weight"),
     )
+    v = F.col(value).cast("double")
+    counted = used.groupBy("_group", v.alias("_v")).agg(F.count("*").alias("_n")).join(facts.select("_group", "min", "max", "pixels"), "_group")
+    counted = counted.withColumn("_bin", F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("min"), F.col("max") - F.col("min")) * bins), F.lit(0)))
+    before = Window.partitionBy("_group").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counted.groupBy("_group", "_bin").agg(F.sum("_n").alias("_t"), F.first("pixels").alias("_all")).withColumn("_below", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+    # Counted from 0, the middle is at these ranks.
+    low, high = F.expr("(_all - 1) div 2"), F.expr("_all div 2")
+    middle = totals.filter((F.col("_below") <= high) & (F.col("_below") + F.col("_t") > low)).select("_group", "_bin", "_below", "_all")
+    ordered = Window.partitionBy("_group", "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.join(middle, ["_group", "_bin"]).withColumn("_end", F.col("_below") + F.sum("_n").over(ordered))
+    holds = [F.min(F.when(F.col("_end") > rank, F.col("_v"))) for rank in (low, high)]
+    median = placed.groupBy("_group").agg(((holds[0] + holds[1]) / 2).alias("median"))
+    return facts.join(median, "_group").select(*[F.col("_group")[c].alias(c) for c in by], "weighted_mean", "mean", "median", "min", "max", "pixels", "weight")
 
 
 def fractional_cover(df: DataFrame, flag: Column, block: int, row: str = "row", col: str = "col") -> DataFrame:
@@ -94,7 +113,12 @@ def _source(index: Column, scale: float, shift: float) -> Column:
 
 def nearest(source: DataFrame, target: DataFrame, scale: float = 1.0, shift: tuple[float, float] = (0.0, 0.0), keys: Sequence[str] = ("scene_id",)) -> DataFrame:
     """Values of the source cells that hold the centres of the target cells; ``scale`` source cells make a target cell."""
-    wanted = target.withColumn("sr", F.floor((F.col("row") + 0.5) * scale + shift[0]).cast("int")).withColumn("sc", F.floor((F.col("col") + 0.5) * scale + shift[1]).cast("int"))
+    return nearest_at(source, target.withColumn("y", _source(F.col("row"), scale, shift[0])).withColumn("x", _source(F.col("col"), scale, shift[1])), keys)
+
+
+def nearest_at(source: DataFrame, placed: DataFrame, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
+    """Values of the source cells that hold the places ``y``, ``x`` of target cells, counted from the first source cell's centre."""
+    wanted = placed.select("row", "col", F.floor(F.col("y") + 0.5).cast("int").alias("sr"), F.floor(F.col("x") + 0.5).cast("int").alias("sc"))
     pixels = source.select(*keys, F.col("row").alias("sr"), F.col("col").alias("sc"), "value")
     return wanted.join(pixels, ["sr", "sc"]).select(*keys, "row", "col", "value")
 
@@ -104,7 +128,11 @@ def bilinear(source: DataFrame, target: DataFrame, scale: float = 1.0, shift: tu
 
     Missing neighbours are left out and the others' weights enlarged; a cell without any has no row.
     """
-    placed = target.withColumn("y", _source(F.col("row"), scale, shift[0])).withColumn("x", _source(F.col("col"), scale, shift[1]))
+    return bilinear_at(source, target.withColumn("y", _source(F.col("row"), scale, shift[0])).withColumn("x", _source(F.col("col"), scale, shift[1])), keys)
+
+
+def bilinear_at(source: DataFrame, placed: DataFrame, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
+    """``bilinear`` for target cells with places ``y``, ``x`` of their own, counted from the first source cell's centre."""
     corners = [
         F.struct((F.floor("y") + i).cast("int").alias("sr"), (F.floor("x") + j).cast("int").alias("sc"), ((F.col("y") - F.floor("y") if i else 1 - (F.col("y") - F.floor("y"))) * (F.col("x") - F.floor("x") if j else 1 - (F.col("x") - F.floor("x")))).alias("w"))
         for i in (0, 1)
@@ -132,10 +160,37 @@ def encoded(value: Column, nodata: float = NODATA) -> Column:
     return F.when(finite(value), value).otherwise(F.lit(nodata))
 
 
+def reprojected(source: DataFrame, target: DataFrame, zone: int, west: float, north: float, size: float, smooth: bool = True, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
+    """A raster in metres of a UTM zone on target cells ``(row, col, longitude, latitude)`` given in degrees.
+
+    ``west`` and ``north`` are the source's corner and ``size`` its cells' side.  Each target
+    cell's centre is projected, and takes the value between the four source cells around it, or
+    with ``smooth`` off that of the cell that holds it; cells beyond the source have no row.
+    """
+    east, up = to_utm(F.col("longitude"), F.col("latitude"), zone)
+    placed = target.select("row", "col", ((F.lit(float(north)) - up) / size - 0.5).alias("y"), ((east - west) / size - 0.5).alias("x"))
+    return (bilinear_at if smooth else nearest_at)(source, placed, keys)
+
+
 def same_grid(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``(same)``: whether two grids have the same cells, by their counts and extremes."""
-    facts = [t.agg(F.count("*").alias("n"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")) for t in (a, b)]
-    return facts[0].intersect(facts[1]).agg((F.count("*") == 1).alias("same"))
+    """``(same)``: whether two grids have the same cells, holes included."""
+    sides = [t.select("row", "col", F.lit(1).alias(n)) for t, n in ((a, "_a"), (b, "_b"))]
+    joined = sides[0].join(sides[1], ["row", "col"], "full_outer")
+    return joined.agg((F.count_if(F.col("_a").isNull() | F.col("_b").isNull()) == 0).alias("same"))
+
+
+def masked_mosaic(mosaic: DataFrame, mask: DataFrame, value: str = "value", cover: str = "fraction") -> DataFrame:
+    """A mosaic's cells with the cover of a mask on the same grid: ``(row, col, value, cover)``.
+
+    Raises at once if the mosaic has no cell, and when run if a cell is on one of the grids only.
+    """
+    if mosaic.isEmpty():
+        raise ValueError("the mosaic is empty")
+    sides = [t.select("row", "col", F.col(c).alias(c), F.lit(True).alias(n)) for t, c, n in ((mosaic, value, "_a"), (mask, cover, "_b"))]
+    both = sides[0].join(sides[1], ["row", "col"], "full_outer")
+    message = F.concat_ws(" ", F.lit("not on both grids:"), "row", "col")
+    row = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(message).cast("int")).otherwise(F.col("row"))
+    return both.select(row.alias("row"), "col", value, cover)
 
 
 def metadata(df: DataFrame, by: Sequence[str] = ("scene_id",)) -> DataFrame:

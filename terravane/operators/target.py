@@ -26,6 +26,12 @@ def flagged(df: DataFrame, thresholds: DataFrame, value: str, season: str = "mon
     return joined.withColumn("current_stress", (F.col(value) < F.col("stress_threshold")).cast("int"))
 
 
+def require(df: DataFrame, column: str) -> DataFrame:
+    """The same rows; raises when run if one has no value in the column."""
+    guard = F.raise_error(F.lit(f"{column} is missing")).cast(df.schema[column].dataType)
+    return df.withColumn(column, F.when(F.col(column).isNull(), guard).otherwise(F.col(column)))
+
+
 def next_step(df: DataFrame, value: str, time: str = "time", partition_by: Sequence[str] = (), calendar: bool = False) -> DataFrame:
     """Adds the next step's flag and value; rows without a next flag go."""
     out = shifted(df, ["current_stress"], -1, "target_stress_next", time, partition_by, calendar)

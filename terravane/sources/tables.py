@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Schemas of the canonical tables, as DDL.
-SCHEMAS = {
-    "precipitation": "time DATE, precipitation_mm DOUBLE, source STRING, source_file STRING",
-    "soil_moisture": "time DATE, soil_moisture_m3_m3 DOUBLE, source STRING, latitude DOUBLE, longitude DOUBLE",
-    "thermal": "time DATE, temperature_2m_c DOUBLE, et0_mm DOUBLE",
-    "climate_base": "time DATE, precipitation_mm DOUBLE, soil_moisture_m3_m3 DOUBLE",
-    "features": "time DATE, precipitation_mm DOUBLE, soil_moisture_m3_m3 DOUBLE, temperature_2m_c DOUBLE, year INT, month INT",
-    "grid_plan": "date DATE, grid_id STRING, latitude FLOAT, longitude FLOAT, precipitation_mm FLOAT, source STRING",
-}
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share; of this machine only where the session names none."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='terravane-')).rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,9 +28,23 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | Struc
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str | StructType, key: str | None = None, header: bool = True) -> DataFrame:
-    """Evidence tables.  Rows that do not fit go, and with ``key`` those whose key is missing or a repeated header."""
-    out = spark.read.schema(schema).option("header", header).option("sep", "\t").option("mode", "DROPMALFORMED").option("enforceSchema", True).csv(path)
-    return out.filter(F.col(key).isNotNull() & (F.col(key) != key)) if key else out
+    """Evidence tables.
+
+    A row that does not fit keeps what could be read of it, and its text as ``_corrupt_record``,
+    which is null in all others; see ``corrupt``.  With ``key`` rows go whose key is missing or a
+    repeated header, but those that do not fit stay.
+    """
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    fields = StructType([*fields.fields, *StructType.fromDDL("_corrupt_record STRING").fields])
+    reader = spark.read.schema(fields).option("header", header).option("sep", "\t").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+    out = reader.option("enforceSchema", True).csv(path)
+    keyed = F.col("_corrupt_record").isNotNull() | (F.col(key).isNotNull() & (F.col(key).cast("string") != key)) if key else F.lit(True)
+    return out.filter(keyed)
+
+
+def corrupt(rows: DataFrame) -> DataFrame:
+    """``(rows, corrupt)``: how many rows of an evidence table there are, and how many do not fit."""
+    return rows.agg(F.count("*").alias("rows"), F.count("_corrupt_record").alias("corrupt"))
 
 
 def read_json_document(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:

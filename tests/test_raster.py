@@ -75,6 +75,9 @@ def test_nearest_window_and_nodata(spark):
     assert part == {(0, 0): 12.0, (0, 1): 13.0, (1, 0): 22.0, (1, 1): 23.0}
     assert raster.same_grid(source, source.withColumn("value", F.lit(0))).first().same
     assert not raster.same_grid(source, source.filter("row < 3")).first().same
+    # Holes in different places: counts and extremes are the same.
+    holes = [source.filter(f"not (row = 1 and col = {c})") for c in (1, 2)]
+    assert not raster.same_grid(*holes).first().same
     values = frame(spark, [(1.0,), (None,), (float("inf"),)], "v double")
     assert [r[0] for r in values.select(raster.encoded(F.col("v"))).collect()] == [1.0, -9999.0, -9999.0]
     assert [r[0] for r in raster.masked_in_range(frame(spark, [(1.0,), (-9999.0,)], "v double"), "v", -9999).collect()] == [1.0, None]
@@ -129,3 +132,12 @@ def test_composite_from_long_bands(spark):
     assert meta["a"] == (1, 1, 3)
     cells = frame(spark, [(35.0, 32.0, 1.0), (36.0, 33.0, 3.0), (40.0, 33.0, 9.0)], "longitude double, latitude double, v double")
     assert tuple(raster.region_mean(cells, "v", (35, 32, 36, 33)).first()) == (2.0, 2)
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 4.0], [5.0] * 6 + [1.0], [2.0, 1.0, 9.0, -4.0, 1.0, 7.5], [float(k * k % 37) for k in range(101)]])
+def test_exact_median_from_counts(spark, values):
+    rows = [(g, v, 1.0) for g in ("a", None) for v in values]
+    out = raster.weighted_summary(spark.createDataFrame(rows, "g string, value double, w double"), "value", "w", ["g"]).collect()
+    assert {r.g for r in out} == {"a", None} and all(r.median == pytest.approx(np.median(values)) for r in out)
+    whole = raster.weighted_summary(spark.createDataFrame(rows, "g string, value double, w double"), "value", "w").first()
+    assert whole.median == pytest.approx(np.median(values)) and whole.pixels == 2 * len(values)

@@ -27,6 +27,14 @@ def test_tsv_drops_stray_lines(spark, tmp_path):
     assert {r.ID for r in rows.collect() if r.YEAR} == {"S01", "S02", "ID"} - {"ID"}
 
 
+def test_tsv_keeps_lines_that_do_not_fit(spark, tmp_path):
+    (tmp_path / "s.tsv").write_text("ID\tYEAR\nS01\t2023\nS02\tlast year\nS03\t2024\n\t2025\n")
+    rows = tables.read_tsv(spark, str(tmp_path / "s.tsv"), "ID STRING, YEAR INT", key="ID")
+    assert {(r.ID, r.YEAR) for r in rows.filter("_corrupt_record is null").collect()} == {("S01", 2023), ("S03", 2024)}
+    assert [r._corrupt_record for r in rows.filter("_corrupt_record is not null").collect()] == ["S02\tlast year"]
+    assert tuple(tables.corrupt(rows.cache()).first()) == (3, 1)
+
+
 def test_json_documents(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"test": {"m": {"confusion_matrix": [[9, 0], [2, 0]]}}}, indent=2))
     doc = tables.read_json_document(spark, str(tmp_path / "m.json"))
