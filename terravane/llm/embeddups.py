@@ -18,6 +18,7 @@ pairs themselves.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,38 +31,34 @@ from terravane.llm.common import components, drop_stages, shared_folder, write_s
 PROJECTIONS, WIDTH, NEEDED, REACH, BLOCK = 24, 1.5, 13, 4.0, 1024
 
 
+@lru_cache(maxsize=16)
 def directions(dim: int) -> np.ndarray:
     """Gaussian directions for a dimension, the same in every task and run."""
     return np.random.Generator(np.random.PCG64(dim)).standard_normal((dim, PROJECTIONS))
 
 
-def usable(values: list | None) -> np.ndarray | None:
-    """The vector in double precision, scaled to unit length; None if it can link with nothing."""
-    if not values or any(v is None for v in values):
-        return None
-    x = np.asarray(values, dtype=np.float64)
-    if not np.isfinite(x).all():
-        return None
-    top = np.abs(x).max()
-    if top == 0:
-        return None
-    x = x / top
-    return x / np.sqrt(x @ x)
+def units(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The usable vectors of a list column by their lengths: (rows, unit vectors)."""
+    lengths = np.asarray(column.value_lengths().fill_null(0))
+    for dim in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == dim)
+        x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        # A null component has become one that is no number.
+        top = np.abs(x).max(axis=1)
+        good = np.isfinite(top) & (top > 0)
+        x = x[good] / top[good, None]
+        yield rows[good], x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def _prepare(spread: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels, units, dims, bands = [], [], [], [], []
-            for i, label, values in zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
-                x = usable(values)
-                if x is not None:
-                    ids.append(i)
-                    labels.append(label)
-                    units.append(x.tobytes())
-                    dims.append(len(x))
-                    bands.append(int(np.floor(x @ directions(len(x))[:, 0] / (REACH * spread))))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(units, pa.binary()), pa.array(dims, pa.int32()), pa.array(bands, pa.int64())], names=["node", "label", "unit", "dim", "band"])
+            for rows, x in units(batch.column("embedding")):
+                dim = x.shape[1]
+                bands = np.floor(x @ directions(dim)[:, 0] / (REACH * spread)).astype(np.int64)
+                kept = batch.select(["node", "label"]).take(pa.array(rows))
+                unit = pa.array([v.tobytes() for v in x], pa.binary())
+                yield pa.RecordBatch.from_arrays([*kept.columns, unit, pa.array([dim] * len(x), pa.int32()), pa.array(bands)], names=["node", "label", "unit", "dim", "band"])
 
     return work
 
@@ -110,9 +107,10 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 def _compare(threshold: float):
     def work(table: pa.Table) -> pa.Table:
         """The rows of a pair of blocks: what their links add to each vector's count, and a forest of them."""
-        sides = {}
+        sides, size = {}, {}
         for side in "ab":
             part = table.filter(pc.equal(table.column("side"), side))
+            size |= zip(part.column("node").to_pylist(), part.column("size").to_pylist(), strict=True)
             sides[side] = part.column("node").to_numpy(), np.frombuffer(b"".join(part.column("unit").to_pylist()), dtype=np.float64).reshape(part.num_rows, -1) if part.num_rows else None
         first = table.slice(0, 1).to_pylist()[0]
         same = first["inside"] and first["i"] == first["j"]
@@ -122,7 +120,10 @@ def _compare(threshold: float):
             x, y = ids[x], others[y]
         else:
             x = y = np.zeros(0, dtype=np.int64)
-        linked, n = np.unique(np.concatenate([x, y]), return_counts=True)
+        # A link with a class is one with each of its vectors.
+        linked, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        n = np.zeros(len(linked), dtype=np.int64)
+        np.add.at(n, at, np.array([size[k] for k in np.concatenate([y, x]).tolist()], dtype=np.int64))
         tree = forest(x, y)
         node = np.concatenate([linked, np.array([p for p, _ in tree], dtype=np.int64)])
         other = pa.array([None] * len(linked) + [q for _, q in tree], pa.int64())
@@ -138,16 +139,22 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", label: str =
     Rows are compared if their labels are equal and not null and their vectors equally long.
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing.
     ``n_links`` counts the other rows linked directly; ``component_id`` is the smallest key
-    reachable; ``kept`` says whether that is the row's own.  Rows with a null key link with
-    nothing, have a null component and are kept.  Rows with equal keys are told apart for
-    counting, and share the smallest component that one of them is in.
+    reachable; ``kept`` says whether that is the row's own.  Rows whose unit vectors are equal are
+    one class, compared once and counted as many times as it has rows, so copies cost nothing
+    beyond their rows.  Rows with a null key link with nothing, have a null component and are
+    kept.  Rows with equal keys are told apart for counting, and share the smallest component that
+    one of them is in.  A very long vector is one row's work; an empty table gives no rows; other
+    columns, whatever their names, are not looked at.
     """
     spark = vectors.sparkSession
     folder = shared_folder(spark)
     spread = float(np.sqrt(2 - 2 * threshold))
-    source = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
-    ready = source.filter("id is not null and label is not null").mapInArrow(_prepare(spread), "node long, label string, unit binary, dim int, band long")
-    ready = write_stage(ready, folder, "units")
+    source = vectors.select(F.col(key).cast("long").alias("node"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
+    rows = source.filter("node is not null and label is not null").mapInArrow(_prepare(spread), "node long, label string, unit binary, dim int, band long")
+    rows = write_stage(rows, folder, "units")
+    same = ["label", "dim", "unit"]
+    classes = rows.groupBy(*same).agg(F.min("node").alias("least"), F.count("*").alias("size"), F.first("band").alias("band"))
+    ready = write_stage(classes.withColumn("node", F.monotonically_increasing_id()), folder, "classes")
     places = ready.groupBy("label", "dim", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.lit(1)).cast("int").alias("blocks"))
     after = places.select("label", "dim", (F.col("band") - 1).alias("band"), F.col("blocks").alias("next"))
     before = places.select("label", "dim", (F.col("band") + 1).alias("band"), F.col("blocks").alias("prev"))
@@ -162,16 +169,21 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", label: str =
     prevs = F.when(F.col("prev") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("prev") - 1, F.lit(0))), lambda k: F.struct((F.col("band") - 1).alias("band"), k.alias("i"), F.col("block").alias("j"), F.lit(False).alias("inside"), F.lit("b").alias("side"))))
     none = F.array().cast("array<struct<band:bigint,i:int,j:int,inside:boolean,side:string>>")
     meetings = F.concat(inside, F.coalesce(nexts, none), F.coalesce(prevs, none))
-    dealt = blocks.select("label", "dim", "node", "unit", F.explode(meetings).alias("m")).select("label", "dim", "node", "unit", "m.*")
+    dealt = blocks.select("label", "dim", "node", "size", "unit", F.explode(meetings).alias("m")).select("label", "dim", "node", "size", "unit", "m.*")
     group = ["label", "dim", "band", "i", "j", "inside"]
     # A group is two blocks, of about 2 * BLOCK vectors.
     found = dealt.groupBy(*group).applyInArrow(_compare(threshold), "node long, other long, n long")
     found = write_stage(found, folder, "found")
 
-    counts = found.groupBy("node").agg(F.sum("n").alias("n_links"))
+    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     groups = components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), folder)
-    about = write_stage(counts.join(groups, "node", "left"), folder, "about")
-    drop_stages(spark, folder, "units", "found")
+    about = ready.select("node", "least", "size").join(counts, "node", "left").join(groups, "node", "left")
+    about = about.withColumn("component", F.coalesce("component", "node")).withColumn("n", F.coalesce("n", F.lit(0)) + F.col("size") - 1)
+    smallest = about.groupBy("component").agg(F.min("least").alias("smallest"))
+    about = about.join(smallest, "component").select("node", "n", "smallest")
+    members = rows.select(F.col("node").alias("member"), *same).join(ready.select("node", *same), same).join(about, "node")
+    about = write_stage(members.groupBy(F.col("member").alias("node")).agg(F.sum("n").alias("n_links"), F.min("smallest").alias("component")), folder, "about")
+    drop_stages(spark, folder, "units", "classes", "found")
     out = vectors.select(F.col(key)).join(about.withColumnRenamed("node", "_node"), F.col(key) == F.col("_node"), "left")
     out = out.select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", F.col(key)).cast("long").alias("component_id"))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
