@@ -37,7 +37,10 @@ def runs(data: np.ndarray, borders: np.ndarray, length: int, gram: int) -> tuple
     """Runs of the texts between the borders of a byte array.
 
     Returns for each run its text, least hash, phrase hash, first and last start (within its
-    text), and whether it may repeat itself.
+    text), and whether it may repeat itself.  Grams and phrases are hashed by different
+    polynomials, 62 bits each, so that two strings that agree in both are equal but for one chance
+    in 2**124.  Where a gram is a whole string the phrase is that string, however often it follows
+    itself.
     """
     begin, end = borders[:-1], borders[1:]
     long = np.flatnonzero(end - begin >= length)
@@ -56,7 +59,8 @@ def runs(data: np.ndarray, borders: np.ndarray, length: int, gram: int) -> tuple
     new[np.concatenate([[0], np.cumsum(strings)[:-1]])] = True
     at = np.flatnonzero(new)
     first, last = start[at], start[np.concatenate([at[1:], [total]]) - 1]
-    phrase = rolling.slices(p, first, last + length)
+    end_of = first + length if gram == length else last + length
+    phrase = rolling.slices(rolling.prefix(data, rolling.OTHERS), first, end_of, rolling.OTHERS)
     # A run's string that begins with the least gram, and is not the run's last, proves a second occurrence.
     twice = np.flatnonzero(~new[1:] & (h[start[:-1]] == least[:-1]))
     again = np.zeros(len(at), dtype=bool)
@@ -100,9 +104,9 @@ def repeated_ranges(docs: DataFrame, length: int, folder: str) -> DataFrame:
         gram = max(1, min(length, round(length * part)))
         found = source.mapInArrow(_find_runs(length, gram), _RUNS_DDL)
         if gram == length:
-            # A run is a single string, or equal ones in a row, each of which counts; its hash says all.
-            twice = found.groupBy("gram").agg(F.sum(F.expr("last - first + 1")).alias("n")).filter("n > 1").select("gram")
-            ranges.append(found.select("gram", "doc", "first", "last").join(twice, "gram").select("doc", "first", "last"))
+            # A run is a single string, or equal ones in a row, each of which counts; its hashes say all.
+            twice = found.groupBy("gram", "phrase").agg(F.sum(F.expr("last - first + 1")).alias("n")).filter("n > 1").select("gram", "phrase")
+            ranges.append(found.select("gram", "phrase", "doc", "first", "last").join(twice, ["gram", "phrase"]).select("doc", "first", "last"))
             break
         grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("phrase").alias("p"), F.max("phrase").alias("q"), F.max("again").alias("self"))
         grams = grams.filter("n > 1 or self").select("gram", (F.expr("p <> q") | F.col("self")).alias("open"))
@@ -171,8 +175,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, keep:
     ``n_spans`` (maximal removed runs) and ``kept_sha256`` of the remaining bytes, and their text
     as ``kept`` if asked for.  Texts are taken as UTF-8; a null text is empty; texts shorter
     than ``length`` lose nothing; matches never cross rows; a string repeated within its own row
-    counts; rows that repeat a whole text all lose it.  Strings are compared by 64-bit hashes of
-    the run and 64-bit hashes of the phrase together.  Columns named like the results give way.
+    counts; rows that repeat a whole text all lose it.  Strings are compared by two independent
+    hashes of 62 bits, one of the gram and one of the phrase.  Columns named like the results give way.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 

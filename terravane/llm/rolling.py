@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 PRIME = (1 << 31) - 1
-BASES = (1_390_208_809, 794_501_293)
+BASES, OTHERS = (1_390_208_809, 794_501_293), (1_043_618_065, 211_540_867)
 #: Multiplies what is mixed; odd.
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Powers that a worker keeps; longer texts make their own and forget them.
@@ -51,12 +51,12 @@ def inverse(base: int) -> int:
     return pow(base, -1, PRIME)
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
+def prefix(data: np.ndarray, bases: tuple[int, int] = BASES) -> np.ndarray:
     """Prefix sums of a byte array for both bases, one more than its length."""
-    out = np.zeros((len(BASES), len(data) + 1), dtype=np.uint64)
+    out = np.zeros((len(bases), len(data) + 1), dtype=np.uint64)
     m = np.uint64(PRIME)
     values = _values[data]
-    for k, base in enumerate(BASES):
+    for k, base in enumerate(bases):
         x = values * powers(base, len(data))
         np.cumsum((x & m) + (x >> np.uint64(31)), out=out[k, 1:])
     return out
@@ -72,10 +72,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def slices(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def slices(p: np.ndarray, start: np.ndarray, end: np.ndarray, bases: tuple[int, int] = BASES) -> np.ndarray:
     """Mixed hashes of the slices start..end-1, which also depend on their lengths."""
     h = np.zeros(len(start), dtype=np.uint64)
-    for k, base in enumerate(BASES):
+    for k, base in enumerate(bases):
         down = powers(inverse(base), p.shape[1])
         h = (h << np.uint64(31)) | reduced(reduced(p[k][end] - p[k][start]) * down[start])
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

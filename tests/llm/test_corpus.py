@@ -515,6 +515,17 @@ def test_vectors_equal_brute_force(spark):
     assert embeddups.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_copies_of_vectors_are_counted_by_their_rows(spark):
+    rng = np.random.default_rng(16)
+    base = rng.standard_normal(24)
+    near = base + rng.standard_normal(24) * 0.05
+    rows = [(k, base.tolist(), "a") for k in range(30)] + [(30 + k, (near * 2.0**k).tolist(), "a") for k in range(4)] + [(50, base.tolist(), "b"), (7, (-base).tolist(), "a")]
+    got = {}
+    for r in embeddups.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(5)).collect():
+        got.setdefault(r.vec_id, (r.n_links, r.component_id, r.kept))
+    assert all(got[k] == (33, 0, k == 0) for k in range(34)) and got[50] == (0, 50, True)
+
+
 def test_projections_recall_pairs_at_the_threshold():
     rng = np.random.default_rng(7)
     a = rng.standard_normal((4000, 32))
