@@ -32,8 +32,9 @@ from terravane.llm.common import Hidden, held, with_fields
 
 SPACE = "▁"
 #: Bounds of what a worker remembers: bytes of words, about what a word costs beside its characters
-#: and ids, characters of a word worth remembering, and pairs of pieces (of some 100 bytes each).
-MEMORY_BYTES, ENTRY, LONG_WORD, MEMORY_PAIRS = 64 << 20, 220, 256, 500_000
+#: and ids, characters of a word worth remembering, marks of words met once, and pairs of pieces (of
+#: some 100 bytes each).
+MEMORY_BYTES, ENTRY, LONG_WORD, MARKS, MEMORY_PAIRS = 24 << 20, 220, 256, 1 << 21, 250_000
 #: Kinds of pieces and models in the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -68,21 +69,27 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Memory(dict):
-    """Remembered results; of twice MEMORY_BYTES those asked for least recently are forgotten."""
+    """Remembered results; of twice MEMORY_BYTES those asked for least recently are forgotten.
+
+    A word is remembered when it comes for the second time, so words that occur once cost no memory.
+    """
 
     def __init__(self, make) -> None:
-        self.make, self.old, self.size = make, {}, 0
+        self.make, self.old, self.size, self.met = make, {}, 0, bytearray(MARKS)
 
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
             found = self.make(word)
-        if len(word) > LONG_WORD:
-            return found
+            mark = hash(word) % MARKS
+            if not self.met[mark] or len(word) > LONG_WORD:
+                self.met[mark] = 1
+                return found
         self.size += ENTRY + 2 * len(word) + len(found)
         if self.size > MEMORY_BYTES:
             self.old = dict(self)
             self.clear()
+            self.met = bytearray(MARKS)
             self.size = ENTRY + 2 * len(word) + len(found)
         self[word] = found
         return found
