@@ -784,3 +784,16 @@ def test_language_of_held_out_documents(spark, sf):
     held = [r for r in got if r.held_out]
     assert held and sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
     assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_a_word_is_remembered_when_it_comes_again_and_within_the_bound(monkeypatch):
+    monkeypatch.setattr(pieces, "MEMORY_BYTES", 2000)
+    made = []
+    memory = pieces.Memory(lambda word: made.append(word) or word.encode())
+    assert memory["one"] == b"one" and not memory
+    assert memory["one"] == b"one" and list(memory) == ["one"]
+    assert memory["one"] == b"one" and made == ["one", "one"]
+    long = "x" * (pieces.LONG_WORD + 1)
+    for word in [*(f"w{i}" for i in range(60)), long] * 3:
+        assert memory[word] == word.encode() and memory.size <= 2000 and len(memory) < 10 and len(memory.old) < 10
+    assert long not in memory and long not in memory.old
