@@ -9,7 +9,7 @@ from collections.abc import Callable, Hashable, Iterator, Sequence
 from contextlib import contextmanager
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -70,6 +70,23 @@ def literal_table(spark: SparkSession, schema: str, rows: Sequence[dict]) -> Dat
     return spark.range(1).select(F.explode(parsed).alias("r")).select("r.*")
 
 
+def lower_az(word: Column) -> Column:
+    """A word with A-Z lower-cased and every other letter as it is."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    # lower() does just that where all characters are single bytes, and is much faster.
+    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, upper, upper.lower()))
+
+
+#: CRC-32 in SQL for the independent engine: a table of 256 remainders, and the unsigned checksum of a word's UTF-8 bytes.
+CRC_TABLE_SQL = "crc_table AS (SELECT list(r ORDER BY n) AS t FROM (SELECT n.range AS n, list_reduce([n.range, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS r FROM range(256) n))"
+
+
+def crc_sql(word: str) -> str:
+    """The checksum of an expression, in a query that also reads ``crc_table``."""
+    octets = f"list_transform(range(1, strlen({word}) + 1), lambda i: ('0x' || substr(hex(encode({word})), 2 * i - 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 _held: dict[Hashable, Any] = {}
 
 

@@ -15,6 +15,7 @@ from terravane.llm.mixing import taken_words
 from terravane.llm.neardup import near_duplicates
 from terravane.llm.pieces import encode
 from terravane.llm.repeats import remove_repeats
+from terravane.llm.resampling import RESAMPLED_SQL, resample
 from terravane.llm.sharding import shard_ring
 from terravane.llm.toolcalls import CONVERSATIONS_SQL, REPLY, SCHEMA, conversation_calls, link_calls
 from terravane.llm.warc import archive_round_trip
@@ -121,6 +122,11 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn=~F.col("held_out"), keep=["doc_id", "held_out"])
 
 
+def op11_position_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed against the benchmark's words, a tenth of them drawn."""
+    return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_image_copies": op1_image_copies,
@@ -133,8 +139,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_phrase_parsing": op8_phrase_parsing,
         "op9_piece_transducer": op9_piece_transducer,
         "op10_cross_parsing": op10_cross_parsing,
+        "op11_position_ngrams": op11_position_ngrams,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_tool_calls": CONVERSATIONS_SQL}
+    return {"op6_tool_calls": CONVERSATIONS_SQL, "op11_position_ngrams": RESAMPLED_SQL}
