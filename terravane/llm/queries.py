@@ -17,6 +17,7 @@ from terravane.llm.pieces import encode
 from terravane.llm.repeats import remove_repeats
 from terravane.llm.resampling import RESAMPLED_SQL, resample
 from terravane.llm.sharding import shard_ring
+from terravane.llm.spelling import VARIANTS_SQL, mistyped, variants
 from terravane.llm.toolcalls import CONVERSATIONS_SQL, REPLY, SCHEMA, conversation_calls, link_calls
 from terravane.llm.warc import archive_round_trip
 
@@ -127,6 +128,11 @@ def op11_position_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
 
 
+def op12_gram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of all documents, some of them mistyped, with their near words and forms."""
+    return variants(table(spark, sf_dir, "documents").select("doc_id", "text"), written=mistyped)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_image_copies": op1_image_copies,
@@ -140,8 +146,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_piece_transducer": op9_piece_transducer,
         "op10_cross_parsing": op10_cross_parsing,
         "op11_position_ngrams": op11_position_ngrams,
+        "op12_gram_index": op12_gram_index,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_tool_calls": CONVERSATIONS_SQL, "op11_position_ngrams": RESAMPLED_SQL}
+    return {"op6_tool_calls": CONVERSATIONS_SQL, "op11_position_ngrams": RESAMPLED_SQL, "op12_gram_index": VARIANTS_SQL}
