@@ -117,82 +117,125 @@ def _route(q: int, counts):
     return work
 
 
-def close(a: np.ndarray, b: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows of two letter matrices, the second as wide or one wider, that are one edit apart."""
-    wider = b.shape[1] - a.shape[1]
-    # Sixteen bits of a gram: more may seem shared than are, never fewer.
-    x, y = ((grams_of(c, q) * _MULTIPLIER >> np.uint64(48)).astype(np.uint16) for c in (a, b))
-    least = b.shape[1] - 2 * q + 1
+class Lettered:
+    """Words of one length: their letters, and sixteen bits of each gram, by place."""
+
+    def __init__(self, codes: np.ndarray, q: int) -> None:
+        self.codes = codes
+        # More grams may seem shared than are, never fewer.
+        self.grams = np.ascontiguousarray((grams_of(codes, q) * _MULTIPLIER >> np.uint64(48)).astype(np.uint16).T)
+
+
+def shared_grams(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many grams of a are in b at their place or, if b has one more, one further on; places first, the rest broadcasts."""
+    out = 0
+    for p in range(len(a)):
+        same = a[p] == b[p]
+        if len(b) > len(a):
+            same |= a[p] == b[p + 1]
+        out = out + same.astype(np.uint8 if len(a) < 256 else np.int32)
+    return out
+
+
+def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of letters, b's as wide as a's or one wider, differ by one edit."""
+    if a.shape[1] == b.shape[1]:
+        return (a != b).sum(axis=1) == 1
+    before = np.logical_and.accumulate(a == b[:, :-1], axis=1).sum(axis=1)
+    behind = np.logical_and.accumulate((a == b[:, 1:])[:, ::-1], axis=1).sum(axis=1)
+    return before + behind >= a.shape[1]
+
+
+def close(a: Lettered, b: Lettered, groups: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of words of a and of b one edit apart, of groups (first of a, number, first of b, number).
+
+    Large groups are counted tile by tile, small ones many at a time.
+    """
+    least = b.codes.shape[1] - 2 * q + 1
     left, right = [], []
-    for r in range(0, len(a), TILE):
-        for s in range(0, len(b), TILE):
-            u, v = x[r : r + TILE], y[s : s + TILE]
-            shared = np.zeros((len(u), len(v)), dtype=np.uint8 if x.shape[1] < 256 else np.int32)
-            for p in range(x.shape[1]):
-                same = u[:, p, None] == v[None, :, p]
-                if wider:
-                    same |= u[:, p, None] == v[None, :, p + 1]
-                shared += same
-            i, j = np.nonzero(shared >= least)
-            for k in range(0, len(i), 50_000):
-                one, two = a[r + i[k : k + 50_000]], b[s + j[k : k + 50_000]]
-                if wider:
-                    before = np.logical_and.accumulate(one == two[:, :-1], axis=1).sum(axis=1)
-                    behind = np.logical_and.accumulate((one == two[:, 1:])[:, ::-1], axis=1).sum(axis=1)
-                    good = before + behind >= a.shape[1]
-                else:
-                    good = (one != two).sum(axis=1) == 1
-                left.append(r + i[k : k + 50_000][good])
-                right.append(s + j[k : k + 50_000][good])
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        for k in range(0, len(i), 50_000):
+            u, v = i[k : k + 50_000], j[k : k + 50_000]
+            good = one_edit(a.codes[u], b.codes[v])
+            left.append(u[good])
+            right.append(v[good])
+
+    pairs = groups[:, 1] * groups[:, 3]
+    for first, n, other, m in groups[pairs > TILE].tolist():
+        for r in range(first, first + n, TILE):
+            for s in range(other, other + m, TILE):
+                u, v = a.grams[:, r : min(r + TILE, first + n), None], b.grams[:, None, s : min(s + TILE, other + m)]
+                i, j = np.nonzero(shared_grams(u, v) >= least)
+                keep(r + i, s + j)
+    groups, pairs = groups[pairs <= TILE], pairs[pairs <= TILE]
+    ends = np.cumsum(pairs)
+    for part in np.split(np.arange(len(groups)), np.flatnonzero(np.diff(ends // 400_000)) + 1):
+        n = pairs[part]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        m = np.repeat(groups[part, 3], n)
+        i, j = np.repeat(groups[part, 0], n) + at // m, np.repeat(groups[part, 2], n) + at % m
+        good = np.flatnonzero(shared_grams([g[i] for g in a.grams], [g[j] for g in b.grams]) >= least) if len(i) else i
+        keep(i[good], j[good])
     none = np.zeros(0, dtype=np.int64)
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _codes(words: pa.Array) -> np.ndarray:
-    """Words of one length as a matrix."""
-    return next(letters(words))[1] if len(words) else np.zeros((0, 0), dtype=np.uint32)
+def near_in_lists(rows: pa.RecordBatch, q: int) -> pa.RecordBatch:
+    """The near pairs, both ways, of whole lists: rows sorted by list, length, i, j, asks and side."""
+    words, n = rows.column("word"), rows.column("n")
+    place, lettered, row_of = np.zeros(rows.num_rows, dtype=np.int64), {}, {}
+    for at, codes in letters(words):
+        place[at], lettered[codes.shape[1]], row_of[codes.shape[1]] = np.arange(len(at)), Lettered(codes, q), at
+    keys = [rows.column(c).to_numpy(zero_copy_only=False) for c in ("list", "length", "i", "j")]
+    asks, side, cross = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "side", "cross"))
+    begin = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
+    own, other, asking = (np.add.reduceat(x.astype(np.int64), begin) for x in (~asks & (side == 0), ~asks & (side == 1), asks))
+    lengths, single = keys[1][begin], ~cross[begin]
+    xs, ys = [], []
+    for length in np.unique(lengths).tolist():
+        here = lengths == length
+        for first, n_first, second, n_second, short in (
+            (begin, own, begin, own * single, length),
+            (begin, own, begin + own, other, length),
+            (begin + own + other, asking, begin, own, length - 1),
+        ):
+            some = np.flatnonzero(here & (n_first > 0) & (n_second > 0))
+            if len(some):
+                groups = np.stack([place[first[some]], n_first[some], place[second[some]], n_second[some]], axis=1)
+                x, y = close(lettered[short], lettered[length], groups, q)
+                x, y = row_of[short][x], row_of[length][y]
+                if second is first:
+                    # A block meets itself from both sides.
+                    x, y = x[x < y], y[x < y]
+                xs.append(x)
+                ys.append(y)
+    x, y = (np.concatenate([np.zeros(0, dtype=np.int64), *v]) for v in (xs, ys))
+    a, b = pa.array(np.concatenate([x, y])), pa.array(np.concatenate([y, x]))
+    return pa.RecordBatch.from_arrays([words.take(a), words.take(b), n.take(b)], schema=_NEAR)
 
 
 def _merged(q: int):
-    """Counts and verifies within each list; rows come sorted by list, pair of blocks, and asking words behind the others."""
-
-    def meet(rows: pa.RecordBatch) -> pa.RecordBatch | None:
-        words, n = rows.column("word"), rows.column("n")
-        asks, side = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "side"))
-        own, other, asking = np.flatnonzero(~asks & (side == 0)), np.flatnonzero(~asks & (side == 1)), np.flatnonzero(asks)
-        single = not rows.column("cross")[0].as_py()
-        mine = _codes(words.take(pa.array(own)))
-        found = []
-        if single and len(own) > 1:
-            x, y = close(mine, mine, q)
-            found.append((own[x[x < y]], own[y[x < y]]))
-        elif len(own) and len(other):
-            x, y = close(mine, _codes(words.take(pa.array(other))), q)
-            found.append((own[x], other[y]))
-        if len(own) and len(asking):
-            x, y = close(_codes(words.take(pa.array(asking))), mine, q)
-            found.append((asking[x], own[y]))
-        if not any(len(x) for x, _ in found):
-            return None
-        x, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        a, b = pa.array(np.concatenate([x, y])), pa.array(np.concatenate([y, x]))
-        return pa.RecordBatch.from_arrays([words.take(a), words.take(b), n.take(b)], schema=_NEAR)
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rest = ("list", "length", "i", "j"), None
+        keys, waiting = ("list", "length", "i", "j"), []
+        of_row = lambda batch, k: [batch.column(c)[k].as_py() for c in keys]
         for batch in batches:
-            if rest is not None:
-                batch = pa.concat_batches([rest, batch])
+            if not batch.num_rows:
+                continue
+            # The last list of a batch may go on in the next one.
             columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
-            change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
-            edges = [0, *change.tolist()]
-            # The last list may go on in the next batch.
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if b - a > 1 and (out := meet(batch.slice(a, b - a))) is not None:
-                    yield out
-            rest = batch.slice(edges[-1])
-        if rest is not None and rest.num_rows > 1 and (out := meet(rest)) is not None:
-            yield out
+            before = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in columns]))
+            cut = int(before[-1]) + 1 if len(before) else 0
+            if not cut and waiting and of_row(waiting[-1], waiting[-1].num_rows - 1) != of_row(batch, 0):
+                ready, waiting = waiting, [batch]
+            elif cut:
+                ready, waiting = [*waiting, batch.slice(0, cut)], [batch.slice(cut)]
+            else:
+                waiting.append(batch)
+                continue
+            yield near_in_lists(pa.concat_batches(ready), q)
+        if waiting:
+            yield near_in_lists(pa.concat_batches(waiting), q)
 
     return work
 
@@ -228,7 +271,7 @@ def near_words(words: DataFrame, least: int, folder: str) -> DataFrame:
     none = F.array().cast("array<struct<i:int,j:int,side:int>>")
     meetings = F.when(small, F.array(pair(F.lit(0), F.lit(0), 0))).when(F.col("asks"), asking).otherwise(F.concat(blocks, F.coalesce(asked, none)))
     dealt = rows.select(*key, "asks", "word", "n", F.explode(meetings).alias("m")).select(*key, "m.i", "m.j", "m.side", "asks", (F.col("m.i") != F.col("m.j")).alias("cross"), "word", "n")
-    dealt = dealt.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j")
+    dealt = dealt.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j", "asks", "side")
     found = dealt.mapInArrow(_merged(q), "word string, near string, near_n long")
     # A pair may share several posted grams.
     return write_stage(found.distinct(), folder, "near")
