@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terravane.llm.common import literal_table, shared_folder, write_stage
 from terravane.llm.embeddups import near_duplicate_vectors
+from terravane.llm.graphsearch import nearest
 from terravane.llm.langid import identify
 from terravane.llm.media import describe, matched, pictures, representatives
 from terravane.llm.mixing import taken_words
@@ -133,6 +134,11 @@ def op12_gram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents").select("doc_id", "text"), written=mistyped)
 
 
+def op13_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth vector, among all."""
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_image_copies": op1_image_copies,
@@ -147,6 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_cross_parsing": op10_cross_parsing,
         "op11_position_ngrams": op11_position_ngrams,
         "op12_gram_index": op12_gram_index,
+        "op13_pruned_graph": op13_pruned_graph,
     }
 
 
