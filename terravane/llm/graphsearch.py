@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one for each shard of vectors.
 
 A shard's graph is grown by insertion, in batches that double.  For each new vector a greedy beam
-search from the shard's entry proposes neighbours; robust pruning takes the nearest of them, drops
+search from the shard's entries proposes neighbours; robust pruning takes the nearest of them, drops
 every other that is closer to the taken one than to the new vector by the factor ALPHA, and goes on
 until DEGREE edges are chosen, so edges lead in different directions.  Edges are also added the
 other way and pruned alike.  A second pass searches the whole graph for every vector and prunes
-again.  What the entry does not reach is tied to its nearest reachable vector.  Queries walk every
+again.  Entries are chosen far from each other, so that a crowd of near copies, whose edges stay
+within it, holds one of them and not all.  What no entry reaches is tied to its nearest reachable vector.  Queries walk every
 shard's graph with a beam; what they find is ranked by the exact measure, and the best of all
 shards remain.
 
@@ -27,7 +28,7 @@ from pyspark.sql.window import Window
 from terravane.llm.common import shared_folder, write_stage
 
 DEGREE, ALPHA, BEAM, EXPAND = 32, 1.2, 64, 4
-SHARD, QUERIES = 4096, 2048
+SHARD, QUERIES, ENTRIES = 4096, 2048, 32
 #: Searches in step, and the largest batch of insertions.
 TOGETHER = 512
 
@@ -67,24 +68,27 @@ def units(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]).astype(np.float32)
 
 
-def beam_search(points: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest nodes met from the entry, nearest first: ids, -1 where there are fewer, and squared distances."""
+def beam_search(points: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest nodes met from the entries, nearest first: ids, -1 where there are fewer, and squared distances."""
     ids, near = [], []
     for k in range(0, len(queries), TOGETHER):
-        found = _walk(points, edges, entry, queries[k : k + TOGETHER], beam)
+        found = _walk(points, edges, entries, queries[k : k + TOGETHER], beam)
         ids.append(found[0])
         near.append(found[1])
     return np.concatenate(ids), np.concatenate(near)
 
 
-def _walk(points: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def _walk(points: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(queries)
     ids = np.full((n, beam), -1, dtype=np.int64)
     far = np.full((n, beam), np.inf, dtype=np.float32)
     done = np.ones((n, beam), dtype=bool)
     seen = np.zeros((n, len(points)), dtype=bool)
-    ids[:, 0], far[:, 0], done[:, 0] = entry, 2 - 2 * (queries @ points[entry]), False
-    seen[:, entry] = True
+    start = 2 - 2 * (queries @ points[entries].T)
+    top = np.argsort(start, axis=1, kind="stable")[:, :beam]
+    m = top.shape[1]
+    ids[:, :m], far[:, :m], done[:, :m] = entries[top], np.take_along_axis(start, top, axis=1), False
+    seen[:, entries] = True
     active = np.arange(n)
     while len(active):
         rest = done[active]
@@ -157,29 +161,40 @@ def _linked_back(points: np.ndarray, edges: np.ndarray, sources: np.ndarray) ->
         edges[nodes] = robust_prune(points, nodes, np.concatenate([edges[nodes].astype(np.int64), come], axis=1))
 
 
-def build_graph(points: np.ndarray) -> tuple[np.ndarray, int]:
-    """Edges (-1: none) of every node of unit vectors, and the entry."""
+def scattered(points: np.ndarray, n: int = ENTRIES) -> np.ndarray:
+    """Up to n nodes: the one nearest the mean, and then always the one farthest from those before."""
+    out = [int((points @ points.mean(axis=0)).argmax())]
+    closest = points @ points[out[0]]
+    while len(out) < min(n, len(points)):
+        out.append(int(closest.argmin()))
+        closest = np.maximum(closest, points @ points[out[-1]])
+        closest[out] = np.inf
+    return np.array(out)
+
+
+def build_graph(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (-1: none) of every node of unit vectors, and the entries."""
     n = len(points)
     edges = np.full((n, DEGREE), -1, dtype=np.int32)
-    entry = int((points @ points.mean(axis=0)).argmax())
+    entries = scattered(points)
     order = np.random.Generator(np.random.PCG64(n)).permutation(n)
-    order = np.concatenate([[entry], order[order != entry]])
+    order = np.concatenate([entries, order[~np.isin(order, entries)]])
     for again in (False, True):
-        begin = 0 if again else 1
+        begin = 0
         while begin < n:
-            batch = order[begin : begin + (TOGETHER if again else min(TOGETHER, begin))]
-            found, _ = beam_search(points, edges, entry, points[batch])
+            batch = order[begin : begin + (TOGETHER if again else min(TOGETHER, max(begin, len(entries))))]
+            found, _ = beam_search(points, edges, entries, points[batch])
             # Vectors of one batch do not meet in the graph yet.
             near = points[batch] @ points[batch].T
             beside = batch[np.argsort(-near, axis=1, kind="stable")[:, :DEGREE]]
             edges[batch] = robust_prune(points, batch, np.concatenate([found, beside, edges[batch].astype(np.int64)], axis=1))
             _linked_back(points, edges, batch)
             begin += len(batch)
-    return _tied(points, edges, entry), entry
+    return _tied(points, edges, entries), entries
 
 
-def _tied(points: np.ndarray, edges: np.ndarray, entry: int) -> np.ndarray:
-    """The edges with one more for every part that the entry does not reach, from its nearest node that it reaches."""
+def _tied(points: np.ndarray, edges: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """The edges with one more for every part that no entry reaches, from its nearest node that is reached."""
     reached = np.zeros(len(points), dtype=bool)
 
     def reach(front: np.ndarray) -> None:
@@ -189,7 +204,7 @@ def _tied(points: np.ndarray, edges: np.ndarray, entry: int) -> np.ndarray:
             front = front[front >= 0]
             front = front[~reached[front]]
 
-    reach(np.array([entry]))
+    reach(entries)
     while not reached.all():
         lost, known = np.flatnonzero(~reached), np.flatnonzero(reached)
         best = np.concatenate([(points[lost[k : k + TOGETHER]] @ points[known].T).argmax(axis=1) for k in range(0, len(lost), TOGETHER)])
@@ -208,10 +223,10 @@ def _build(table: pa.Table) -> pa.Table:
     """A shard's nodes with their edges."""
     table = table.combine_chunks().sort_by("vector")
     x = np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype=np.float64).reshape(table.num_rows, -1)
-    edges, entry = build_graph(units(x))
+    edges, entries = build_graph(units(x))
     node = np.arange(len(x))
     lists = pa.array([e[e >= 0] for e in edges], pa.list_(pa.int32()))
-    made = {"dim": table.column("dim"), "shard": table.column("shard"), "node": pa.array(node, pa.int32()), "keys": table.column("keys"), "vector": table.column("vector"), "edges": lists, "entry": pa.array(node == entry)}
+    made = {"dim": table.column("dim"), "shard": table.column("shard"), "node": pa.array(node, pa.int32()), "keys": table.column("keys"), "vector": table.column("vector"), "edges": lists, "entry": pa.array(np.isin(node, entries))}
     return pa.table(made)
 
 
@@ -227,9 +242,9 @@ def _search(k: int):
         edges = np.full((len(n), max(1, n.max())), -1, dtype=np.int32)
         edges[np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = lists.flatten().to_numpy()
         x, q = (np.frombuffer(b"".join(t.column("vector").to_pylist()), dtype=np.float64).reshape(t.num_rows, -1) for t in (nodes, asking))
-        entry = int(np.flatnonzero(nodes.column("entry").to_numpy())[0])
+        entries = np.flatnonzero(nodes.column("entry").to_numpy())
         points = units(x)
-        found, _ = beam_search(points, edges, entry, units(q), max(BEAM, 4 * (k + 1)))
+        found, _ = beam_search(points, edges, entries, units(q), max(BEAM, 4 * (k + 1)))
         row, place = np.nonzero(found >= 0)
         node = found[row, place]
         score = cosines(q[row], x[node])
