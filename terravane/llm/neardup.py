@@ -207,21 +207,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
 
     # Then each node that is not linked with most of its own cluster against that cluster as a whole, and, where a
     # bucket of any key holds several clusters, each node against the larger of them.
-    labelled = nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"), "sig")
-    keys = labelled.mapInArrow(_keys(CHUNKS), _KEYS)
+    labelled = nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"), "n", "sig", F.coalesce("strict", "node").alias("own"))
+    keys = labelled.select("node", "component", "size", "sig").mapInArrow(_keys(CHUNKS), _KEYS)
     mixed = keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     inside = write_stage(keys.join(mixed, "key"), folder, "inside")
-    about = nodes.select("node", "n", "sig")
-    x = inside.join(about, "node").select("key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("size_x"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    about = labelled.select("node", "n", "sig", "own")
+    x = inside.join(about, "node").select("key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("size_x"), F.col("n").alias("na"), F.col("sig").alias("sa"), "own")
     y = inside.groupBy("key", "component").agg(F.min("node").alias("node"), F.max("size").alias("size")).join(about, "node")
     y = y.select(F.col("key").alias("k"), F.col("component").alias("cy"), F.col("size").alias("size_y"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     # The distance to a node of its own is part of the join's condition, so pairs beyond the limit are never made.
     towards = F.expr("size_x < size_y or (size_x = size_y and cx < cy)") & ((F.col("size_y") > 1) | _may_link(percent))
-    meetings = x.join(y, (F.col("key") == F.col("k")) & towards).select("x", "cy", "size_y").distinct()
+    # What is known of a node goes along, so that its meetings need not be joined with it again.
+    meetings = x.join(y, (F.col("key") == F.col("k")) & towards).select("x", "cy", "size_y", "na", "own").distinct()
     meetings = write_stage(meetings, folder, "meetings")
     pairs = meetings.filter("size_y = 1").select(F.least("x", "cy").alias("a"), F.greatest("x", "cy").alias("b")).distinct()
     more = _confirmed(pairs.join(stars, ["a", "b"], "left_anti"), sets_of, rows, words, percent, folder, "rest")
-    own = groups.filter("strict <> main").select(F.col("node").alias("x"), F.col("component").alias("cy"), F.col("size").alias("size_y"))
+    own = groups.filter("strict <> main").join(nodes.select("node", "n"), "node").select(F.col("node").alias("x"), F.col("component").alias("cy"), F.col("size").alias("size_y"), F.col("n").alias("na"), F.col("strict").alias("own"))
     more = more.union(_linked_wholes(meetings.filter("size_y > 1").union(own), groups, nodes.select("node", "n"), sets_of, rows, words, percent, folder))
     # A component's star stands for its links.
     merged = components(groups.select(F.col("node").alias("a"), F.col("strict").alias("b")).union(more), folder, "last")
@@ -312,7 +313,7 @@ def _ask(percent: int):
 def _linked_wholes(meetings: DataFrame, groups: DataFrame, sizes: DataFrame, sets_of: DataFrame, rows: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
     """A link from each node to each component of the clusters it met that has a similar enough member.
 
-    ``meetings`` has ``x`` and ``cy``.  All members are looked at, not only those met.  Members and
+    ``meetings`` has ``x`` with its size ``na`` and component ``own``, and ``cy``.  All members are looked at, not only those met.  Members and
     asking nodes are dealt into blocks of about BLOCK nodes and BLOCK_SHINGLES shingles, and a
     task compares a block with a block; as one link is enough to join a component, one comes out
     for each node, block and component.
@@ -322,15 +323,14 @@ def _linked_wholes(meetings: DataFrame, groups: DataFrame, sizes: DataFrame, set
         n = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
         return df.groupBy(by).agg(n.cast("int").alias(name))
 
-    asked = blocks(meetings.join(sizes.withColumnRenamed("node", "x"), "x"), "cy", "chunks")
+    asked = blocks(meetings.withColumnRenamed("na", "n"), "cy", "chunks")
     asked = asked.join(blocks(groups.join(sizes, "node").join(asked, F.col("component") == F.col("cy")), "cy", "blocks"), "cy")
     members = groups.join(asked, F.col("component") == F.col("cy")).select("cy", F.col("node").alias("y"), "blocks", "chunks", F.col("strict").alias("label"))
     ids = members.select(F.col("y").alias("node")).union(meetings.select("x")).distinct()
     sets = write_stage(_sets(ids, sets_of, rows, words), folder, "wholes-sets")
     everyone = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     right = members.join(sets.withColumnRenamed("node", "y"), "y").select("cy", F.pmod(F.xxhash64("y"), "blocks").cast("int").alias("block"), everyone.alias("chunk"), "y", "shingles", "label")
-    asking = meetings.join(groups.select(F.col("node").alias("x"), F.col("strict").alias("own")), "x", "left").withColumn("own", F.coalesce("own", "x"))
-    asking = asking.join(asked, "cy")
+    asking = meetings.join(asked, "cy")
     everyone = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = asking.join(sets.withColumnRenamed("node", "x"), "x").select("cy", everyone.alias("block"), F.pmod(F.xxhash64("x"), "chunks").cast("int").alias("chunk"), "x", "own", "shingles")
     right = right.select(*[F.col(c).alias(n) for c, n in zip(right.columns, ("cm", "bm", "km", "y", "members", "label"), strict=True)])
