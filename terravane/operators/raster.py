@@ -1,8 +1,9 @@
 """Rasters as long tables of pixels: (scene, row, col, value).
 
 Missing pixels are null.  Resampling generates the source neighbours of each target pixel and
-meets them in an equi-join on whole numbers.  The bilinear kernel has four neighbours at any
-scale; it is not widened when the target grid is coarser.
+meets them in an equi-join on whole numbers.  ``bilinear`` has four neighbours at any scale;
+``smoothed`` widens the kernel when the target grid is coarser, and scatters each source pixel to
+the target pixels whose kernel reaches it, which is one aggregation and no join.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from terravane.functions.geo import to_utm
+from terravane.functions.geo import from_utm, to_utm
+from terravane.operators.quantile import exact_quantiles
 
 # Classes of the scene classification that spoil a pixel, and the value written for missing ones.
 BAD_CLASSES = (0, 1, 3, 8, 9, 10, 11)
@@ -59,12 +60,8 @@ def coverage(grid: DataFrame, composed: DataFrame, keys: Sequence[str] = ("row",
     return joined.groupBy(*by).agg(F.count("value").alias("covered"), F.count("*").alias("cells"), F.try_divide(F.count("value").cast("double"), F.count("*")).alias("fraction"))
 
 
-def weighted_summary(df: DataFrame, value: str, weight: str, by: Sequence[str] = (), bins: int = 1024) -> DataFrame:
-    """Weighted and plain mean, exact median, extremes and counts of pixels with positive weight.
-
-    For the median equal values are counted first, and the counts of ranges of values; only the
-    ranges that hold the middle are ordered.
-    """
+def weighted_summary(df: DataFrame, value: str, weight: str, by: Sequence[str] = ()) -> DataFrame:
+    """Weighted and plain mean, exact median, extremes and counts of pixels with positive weight."""
     used = df.filter(finite(F.col(value)) & (F.col(weight) > 0)).withColumn("_group", F.struct(F.lit(0).alias("_"), *by))
     facts = used.groupBy("_group").agg(
         F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("weighted_mean"),
@@ -74,18 +71,7 @@ def weighted_summary(df: DataFrame, value: str, weight: str, by: Sequence[str] =
         F.count("*").alias("pixels"),
         F.sum(weight).alias("weight"),
     )
-    v = F.col(value).cast("double")
-    counted = used.groupBy("_group", v.alias("_v")).agg(F.count("*").alias("_n")).join(facts.select("_group", "min", "max", "pixels"), "_group")
-    counted = counted.withColumn("_bin", F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("min"), F.col("max") - F.col("min")) * bins), F.lit(0)))
-    before = Window.partitionBy("_group").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    totals = counted.groupBy("_group", "_bin").agg(F.sum("_n").alias("_t"), F.first("pixels").alias("_all")).withColumn("_below", F.coalesce(F.sum("_t").over(before), F.lit(0)))
-    # Counted from 0, the middle is at these ranks.
-    low, high = F.expr("(_all - 1) div 2"), F.expr("_all div 2")
-    middle = totals.filter((F.col("_below") <= high) & (F.col("_below") + F.col("_t") > low)).select("_group", "_bin", "_below", "_all")
-    ordered = Window.partitionBy("_group", "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.join(middle, ["_group", "_bin"]).withColumn("_end", F.col("_below") + F.sum("_n").over(ordered))
-    holds = [F.min(F.when(F.col("_end") > rank, F.col("_v"))) for rank in (low, high)]
-    median = placed.groupBy("_group").agg(((holds[0] + holds[1]) / 2).alias("median"))
+    median = exact_quantiles(used, value, [0.5], ["_group"]).select("_group", F.col("value").alias("median"))
     return facts.join(median, "_group").select(*[F.col("_group")[c].alias(c) for c in by], "weighted_mean", "mean", "median", "min", "max", "pixels", "weight")
 
 
@@ -144,6 +130,42 @@ def bilinear_at(source: DataFrame, placed: DataFrame, keys: Sequence[str] = ("sc
     return met.groupBy(*keys, "row", "col").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("value"))
 
 
+def smoothed(source: DataFrame, height: int, width: int, scale: float = 1.0, shift: tuple[float, float] = (0.0, 0.0), keys: Sequence[str] = ("scene_id",)) -> DataFrame:
+    """Bilinear values with a kernel as wide as the coarser grid's cells, on a target grid of ``height`` x ``width``.
+
+    The kernel is a triangle in each direction, from the target cell's centre to one target cell on
+    either side, or one source cell if those are larger (then this is ``bilinear``).  ``scale``
+    source cells make a target cell, ``shift`` is where the target's corner lies in source cells.
+    See ``scattered`` for missing values.
+    """
+    placed = source.withColumn("y", (F.col("row") + 0.5 - shift[0]) / scale - 0.5).withColumn("x", (F.col("col") + 0.5 - shift[1]) / scale - 0.5)
+    return scattered(placed, height, width, max(1.0, 1.0 / scale), keys)
+
+
+def scattered(placed: DataFrame, height: int, width: int, reach: float = 1.0, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
+    """Weighted means on a grid of the values of source cells with places ``y``, ``x`` in target cells.
+
+    Places are counted from the first target cell's centre.  A value counts for every target cell
+    within ``reach`` of its place, with a weight that falls from there to nothing in either
+    direction.  Missing values are left out and the others' weights enlarged; a cell without any has no row.  A
+    mean lies between the values it is of, whatever the rounding, so a constant field stays one.
+    Partial sums are made before the shuffle: a source cell adds to 4 target cells, if those are the larger ones.
+    """
+
+    def near(place: str, size: int) -> Column:
+        """The target cells of one direction, with their weights."""
+        first, last = F.greatest(F.floor(F.col(place) - reach) + 1, F.lit(0)), F.least(F.ceil(F.col(place) + reach) - 1, F.lit(size - 1))
+        cells = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(cells, lambda t: F.struct(t.cast("int").alias("at"), (F.lit(1.0) - F.abs(t - F.col(place)) / reach).alias("w")))
+
+    used = placed.filter(finite(F.col("value")) & F.col("y").isNotNull() & F.col("x").isNotNull())
+    rows = used.select(*keys, F.col("value").cast("double").alias("v"), near("x", width).alias("across"), F.explode(near("y", height)).alias("down"))
+    cells = rows.select(*keys, "v", "down", F.explode("across").alias("across"))
+    weighted = cells.select(*keys, F.col("down.at").alias("row"), F.col("across.at").alias("col"), "v", (F.col("down.w") * F.col("across.w")).alias("w")).filter("w > 0")
+    mean = F.greatest(F.min("v"), F.least(F.max("v"), F.sum(F.col("v") * F.col("w")) / F.sum("w")))
+    return weighted.groupBy(*keys, "row", "col").agg(mean.alias("value"))
+
+
 def reshaped(df: DataFrame, key: str, values: str, width: int) -> DataFrame:
     """An array column as pixels of a raster for each row."""
     each = df.select(F.col(key).alias("scene_id"), F.posexplode(values).alias("k", "value"))
@@ -172,6 +194,18 @@ def reprojected(source: DataFrame, target: DataFrame, zone: int, west: float, no
     return (bilinear_at if smooth else nearest_at)(source, placed, keys)
 
 
+def reprojected_smoothed(source: DataFrame, zone: int, corner: tuple[float, float], size: float, target: tuple[float, float], step: tuple[float, float], height: int, width: int, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
+    """A raster in metres of a UTM zone on a coarser grid in degrees, each source cell scattered to the targets around it.
+
+    ``corner`` is the source's west and north in metres and ``size`` its cells' side; ``target``
+    the grid's west and north in degrees and ``step`` its cells' width and height.
+    """
+    east, north = corner[0] + (F.col("col") + 0.5) * size, corner[1] - (F.col("row") + 0.5) * size
+    longitude, latitude = from_utm(east, north, zone)
+    placed = source.withColumn("x", (longitude - target[0]) / step[0] - 0.5).withColumn("y", (F.lit(target[1]) - latitude) / step[1] - 0.5)
+    return scattered(placed, height, width, 1.0, keys)
+
+
 def same_grid(a: DataFrame, b: DataFrame) -> DataFrame:
     """``(same)``: whether two grids have the same cells, holes included."""
     sides = [t.select("row", "col", F.lit(1).alias(n)) for t, n in ((a, "_a"), (b, "_b"))]

@@ -8,15 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.functions.calendar import in_years
+from terravane.operators.quantile import exact_quantiles
 from terravane.operators.series import shifted
 
 
 def seasonal_threshold(df: DataFrame, value: str, train_until: int, q: float = 0.25, season: str = "month", time: str = "time", partition_by: Sequence[str] = ()) -> DataFrame:
-    """The exact q-quantile, linearly interpolated, of each season over the training years."""
+    """The exact q-quantile, linearly interpolated, of each season over the training years.
+
+    For a series: a group has a value for each training year, and is held as a map of its values.
+    ``observed_threshold`` is for groups of any size.
+    """
     train = df.filter(in_years(F.col(time), last=train_until))
     return train.groupBy(*partition_by, season).agg(F.percentile(value, F.lit(q)).alias("stress_threshold"))
 
 
+def observed_threshold(df: DataFrame, value: str, train_until: int, q: float = 0.25, season: str = "month", time: str = "time", partition_by: Sequence[str] = ()) -> DataFrame:
+    """The same threshold of single observations, as many as there may be in a season.
+
+    NaN and infinite values are missing; see ``quantile.exact_quantiles``.
+    """
+    train = df.filter(in_years(F.col(time), last=train_until))
+    return exact_quantiles(train, value, [q], [*partition_by, season]).select(*partition_by, season, F.col("value").alias("stress_threshold"), "n")
+
+
 def flagged(df: DataFrame, thresholds: DataFrame, value: str, season: str = "month", partition_by: Sequence[str] = ()) -> DataFrame:
     """Adds the threshold and ``current_stress``: strictly below it.  A season without threshold raises when run."""
     # A row for each season and partition; Spark broadcasts it when its size allows.
