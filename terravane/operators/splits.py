@@ -47,19 +47,29 @@ def rolling_origin(df: DataFrame, first: int, last: int, time: str = "time") ->
 
 
 def _steps(df: DataFrame, time: str, ordinal: str, partition_by: Sequence[str]) -> DataFrame:
-    """``ok``: whether rows do not go back in time, by ordinal."""
+    """``ok``: whether rows do not go back in time, by ordinal; rows with equal ordinals are in the order of time.
+
+    Rows without an ordinal have no place and are left out.  Whole numbers stay whole: ranges of
+    the ordinal are cut by division without remainder, other numbers by their double, and rows are
+    ordered by the ordinal itself.
+    """
     kind = df.schema[ordinal].dataType.typeName()
-    place = {"date": F.unix_date, "timestamp": F.unix_micros, "timestamp_ntz": lambda c: F.unix_micros(c.cast("timestamp"))}.get(kind, lambda c: c)(F.col(ordinal)).cast("double")
-    rows = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(partition_by)], place.alias("_at"), F.col(time).alias("_time"))
+    place = {"date": F.unix_date, "timestamp": F.unix_micros, "timestamp_ntz": lambda c: F.unix_micros(c.cast("timestamp"))}.get(kind, lambda c: c)(F.col(ordinal))
+    whole = kind in ("date", "timestamp", "timestamp_ntz", "byte", "short", "integer", "long")
+    coarse = place.cast("long" if whole else "double")
+    rows = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(partition_by)], place.alias("_at"), coarse.alias("_coarse"), F.col(time).alias("_time")).filter("_at is not null")
     keys = [f"_k{i}" for i in range(len(partition_by))]
     # One row: the ordinal's range.
-    ends = F.broadcast(rows.agg(F.min("_at").alias("_low"), F.max("_at").alias("_high")))
-    width = F.greatest(F.col("_high") - F.col("_low"), F.lit(1.0)) / BINS
-    rows = rows.join(ends).withColumn("_bin", F.floor((F.col("_at") - F.col("_low")) / width)).drop("_low", "_high")
-    inside = rows.select((F.col("_time") >= F.lag("_time").over(Window.partitionBy(*keys, "_bin").orderBy("_at"))).alias("ok"))
-    bins = rows.groupBy(*keys, "_bin").agg(F.min_by("_time", "_at").alias("_first"), F.max_by("_time", "_at").alias("_last"))
-    before = F.lag("_last").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bin"))
-    return inside.union(bins.select((F.col("_first") >= before).alias("ok")))
+    ends = F.broadcast(rows.agg(F.min("_coarse").alias("_low"), F.max("_coarse").alias("_high")))
+    if whole:
+        bin_ = F.expr(f"_coarse div (_high div {BINS} - _low div {BINS} + 1)")
+    else:
+        bin_ = F.floor((F.col("_coarse") - F.col("_low")) / (F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-300)) / BINS))
+    rows = rows.join(ends).withColumn("_bin", bin_).drop("_low", "_high")
+    inside = rows.select((F.col("_time") >= F.lag("_time").over(Window.partitionBy(*keys, "_bin").orderBy("_at", "_time"))).alias("ok"))
+    bins = rows.groupBy(*keys, "_bin").agg(F.min(F.struct("_at", "_time")).alias("_first"), F.max(F.struct("_at", "_time")).alias("_last"))
+    before = F.lag("_last._time").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bin"))
+    return inside.union(bins.select((F.col("_first._time") >= before).alias("ok")))
 
 
 def leakage_report(df: DataFrame, features: Sequence[str], forbidden: Sequence[str], time: str = "time", ordinal: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:

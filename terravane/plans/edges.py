@@ -189,40 +189,74 @@ def model_persistence(spark: SparkSession, d: str) -> DataFrame:
 # Guards.
 
 
-def _raises(run: Callable[[], object]) -> bool:
+def _raises(run: Callable[[], object], kind: type[Exception], message: str) -> bool:
+    """Whether it raises just this error; any other goes on."""
     try:
         run()
-    except (PySparkException, LookupError, FileNotFoundError, ValueError):
+    except kind as error:
+        if message not in str(error):
+            raise
         return True
     return False
 
 
-@query(f"""WITH {PIXELS} SELECT 'null_target' AS guard, bool_or(o_totalprice IS NULL) AS raised FROM orders
-  UNION ALL SELECT 'tolerant_range', bool_or(abs(value) > 1.01) FROM measured
-  UNION ALL SELECT 'tolerant_range_of_twice', bool_or(abs(2 * value) > 1.01) FROM measured
-  UNION ALL SELECT * FROM (VALUES ('required_assets', false), ('missing_asset', true), ('known_scene', false), ('unknown_scene', true), ('no_file', true), ('other_grid', true), ('empty_mosaic', true))""")
+@query(f"""WITH {PIXELS}, scenes AS (SELECT 'S' || n_nationkey AS id, n_regionkey > 0 AS has_nir FROM nation),
+  composed AS (SELECT "row", col, avg(value) AS value FROM used GROUP BY "row", col), counts AS (
+  SELECT 'null_target' AS guard, count(*) FILTER (o_totalprice IS NULL) AS broken FROM orders
+  UNION ALL SELECT 'null_target_of_some', count(*) FILTER (o_orderkey % 1000 = 0) FROM orders
+  UNION ALL SELECT 'tolerant_range', count(*) FILTER (abs(value) > 1.01) FROM measured
+  UNION ALL SELECT 'tolerant_range_of_twice', count(*) FILTER (abs(2 * value) > 1.01) FROM measured
+  UNION ALL SELECT 'required_assets', 0 FROM (SELECT 1) UNION ALL SELECT 'missing_asset', count(*) FILTER (NOT has_nir) FROM scenes
+  UNION ALL SELECT 'known_scene', CAST(count(*) FILTER (id = 'S1') = 0 AS BIGINT) FROM scenes UNION ALL SELECT 'unknown_scene', CAST(count(*) FILTER (id = 'S-1') = 0 AS BIGINT) FROM scenes
+  UNION ALL SELECT 'no_file', CAST(count(*) FILTER (n_name LIKE '%.nothing') = 0 AS BIGINT) FROM nation
+  UNION ALL SELECT 'same_grid', 64 - count(DISTINCT "row" * 8 + col) FROM pixels
+  UNION ALL SELECT 'other_grid', count(*) FILTER (col = 7) FROM composed
+  UNION ALL SELECT 'empty_mosaic', CAST(count(*) FILTER (value > 2) = 0 AS BIGINT) FROM measured)
+  SELECT guard, broken, broken > 0 AS raised FROM counts""")
 def guards(spark: SparkSession, d: str) -> DataFrame:
-    """Which guards raise over whole tables."""
+    """How many rows break each guard, and whether it raises its own error over the whole table."""
+    orders = table(spark, d, "orders")
+    some = orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 1000 != 0, F.col("o_totalprice")))
     values = pixels(spark, d).select(F.col("value").cast("double").alias("value"))
-    catalogue = table(spark, d, "nation").select(F.concat(F.lit("S"), "n_nationkey").alias("id"), F.create_map(F.lit("red"), F.col("n_name"), F.lit("nir"), F.col("n_name")).alias("assets"))
-    cells, fewer = (raster.grid(spark, n, 8).withColumn("value", F.lit(1.0)).withColumn("fraction", F.lit(0.5)) for n in (8, 7))
+    twice = values.withColumn("value", F.col("value") * 2)
+    nation = table(spark, d, "nation")
+    assets = F.map_filter(F.create_map(F.lit("red"), F.col("n_name"), F.lit("nir"), F.when(F.col("n_regionkey") > 0, F.col("n_name"))), lambda _, v: v.isNotNull())
+    catalogue = nation.select(F.concat(F.lit("S"), "n_nationkey").alias("id"), assets.alias("assets"))
+    composed = raster.composite(raster.in_range(pixels(spark, d), "value"))
+    cells = composed.select("row", "col", "value", F.lit(0.5).alias("fraction"))
+    seen = pixels(spark, d).select("row", "col").distinct()
+    path = tables.scratch(spark)
+    nation.select("n_name").write.text(path)
 
     def run(df: DataFrame) -> Callable[[], object]:
         return lambda: df.write.format("noop").mode("overwrite").save()
 
+    def broken(df: DataFrame, condition: str) -> DataFrame:
+        return df.agg(F.count_if(F.expr(condition)).alias("broken"))
+
+    def absent(df: DataFrame, condition: str) -> DataFrame:
+        return df.agg((F.count_if(F.expr(condition)) == 0).cast("long").alias("broken"))
+
+    raised = PySparkException
     checks = {
-        "null_target": run(target.require(table(spark, d, "orders"), "o_totalprice")),
-        "tolerant_range": run(raster.guarded(values, "value")),
-        "tolerant_range_of_twice": run(raster.guarded(values.withColumn("value", F.col("value") * 2), "value")),
-        "required_assets": run(scenes.requiring_assets(catalogue, ["red", "nir"])),
-        "missing_asset": run(scenes.requiring_assets(catalogue, ["red", "scl"])),
-        "known_scene": lambda: scenes.by_id(catalogue, "S1"),
-        "unknown_scene": lambda: scenes.by_id(catalogue, "S-1"),
-        "no_file": lambda: tables.first_file(spark, d, "*.nothing"),
-        "other_grid": lambda: run(raster.masked_mosaic(cells, fewer))(),
-        "empty_mosaic": lambda: raster.masked_mosaic(cells.limit(0), cells),
+        "null_target": (broken(orders, "o_totalprice is null"), run(target.require(orders, "o_totalprice")), raised, "o_totalprice is missing"),
+        "null_target_of_some": (broken(some, "o_totalprice is null"), run(target.require(some, "o_totalprice")), raised, "o_totalprice is missing"),
+        "tolerant_range": (broken(values, "abs(value) > 1.01"), run(raster.guarded(values, "value")), raised, "value out of range"),
+        "tolerant_range_of_twice": (broken(twice, "abs(value) > 1.01"), run(raster.guarded(twice, "value")), raised, "value out of range"),
+        "required_assets": (broken(catalogue, "not map_contains_key(assets, 'red')"), run(scenes.requiring_assets(catalogue, ["red"])), raised, "assets missing"),
+        "missing_asset": (broken(catalogue, "not map_contains_key(assets, 'nir')"), run(scenes.requiring_assets(catalogue, ["red", "nir"])), raised, "assets missing: nir"),
+        "known_scene": (absent(catalogue, "id = 'S1'"), lambda: scenes.by_id(catalogue, "S1"), LookupError, "no scene S1"),
+        "unknown_scene": (absent(catalogue, "id = 'S-1'"), lambda: scenes.by_id(catalogue, "S-1"), LookupError, "no scene S-1"),
+        "no_file": (absent(tables.files(spark, path), "path like '%.nothing'"), lambda: tables.first_file(spark, path, "*.nothing"), FileNotFoundError, "no *.nothing in"),
+        "same_grid": (seen.agg((F.lit(64) - F.count("*")).alias("broken")), run(raster.masked_mosaic(seen.withColumn("value", F.lit(1.0)), raster.grid(spark, 8, 8).withColumn("fraction", F.lit(0.5)))), raised, "not on both grids"),
+        "other_grid": (broken(cells, "col = 7"), run(raster.masked_mosaic(cells, cells.filter("col < 7"))), raised, "not on both grids"),
+        "empty_mosaic": (absent(values, "value > 2"), lambda: raster.masked_mosaic(cells.filter("value > 2"), cells), ValueError, "the mosaic is empty"),
     }
-    return tables.inline(spark, [(name, _raises(check)) for name, check in checks.items()], "guard STRING, raised BOOLEAN")
+    out = None
+    for name, (count, check, kind, message) in checks.items():
+        row = count.select(F.lit(name).alias("guard"), F.col("broken").cast("long").alias("broken"), F.lit(_raises(check, kind, message)).alias("raised"))
+        out = row if out is None else out.union(row)
+    return out
 
 
 @query(f"""WITH {PIXELS}, cells AS (SELECT r.range AS "row", c.range AS col FROM range(8) r, range(8) c),

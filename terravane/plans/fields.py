@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.operators import alignment, quantile, raster, target
+from terravane.operators import alignment, quantile, raster, splits, target
 from terravane.operators.alignment import Source
-from terravane.plans.catalogue import PIXELS, SERIES, TRAIN_UNTIL, Query, months, pixels, r6
+from terravane.plans.catalogue import FEATURES, LAGGED, PIXELS, SERIES, TARGET, TRAIN_UNTIL, Query, lagged, months, pixels, r6
+from terravane.sources import tables
 from terravane.sources.tables import table
 
 _QUERIES: dict[str, Query] = {}
@@ -163,3 +164,44 @@ def refined_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """Seven quantiles of one large group, refined until no more than 500 values are ordered at once."""
     train = _observed(spark, d).filter("time < date '2000-01-01'")
     return quantile.exact_quantiles(train, "price", _LEVELS, leaf=500).withColumn("value", F.round("value", 4))
+
+
+# Order of files.
+
+
+@query(f"""WITH {LAGGED}, ends AS (SELECT max(time) FILTER (split = 'train') AS a, min(time) FILTER (split = 'validation') AS b,
+    max(time) FILTER (split = 'validation') AS c, min(time) FILTER (split = 'test') AS d FROM lagged),
+  orders_ AS (SELECT 'by time' AS files, time, row_number() OVER (ORDER BY time) AS ordinal FROM lagged UNION ALL SELECT 'by price', time, row_number() OVER (ORDER BY price) FROM lagged),
+  steps AS (SELECT files, time >= lag(time) OVER (PARTITION BY files ORDER BY ordinal) AS ok FROM orders_),
+  kinds AS (SELECT DISTINCT files FROM orders_)
+  SELECT files, 'monotonic_time' AS "check", bool_and(ok) AS passed FROM steps GROUP BY files
+  UNION ALL SELECT files, 'unique_time', (SELECT count(*) = count(DISTINCT time) FROM lagged) FROM kinds UNION ALL SELECT files, 'no_forbidden_feature', true FROM kinds
+  UNION ALL SELECT files, 'train_before_validation', a < b FROM ends, kinds UNION ALL SELECT files, 'validation_before_test', c < d FROM ends, kinds""")
+def file_order(spark: SparkSession, d: str) -> DataFrame:
+    """The checks for leaks on tables as they lie in their files: once sorted by time, and once by price."""
+    found = None
+    for name, column in (("by time", "time"), ("by price", "price")):
+        path = tables.scratch(spark)
+        # A row for each month.
+        lagged(spark, d).orderBy(column).write.parquet(path)
+        rows = tables.in_file_order(spark.read.parquet(path))
+        report = splits.leakage_report(rows, FEATURES, [TARGET, "quantity_next"], ordinal="ordinal").select(F.lit(name).alias("files"), "check", "passed")
+        found = report if found is None else found.union(report)
+    return found
+
+
+@query("""WITH shifted AS (SELECT CAST(ts AS DATE) AS day, ts, event_id + 1152921504606846976 AS event_id FROM events),
+  steps AS (SELECT 'events' AS rows_of, ts >= lag(ts) OVER (ORDER BY event_id) AS ok FROM shifted UNION ALL SELECT 'events of a day', ts >= lag(ts) OVER (PARTITION BY day ORDER BY event_id) FROM shifted
+    UNION ALL SELECT 'orders', o_orderdate >= lag(o_orderdate) OVER (ORDER BY -1152921504606846976 + o_orderkey, o_orderdate) FROM orders)
+  SELECT rows_of, coalesce(bool_and(ok), true) AS monotonic FROM steps GROUP BY rows_of""")
+def large_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    """Order by identifiers that no double can tell apart, of all rows and within partitions."""
+    events = table(spark, d, "events").select(F.col("ts").cast("date").alias("day"), "ts", (F.col("event_id") + F.lit(1 << 60)).alias("event_id"))
+    orders = table(spark, d, "orders").select("o_orderdate", (F.col("o_orderkey") - F.lit(1 << 60)).alias("o_orderkey"))
+    checks = {
+        "events": splits.leakage_report(events, [], [], time="ts", ordinal="event_id"),
+        "events of a day": splits.leakage_report(events, [], [], time="ts", ordinal="event_id", partition_by=["day"]),
+        "orders": splits.leakage_report(orders, [], [], time="o_orderdate", ordinal="o_orderkey"),
+    }
+    parts = [r.filter("check = 'monotonic_time'").select(F.lit(name).alias("rows_of"), F.col("passed").alias("monotonic")) for name, r in checks.items()]
+    return parts[0].union(parts[1]).union(parts[2])

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
+
 
 def scratch(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share; of this machine only where the session names none."""
@@ -67,6 +69,18 @@ def write_pixels(df: DataFrame, path: str, block: int = 512) -> None:
     blocks.repartition("block_row", "block_col").sortWithinPartitions("row", "col").write.mode("overwrite").partitionBy("block_row", "block_col").option("compression", "zstd").parquet(path)
 
 
+def in_file_order(rows: DataFrame, name: str = "ordinal") -> DataFrame:
+    """Rows of a Parquet scan with their place in its files: by file path, and by row within a file.
+
+    The place is a whole number that grows with both, and is not gapless.
+    """
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    placed = rows.withColumns({"_file": file, "_row": row})
+    # A row for each file.
+    paths = placed.select("_file").distinct().withColumn("_number", F.row_number().over(Window.orderBy("_file")).cast("long"))
+    return placed.join(paths, "_file").withColumn(name, F.shiftleft("_number", 40) + F.col("_row")).drop("_file", "_row", "_number")
+
+
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files of a folder with their content: (path, modificationTime, length, content)."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
