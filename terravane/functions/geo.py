@@ -83,6 +83,89 @@ def projected_bounds(spark: SparkSession, box: tuple[float, float, float, float]
     return placed.agg(F.min("x").alias("west"), F.min("y").alias("south"), F.max("x").alias("east"), F.max("y").alias("north"))
 
 
+SIDES = ("west", "south", "east", "north")
+
+
+def projected_boxes(boxes: DataFrame, key: str, zone: int, points: int = 21, south: bool = False) -> DataFrame:
+    """``(key, west, south, east, north)`` in metres around each box of a table in degrees.
+
+    ``points`` steps along each edge are projected, as edges are curves there.  A row's points stay
+    in its row: a box needs no shuffle.  Boxes with a missing side come out without sides.
+    """
+
+    def edge(x0: str, y0: str, x1: str, y1: str) -> Column:
+        """Projected points from one corner to another."""
+
+        def point(k: Column) -> Column:
+            t = k / float(points)
+            east, north = to_utm(F.col(x0) + (F.col(x1) - F.col(x0)) * t, F.col(y0) + (F.col(y1) - F.col(y0)) * t, zone, south)
+            return F.struct(east.alias("x"), north.alias("y"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(points)), point)
+
+    corners = (("west", "south", "east", "south"), ("west", "north", "east", "north"), ("west", "south", "west", "north"), ("east", "south", "east", "north"))
+    spots = [edge(*c) for c in corners]
+    found = boxes.withColumn("_p", F.concat(*spots))
+    return found.select(key, F.array_min("_p.x").alias("west"), F.array_min("_p.y").alias("south"), F.array_max("_p.x").alias("east"), F.array_max("_p.y").alias("north"))
+
+
+def windows_on_grid(boxes: DataFrame, west: float, north: float, size: float, height: int, width: int) -> DataFrame:
+    """Adds to each box in metres its part within a grid, the grid's window for it and the window's own origin.
+
+    ``empty`` says that a box does not meet the grid, or is missing; its window then has none of
+    the other columns.  The grid's corner is ``west``, ``north``, its cells' side ``size``.
+    """
+    grid = {"west": F.lit(float(west)), "south": F.lit(float(north - height * size)), "east": F.lit(float(west + width * size)), "north": F.lit(float(north))}
+    own = {s: F.col(s) for s in SIDES}
+    common = common_box(own, grid)
+    meets = F.coalesce((common["west"] < common["east"]) & (common["south"] < common["north"]), F.lit(False))
+    cut = boxes.withColumns({f"_{s}": F.when(meets, common[s]) for s in SIDES} | {"empty": ~meets}).drop(*SIDES)
+    cut = cut.withColumnsRenamed({f"_{s}": s for s in SIDES})
+    window = pixel_window(own, F.lit(float(west)), F.lit(float(north)), size)
+    cut = cut.withColumns(window)
+    own_west, own_north = window_origin({n: F.col(n) for n in window}, F.lit(float(west)), F.lit(float(north)), size)
+    return cut.withColumns({"own_west": own_west, "own_north": own_north})
+
+
+def meeting_boxes(a: DataFrame, b: DataFrame, levels: int = 24, finest: float = 1e-4) -> DataFrame:
+    """All pairs of rows of two tables whose boxes (``west`` .. ``north``) meet; touching counts.
+
+    The columns of ``b`` may not be called like those of ``a``, but for the sides, which come from
+    ``a``.  Cells double in side from level to level; a box lies on the finest level whose cells are
+    no smaller than itself, so in four of them at most.  Two boxes meet in a cell of the coarser of
+    their levels, that with the south-west corner of what they share; so the tables are joined on
+    cells, no pair comes twice and none is looked for.  A box also stands in the cells of the levels
+    above its own that the other table uses.  Boxes with a missing, infinite or crossed side meet
+    none; ``levels`` above ``finest`` bound what a box may measure: larger ones are an error when run.
+    """
+
+    def cells(df: DataFrame, mark: str) -> DataFrame:
+        good = F.lit(True)
+        for s in SIDES:
+            good = good & (F.abs(s) < float("inf"))
+        good = good & (F.col("west") <= F.col("east")) & (F.col("south") <= F.col("north"))
+        side = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"), F.lit(finest))
+        level = F.ceil(F.log2(side / finest)).cast("int")
+        bound = F.when(level > levels, F.raise_error(F.lit("a box is larger than the coarsest cell")).cast("int")).otherwise(level)
+        return df.filter(good).withColumn(f"_{mark}", bound)
+
+    def spread(df: DataFrame, mark: str, used: DataFrame) -> DataFrame:
+        # A row for each level that a table uses, of a few.
+        df = df.join(F.broadcast(used), F.col("_level") >= F.col(f"_{mark}"))
+        side = F.lit(finest) * F.pow(F.lit(2.0), F.col("_level"))
+        across, up = (F.explode(F.sequence(F.floor(F.col(low) / side), F.floor(F.col(high) / side))) for low, high in (("west", "east"), ("south", "north")))
+        return df.withColumn("_x", across).withColumn("_y", up)
+
+    one, two = cells(a, "own"), cells(b, "other")
+    used = one.select(F.col("_own").alias("_level")).union(two.select("_other")).distinct()
+    right = spread(two, "other", used).withColumnsRenamed({s: f"_{s}" for s in SIDES})
+    met = spread(one, "own", used).join(right, ["_level", "_x", "_y"]).filter(F.col("_level") == F.greatest("_own", "_other"))
+    side = F.lit(finest) * F.pow(F.lit(2.0), F.col("_level"))
+    first = (F.floor(F.greatest("west", "_west") / side) == F.col("_x")) & (F.floor(F.greatest("south", "_south") / side) == F.col("_y"))
+    touch = boxes_meet({s: F.col(s) for s in SIDES}, {s: F.col(f"_{s}") for s in SIDES})
+    return met.filter(first & touch).drop("_level", "_x", "_y", "_own", "_other", *[f"_{s}" for s in SIDES])
+
+
 def boxes_meet(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Whether boxes with west, south, east and north meet; touching counts."""
     return (a["west"] <= b["east"]) & (a["east"] >= b["west"]) & (a["south"] <= b["north"]) & (a["north"] >= b["south"])

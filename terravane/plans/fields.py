@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terravane.functions import geo
 from terravane.operators import alignment, quantile, raster, splits, target
 from terravane.operators.alignment import Source
-from terravane.plans.catalogue import FEATURES, LAGGED, PIXELS, SERIES, TARGET, TRAIN_UNTIL, Query, lagged, months, pixels, r6
-from terravane.sources import tables
+from terravane.plans.catalogue import CATALOGUE, FEATURES, LAGGED, PIXELS, SERIES, TARGET, TRAIN_UNTIL, Query, catalogue, lagged, months, pixels, r6
+from terravane.sources import tables, tiles
 from terravane.sources.tables import table
 
 _QUERIES: dict[str, Query] = {}
@@ -205,3 +206,81 @@ def large_ordinals(spark: SparkSession, d: str) -> DataFrame:
     }
     parts = [r.filter("check = 'monotonic_time'").select(F.lit(name).alias("rows_of"), F.col("passed").alias("monotonic")) for name, r in checks.items()]
     return parts[0].union(parts[1]).union(parts[2])
+
+
+# Tiles.
+
+_TAGS = "'scene=' || scene_id || ';source=lines'"
+_TILED = """cells AS (SELECT 'S' || l_linenumber AS scene_id, CAST(l_partkey % 300 AS INTEGER) AS r, CAST(l_suppkey % 100 AS INTEGER) AS c, max(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3)"""
+
+
+def _tiled(spark: SparkSession, d: str) -> str:
+    """Writes rasters of 300 x 100 cells, quantities of 50 being none, in tiles of 16 and blocks of 4 tiles."""
+    path = tables.scratch(spark)
+    lines = table(spark, d, "lineitem").withColumn("scene_id", F.concat(F.lit("S"), "l_linenumber"))
+    pixels_ = lines.groupBy("scene_id", F.lit("quantity").alias("band"), (F.col("l_partkey") % 300).cast("int").alias("row"), (F.col("l_suppkey") % 100).cast("int").alias("col")).agg(F.max("l_quantity").alias("value"))
+    transform = F.array(*[F.lit(v) for v in (10.0, 0.0, 699960.0, 0.0, -10.0, 3700020.0)])
+    tags = F.create_map(F.lit("source"), F.lit("lines"), F.lit("scene"), F.col("scene_id"))
+    profile = pixels_.select("scene_id", "band").distinct().select("scene_id", "band", F.lit(300).alias("height"), F.lit(100).alias("width"), transform.alias("transform"), F.lit("EPSG:32636").alias("crs"), F.lit(50.0).alias("nodata"), F.lit("float32").alias("dtype"), tags.alias("tags"))
+    tiles.write_raster(pixels_, profile, path, tile=16, block=4)
+    return path
+
+
+@query(f"""WITH {_TILED} SELECT scene_id, r - 70 AS "row", c - 30 AS col, value FROM cells WHERE r BETWEEN 70 AND 139 AND c BETWEEN 30 AND 59 AND value <> 50""")
+def tile_window(spark: SparkSession, d: str) -> DataFrame:
+    """A window of 70 x 30 cells read from written tiles; see the tests for the files that it opens."""
+    return tiles.read_window(spark, _tiled(spark, d), 70, 30, 70, 30).select("scene_id", "row", "col", "value")
+
+
+@query(f"""WITH {_TILED} SELECT scene_id, 'quantity' AS band, 70 AS height, 30 AS width, 700260.0::DOUBLE AS west, 3699320.0::DOUBLE AS north, 'EPSG:32636' AS crs, 50.0::DOUBLE AS nodata, {_TAGS} AS tags,
+    count(*) FILTER (value <> 50) AS valid, CAST(sum(CASE WHEN value <> 50 THEN value END) + 50 * (30000 - count(*) FILTER (value <> 50)) AS DOUBLE) AS total FROM cells GROUP BY scene_id""")
+def raster_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Profile, tags and the moved transform of a window, with the sum of each whole raster, missing cells filled."""
+    path = _tiled(spark, d)
+    profile = tiles.read_profile(spark, path)
+    whole = tiles.read_window(spark, path, 0, 0, 300, 100)
+    sums = tiles.filled(whole, profile).groupBy("scene_id", "band").agg(F.sum("value").alias("total"))
+    valid = whole.groupBy("scene_id", "band").agg(F.count("*").alias("valid"))
+    out = tiles.window_profile(profile, 70, 30, 70, 30).join(sums, ["scene_id", "band"]).join(valid, ["scene_id", "band"])
+    tags = F.array_join(F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat(e.key, F.lit("="), e.value)), ";")
+    return out.select("scene_id", "band", "height", "width", F.get("transform", F.lit(2)).alias("west"), F.get("transform", F.lit(5)).alias("north"), "crs", "nodata", tags.alias("tags"), "valid", "total")
+
+
+# Boxes.
+
+#: The published series to the fourth order in the third flattening, for zone 36, written out.
+_KRUEGER = """earth AS (SELECT 6378137.0::DOUBLE AS radius, (1 / 298.257223563::DOUBLE) AS f), third AS (SELECT *, f / (2 - f) AS n FROM earth),
+  series_ AS (SELECT n, 0.9996::DOUBLE * radius / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS metres, 2 * sqrt(n) / (1 + n) AS e,
+    n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 AS a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 AS a2, 61 * n ** 3 / 240 - 103 * n ** 4 / 140 AS a3, 49561 * n ** 4 / 161280 AS a4 FROM third),
+  conformal AS (SELECT p.*, s.*, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) AS t, radians(lon - 33) AS lam FROM spots p, series_ s),
+  sphere AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM conformal),
+  utm AS (SELECT key, 500000 + metres * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)) AS x,
+    metres * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)) AS y FROM sphere)"""
+
+
+@query(f"""WITH boxes AS (SELECT c_custkey AS key, 32.0::DOUBLE + (c_custkey % 400) / 100.0::DOUBLE AS west, 31.0::DOUBLE + (c_custkey % 230) / 100.0::DOUBLE AS south, (1 + c_custkey % 7) / 20.0::DOUBLE AS size FROM customer),
+  spots AS (SELECT key, west + CASE WHEN e.range < 2 THEN size * k.range / 20 WHEN e.range = 2 THEN 0 ELSE size END AS lon, south + CASE WHEN e.range = 0 THEN 0 WHEN e.range = 1 THEN size ELSE size * k.range / 20 END AS lat FROM boxes, range(4) e, range(21) k),
+  {_KRUEGER}, around AS (SELECT key, greatest(min(x), 399960) AS west, greatest(min(y), 3490220) AS south, least(max(x), 609760) AS east, least(max(y), 3700020) AS north FROM utm GROUP BY key),
+  cut AS (SELECT *, west < east AND south < north AS meets FROM around)
+  SELECT key AS c_custkey, NOT meets AS empty, CASE WHEN meets THEN round(west, 3) END AS west, CASE WHEN meets THEN round(south, 3) END AS south, CASE WHEN meets THEN round(east, 3) END AS east, CASE WHEN meets THEN round(north, 3) END AS north,
+    CASE WHEN meets THEN CAST(round((west - 399960) / 10) AS INTEGER) END AS col_off, CASE WHEN meets THEN CAST(round((3700020 - north) / 10) AS INTEGER) END AS row_off, CASE WHEN meets THEN CAST(round((east - west) / 10) AS INTEGER) END AS width, CASE WHEN meets THEN CAST(round((north - south) / 10) AS INTEGER) END AS height,
+    CASE WHEN meets THEN 399960 + 10 * round((west - 399960) / 10) END AS own_west, CASE WHEN meets THEN 3700020 - 10 * round((3700020 - north) / 10) END AS own_north FROM cut""")
+def box_windows(spark: SparkSession, d: str) -> DataFrame:
+    """A box in degrees for every customer, in metres of zone 36, cut to a tile's grid, with its window; some miss the tile."""
+    k = F.col("c_custkey")
+    west, south, size = F.lit(32.0) + (k % 400) / 100.0, F.lit(31.0) + (k % 230) / 100.0, (1 + k % 7) / 20.0
+    boxes = table(spark, d, "customer").select("c_custkey", west.alias("west"), south.alias("south"), (west + size).alias("east"), (south + size).alias("north"))
+    placed = geo.windows_on_grid(geo.projected_boxes(boxes, "c_custkey", 36, 20), 399960.0, 3700020.0, 10.0, 20980, 20980)
+    return placed.select("c_custkey", "empty", *[F.round(s, 3).alias(s) for s in geo.SIDES], "col_off", "row_off", "width", "height", "own_west", "own_north")
+
+
+@query(f"""WITH {CATALOGUE}, boxes AS (SELECT c_custkey, (c_custkey * 7 % 3600) / 10.0::DOUBLE - 180 AS west, (c_custkey * 11 % 1700) / 10.0::DOUBLE - 85 AS south, CASE WHEN c_custkey % 500 = 0 THEN 40.0 WHEN c_custkey % 3 = 0 THEN 0.0 ELSE (c_custkey % 10) / 10.0 END::DOUBLE AS size FROM customer)
+  SELECT c_custkey, count(*) AS scenes, min(id) AS first, CAST(max(datetime) AS DATE) AS last FROM boxes b JOIN scenes s ON s.west <= b.west + size AND s.west + 5 >= b.west AND s.south <= b.south + size AND s.south + 5 >= b.south GROUP BY c_custkey""")
+def study_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The scenes of a catalogue that meet each of a table of study boxes: points, small boxes and a few very large ones."""
+    k = F.col("c_custkey")
+    west, south = (k * 7 % 3600) / 10.0 - 180, (k * 11 % 1700) / 10.0 - 85
+    size = F.when(k % 500 == 0, F.lit(40.0)).when(k % 3 == 0, F.lit(0.0)).otherwise((k % 10) / 10.0)
+    boxes = table(spark, d, "customer").select("c_custkey", west.alias("west"), south.alias("south"), (west + size).alias("east"), (south + size).alias("north"))
+    met = geo.meeting_boxes(boxes, catalogue(spark, d).select("id", "datetime", *geo.SIDES))
+    return met.groupBy("c_custkey").agg(F.count("*").alias("scenes"), F.min("id").alias("first"), F.max("datetime").cast("date").alias("last"))
