@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from terravane.functions import calendar, metrics
 from terravane.operators import baselines, bootstrap, evaluate, forest, raster, series, splits, target
 from terravane.plans import report
-from terravane.sources import evidence, scenes
+from terravane.sources import evidence, scenes, tables
 from terravane.sources.tables import table
 from terravane.streaming import windows
 
@@ -600,16 +600,19 @@ def metrics_document(spark: SparkSession, d: str) -> DataFrame:
     return report.nested(evaluate.evaluate(forecasts(spark, d), ["split", "model"]))
 
 
-def _forest(spark: SparkSession, d: str):
+def fitted(spark: SparkSession, d: str) -> tuple[forest.RandomForestClassificationModel, DataFrame]:
+    """A forest of the training months, and the months of all splits, written once."""
+    path = tables.scratch(spark)
     # A row for each month: one partition makes refits agree.
-    train = lagged(spark, d).filter("split = 'train'").coalesce(1)
-    return forest.fit(train, FEATURES, TARGET, trees=100)
+    lagged(spark, d).coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    return forest.fit(rows.filter("split = 'train'").coalesce(1), FEATURES, TARGET, trees=100), rows
 
 
 @query()
 def rf_forecast(spark: SparkSession, d: str) -> DataFrame:
     """Forest forecasts of the test months at the threshold that validation likes best."""
-    model, rows = _forest(spark, d), lagged(spark, d)
+    model, rows = fitted(spark, d)
     validation = forest.forecast(model, rows.filter("split = 'validation'"), FEATURES).select(F.col(TARGET).alias("y"), "prob")
     best = evaluate.best_threshold(evaluate.sweep(validation, evaluate.cut_offs())).select("threshold")
     scored = forest.forecast(model, rows.filter("split = 'test'"), FEATURES).drop("pred")
@@ -619,7 +622,8 @@ def rf_forecast(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def rf_importance(spark: SparkSession, d: str) -> DataFrame:
-    return forest.importance(_forest(spark, d), table(spark, d, "region"), FEATURES)
+    model, rows = fitted(spark, d)
+    return forest.importance(model, rows, FEATURES)
 
 
 @query(f"""WITH {STRESS}, folds AS (SELECT f.range AS fold, s.* FROM stress s, range(1998, 2002) f WHERE s.year <= f.range)

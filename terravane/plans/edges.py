@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions import geo
 from terravane.operators import evaluate, forest, raster, target
-from terravane.plans.catalogue import CELLS, FORECASTS, LAGGED, PIXELS, SCORES, SERIES, STRESS, Query, forecasts, lagged, months, pixels, r6, stress
+from terravane.plans.catalogue import CELLS, FEATURES, FORECASTS, LAGGED, PIXELS, SCORES, SERIES, STRESS, Query, fitted, forecasts, months, pixels, r6, stress
 from terravane.plans.catalogue import TARGET as STRESS_NEXT
 from terravane.plans import report
 from terravane.sources import evidence, scenes, tables
@@ -174,11 +174,8 @@ def metrics_from_document(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {LAGGED} SELECT count(*) AS n, 8 AS features, true AS same FROM lagged WHERE split = 'test'")
 def model_persistence(spark: SparkSession, d: str) -> DataFrame:
     """A forest, written and loaded again, forecasts alike and gives an importance for every feature."""
-    from terravane.plans.catalogue import FEATURES
-
     path = tables.scratch(spark)
-    rows = lagged(spark, d).cache()
-    model = forest.fit(rows.filter("split = 'train'").coalesce(1), FEATURES, STRESS_NEXT, trees=20)
+    model, rows = fitted(spark, d)
     forest.save(model, path)
     test = rows.filter("split = 'test'")
     a, b = (forest.forecast(m, test, FEATURES).select("time", F.col("prob").alias(n)) for m, n in ((model, "p"), (forest.load(path), "q")))

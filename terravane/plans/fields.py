@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from terravane.functions import geo
-from terravane.operators import alignment, quantile, raster, splits, target
+from terravane.operators import alignment, forest, quantile, raster, splits, target
 from terravane.operators.alignment import Source
-from terravane.plans.catalogue import CATALOGUE, FEATURES, LAGGED, PIXELS, SERIES, TARGET, TRAIN_UNTIL, Query, catalogue, lagged, months, pixels, r6
+from terravane.plans.catalogue import CATALOGUE, FEATURES, LAGGED, PIXELS, SERIES, TARGET, TRAIN_UNTIL, Query, catalogue, fitted, lagged, months, pixels, r6
 from terravane.sources import tables, tiles
 from terravane.sources.tables import table
 
@@ -284,3 +285,43 @@ def study_boxes(spark: SparkSession, d: str) -> DataFrame:
     boxes = table(spark, d, "customer").select("c_custkey", west.alias("west"), south.alias("south"), (west + size).alias("east"), (south + size).alias("north"))
     met = geo.meeting_boxes(boxes, catalogue(spark, d).select("id", "datetime", *geo.SIDES))
     return met.groupBy("c_custkey").agg(F.count("*").alias("scenes"), F.min("id").alias("first"), F.max("datetime").cast("date").alias("last"))
+
+
+# The forest as a table.
+
+
+@query(f"WITH {LAGGED} SELECT time, split, target_stress_next AS y, true AS same FROM lagged")
+def forest_node_scores(spark: SparkSession, d: str) -> DataFrame:
+    """All months scored by joins with the forest's nodes; ``same`` compares with the fitted model, to a billionth."""
+    model, rows = fitted(spark, d)
+    path = tables.scratch(spark)
+    forest.save(model, path)
+    scored = forest.score_nodes(forest.node_table(spark, path), rows, ["time"], FEATURES, depth=5)
+    whole = forest.forecast(model, rows, FEATURES).select("time", "split", F.col(TARGET).alias("y"), F.col("prob").alias("own"))
+    return whole.join(scored, "time").select("time", "split", "y", (F.abs(F.col("prob") - F.col("own")) <= 1e-9).alias("same"))
+
+
+@query(f"SELECT unnest({FEATURES}) AS feature, true AS same, 100 AS trees, true AS whole FROM (SELECT 1 FROM lineitem LIMIT 1)")
+def forest_node_importance(spark: SparkSession, d: str) -> DataFrame:
+    """Importance summed over the nodes; ``same`` compares with the model's own, ``whole`` says that the shares add up."""
+    model, rows = fitted(spark, d)
+    path = tables.scratch(spark)
+    forest.save(model, path)
+    nodes = forest.node_table(spark, path)
+    own = forest.importance(model, rows, FEATURES).withColumnRenamed("importance", "own")
+    each = forest.node_importance(nodes, FEATURES)
+    facts = nodes.agg(F.countDistinct("tree").cast("int").alias("trees"))
+    total = each.agg((F.abs(F.sum("importance") - 1) <= 1e-9).alias("whole"))
+    # One row each.
+    return own.join(each, "feature").join(F.broadcast(facts)).join(F.broadcast(total)).select("feature", (F.abs(F.col("importance") - F.col("own")) <= 1e-9).alias("same"), "trees", "whole")
+
+
+@query()
+def importance_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Chart data of the importance, the least first, as bars are drawn from below, each with its place."""
+    model, rows = fitted(spark, d)
+    path = tables.scratch(spark)
+    forest.save(model, path)
+    each = forest.node_importance(forest.node_table(spark, path), FEATURES)
+    # A row for each feature.
+    return each.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("importance", F.desc("feature")))).orderBy("place")
