@@ -521,8 +521,8 @@ def json_extract(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, md5(text) AS digest, len(string_split(text, ' ')) AS words FROM documents")
 def inverted_index_rebuild(spark: SparkSession, d: str) -> DataFrame:
     """Every document taken apart into an inverted index and put together again."""
-    docs = table(spark, d, "documents")
-    again = evidence.rebuilt(evidence.inverted(docs, "doc_id", F.col("text")), "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", evidence.indexed(F.col("text")).alias("index"))
+    again = docs.select("doc_id", evidence.abstract(F.col("index")).alias("text"))
     return again.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.size(F.split("text", " ")).cast("long").alias("words"))
 
 

@@ -14,6 +14,7 @@ from terravane.operators.alignment import Source
 from terravane.plans.catalogue import CATALOGUE, FEATURES, LAGGED, PIXELS, SERIES, TARGET, TRAIN_UNTIL, Query, catalogue, fitted, lagged, months, pixels, r6
 from terravane.sources import tables, tiles
 from terravane.sources.tables import table
+from terravane.streaming import windows
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -325,3 +326,23 @@ def importance_bars(spark: SparkSession, d: str) -> DataFrame:
     each = forest.node_importance(forest.node_table(spark, path), FEATURES)
     # A row for each feature.
     return each.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("importance", F.desc("feature")))).orderBy("place")
+
+
+# A stream.
+
+
+@query("""WITH arrived AS (SELECT *, least(3, floor((day(ts) - 1) / 8) + CASE WHEN event_id % 40 = 0 THEN 1 + event_id % 3 ELSE 0 END) AS arrival FROM events),
+  marks AS (SELECT a.range AS arrival, max(ts) FILTER (e.arrival < a.range) - INTERVAL 1 DAY AS mark FROM range(5) a, arrived e GROUP BY a.range),
+  taken AS (SELECT a.* FROM arrived a JOIN marks m USING (arrival) WHERE m.mark IS NULL OR CAST(ts AS DATE) + INTERVAL 1 DAY > m.mark)
+  SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM taken
+  WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT mark FROM marks WHERE arrival = 4) GROUP BY 1, 2""")
+def stream_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """Daily windows over events that arrive in four parts, some of them late by one or more parts, with a restart at each.
+
+    Rows too late for the watermark are dropped; days that it has not passed are not there.
+    """
+    events = table(spark, d, "events")
+    late = F.when(F.col("event_id") % 40 == 0, 1 + F.col("event_id") % 3).otherwise(0)
+    arrival = F.least(F.lit(3), F.floor((F.day("ts") - 1) / 8) + late)
+    parts = [events.filter(arrival == k).select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value") for k in range(4)]
+    return windows.in_arrivals(spark, parts, windows.daily_counts, tables.scratch(spark))

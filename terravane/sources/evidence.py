@@ -34,10 +34,34 @@ def rebuilt(index: DataFrame, key: str) -> DataFrame:
     return placed.groupBy(key).agg(F.array_join(F.transform(ordered, lambda s: s["word"]), " ").alias("text"))
 
 
+def indexed(text: Column) -> Column:
+    """The inverted index of a text as a map from its words, parted by single spaces, to their positions.
+
+    Words are sorted with their positions, and runs of the same word cut out, all within the row; a
+    null text has a null index.
+    """
+    words = F.split(text, " ", -1)
+    placed = F.sort_array(F.transform(words, lambda w, k: F.struct(w.alias("word"), k.alias("at"))))
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        begins = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | (F.get(s, k)["word"] != F.get(s, k - 1)["word"]))
+
+        def cut(b: Column) -> Column:
+            ends = F.concat(F.slice(b, 2, F.size(b)), F.array(n))
+            pairs = F.arrays_zip(b.alias("b"), ends.alias("e"))
+            return F.transform(pairs, lambda p: F.struct(F.get(s, p["b"])["word"], F.transform(F.slice(s, p["b"] + 1, p["e"] - p["b"]), lambda x: x["at"])))
+
+        # What a lambda binds is made once; an expression in its body would be made for every element.
+        return F.get(F.transform(F.array(begins), cut), F.lit(0))
+
+    return F.map_from_entries(F.get(F.transform(F.array(placed), runs), F.lit(0)))
+
+
 def abstract(index: Column) -> Column:
     """The text of an inverted index held as a map."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word")))))
-    return F.array_join(F.transform(F.array_sort(pairs), lambda s: s["word"]), " ")
+    return F.array_join(F.transform(F.sort_array(pairs), lambda s: s["word"]), " ")
 
 
 def hit_list(records: DataFrame) -> DataFrame:
