@@ -12,7 +12,7 @@ from terravane.functions import geo
 from terravane.operators import alignment, forest, quantile, raster, splits, target
 from terravane.operators.alignment import Source
 from terravane.plans.catalogue import CATALOGUE, FEATURES, LAGGED, PIXELS, SERIES, TARGET, TRAIN_UNTIL, Query, catalogue, fitted, lagged, months, pixels, r6
-from terravane.sources import tables, tiles
+from terravane.sources import blocks, tables, tiles
 from terravane.sources.tables import table
 from terravane.streaming import windows
 
@@ -346,3 +346,45 @@ def stream_arrivals(spark: SparkSession, d: str) -> DataFrame:
     arrival = F.least(F.lit(3), F.floor((F.day("ts") - 1) / 8) + late)
     parts = [events.filter(arrival == k).select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value") for k in range(4)]
     return windows.in_arrivals(spark, parts, windows.daily_counts, tables.scratch(spark))
+
+
+# Files in blocks.
+
+_CONTENTS = """contents AS (SELECT n_nationkey, ['txt', 'pdf', 'nc', 'html'][n_nationkey % 4 + 1] AS extension, CASE WHEN n_nationkey % 3 = 0 THEN '%PDF-' WHEN n_nationkey % 3 = 1 THEN 'CDF' ELSE '<html>' END || repeat(n_name, 1 + n_nationkey * 40) || chr(10) AS content FROM nation)"""
+
+
+def _contents(spark: SparkSession, d: str, changed: bool = False) -> str:
+    """Writes a file of one line for each nation, under four extensions and with three beginnings; every fifth may be changed or missing."""
+    path = tables.scratch(spark)
+    n = table(spark, d, "nation")
+    k = F.col("n_nationkey")
+    head = F.when(k % 3 == 0, "%PDF-").when(k % 3 == 1, "CDF").otherwise("<html>")
+    value = F.concat(head, F.expr("repeat(n_name, 1 + n_nationkey * 40)"))
+    if changed:
+        n = n.filter("n_nationkey % 10 <> 5")
+        value = F.when(k % 5 == 0, F.concat(F.expr("left(value, 2000)"), F.lit("#"), F.expr("substr(value, 2002)"))).otherwise(F.col("value"))
+    n.withColumn("value", F.concat(head, F.expr("repeat(n_name, 1 + n_nationkey * 40)"))).select("n_nationkey", value.alias("value")).write.partitionBy("n_nationkey").text(path)
+    return path
+
+
+@query(f"""WITH {_CONTENTS}, cut AS (SELECT n_nationkey, strlen(content) AS size, unnest(range(0, CAST(ceil(strlen(content) / 1000) AS BIGINT))) AS block, content FROM contents)
+  SELECT n_nationkey, size, block, block * 1000 AS "offset", CAST(strlen(substr(content, block * 1000 + 1, 1000)) AS BIGINT) AS length, sha256(substr(content, block * 1000 + 1, 1000)) AS sha256, CASE WHEN block = 0 THEN substr(content, 1, 5) END AS head FROM cut""")
+def file_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes, beginnings and digests of written files, in blocks of a thousand bytes."""
+    found = blocks.file_blocks(spark, _contents(spark, d), block=1000)
+    key = F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("long")
+    return found.select(key.alias("n_nationkey"), "size", "block", "offset", "length", "sha256", F.decode(F.substring("head", 1, 5), "UTF-8").alias("head"))
+
+
+@query(f"""WITH {_CONTENTS}, other AS (SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 AND strlen(content) > 2001 THEN substr(content, 1, 2000) || '#' || substr(content, 2002) WHEN n_nationkey % 5 = 0 THEN replace(content, chr(10), '#' || chr(10)) ELSE content END AS content FROM contents WHERE n_nationkey % 10 <> 5),
+  facts AS (SELECT a.n_nationkey, a.content AS x, b.content AS y FROM contents a LEFT JOIN other b USING (n_nationkey))
+  SELECT n_nationkey, CASE WHEN y IS NULL THEN 'missing' WHEN x = y THEN 'equal' ELSE 'changed' END AS status,
+    coalesce(array_to_string([b FOR b IN range(0, CAST(ceil(greatest(strlen(x), coalesce(strlen(y), 0)) / 1000) AS BIGINT)) IF y IS NULL OR substr(x, b * 1000 + 1, 1000) <> substr(y, b * 1000 + 1, 1000)], ','), '') AS damaged FROM facts""")
+def damaged_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Files against a manifest by blocks: some are changed in one block, some missing."""
+    sides = []
+    for changed in (True, False):
+        found = blocks.file_blocks(spark, _contents(spark, d, changed), block=1000)
+        sides.append(found.withColumn("path", F.regexp_extract("path", "n_nationkey=([0-9]+)", 1)))
+    out = blocks.verified_blocks(*sides)
+    return out.select(F.col("path").cast("long").alias("n_nationkey"), "status", F.array_join("damaged", ",").alias("damaged"))
