@@ -292,8 +292,10 @@ def nearest(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding
     # A row for each length of vectors.
     sizes = shards.join(blocks, "dim")
     dealt = nodes.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
-    # A group is one shard.
-    graph = write_stage(dealt.select("dim", "shard", "keys", "vector").groupBy("dim", "shard").applyInArrow(_build, _NODE), folder, "graph")
+    # A group is one shard.  Its rows are few bytes but long to work on, so the number of tasks is not left to their size.
+    n = shards.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]
+    dealt = dealt.select("dim", "shard", "keys", "vector").repartition(2 * n, "dim", "shard")
+    graph = write_stage(dealt.groupBy("dim", "shard").applyInArrow(_build, _NODE), folder, "graph")
 
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = graph.join(sizes.select("dim", "blocks"), "dim").withColumn("block", upto("blocks"))
