@@ -147,8 +147,8 @@ def scattered(placed: DataFrame, height: int, width: int, reach: float = 1.0, ke
 
     Places are counted from the first target cell's centre.  A value counts for every target cell
     within ``reach`` of its place, with a weight that falls from there to nothing in either
-    direction.  Missing values are left out and the others' weights enlarged; a cell without any has no row.  A
-    mean lies between the values it is of, whatever the rounding, so a constant field stays one.
+    direction; what rounding leaves of a weight of nothing, below 1e-12, is nothing.  Missing values
+    are left out and the others' weights enlarged; a cell without any has no row.  A mean lies between the values it is of, whatever the rounding, so a constant field stays one.
     Partial sums are made before the shuffle: a source cell adds to 4 target cells, if those are the larger ones.
     """
 
@@ -161,7 +161,7 @@ def scattered(placed: DataFrame, height: int, width: int, reach: float = 1.0, ke
     used = placed.filter(finite(F.col("value")) & F.col("y").isNotNull() & F.col("x").isNotNull())
     rows = used.select(*keys, F.col("value").cast("double").alias("v"), near("x", width).alias("across"), F.explode(near("y", height)).alias("down"))
     cells = rows.select(*keys, "v", "down", F.explode("across").alias("across"))
-    weighted = cells.select(*keys, F.col("down.at").alias("row"), F.col("across.at").alias("col"), "v", (F.col("down.w") * F.col("across.w")).alias("w")).filter("w > 0")
+    weighted = cells.select(*keys, F.col("down.at").alias("row"), F.col("across.at").alias("col"), "v", (F.col("down.w") * F.col("across.w")).alias("w")).filter("w > 1e-12")
     mean = F.greatest(F.min("v"), F.least(F.max("v"), F.sum(F.col("v") * F.col("w")) / F.sum("w")))
     return weighted.groupBy(*keys, "row", "col").agg(mean.alias("value"))
 
