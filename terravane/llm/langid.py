@@ -24,9 +24,10 @@ from pyspark.sql.window import Window
 
 from terravane.llm.common import Hidden, held
 
-#: Bounds on what is learned from: the languages with most rows, rows of each, and the length in
-#: characters up to which rows are preferred (longer ones serve where a language has too few).
-MOST_LANGUAGES, SAMPLE_ROWS, SAMPLE_LENGTH = 64, 24, 8000
+#: Bounds on what is learned from: rows of each language, the length in characters up to which rows
+#: are preferred (longer ones serve where a language has too few, the shortest first), and the
+#: characters of all languages together.
+SAMPLE_ROWS, SAMPLE_LENGTH, SAMPLE_WHOLE = 24, 8000, 1_000_000
 #: Parts in which a language's rows are ranked first.
 PARTS = 64
 #: Characters of a piece, and characters that are parsed together.
@@ -142,7 +143,8 @@ class Parser:
     def __init__(self, automata: Automata) -> None:
         self.automata, self.letter = automata, letters()
         self.unknown = len(automata.alphabet)
-        symbols = np.full(0x110000, self.unknown, dtype=np.uint16)
+        # Letters of all languages, and one more.
+        symbols = np.full(0x110000, self.unknown, dtype=np.uint16 if self.unknown < 1 << 16 else np.uint32)
         symbols[automata.alphabet] = np.arange(self.unknown)
         self.symbols = symbols
 
@@ -167,7 +169,7 @@ class Parser:
 
     def _parse(self, streams: list[np.ndarray]) -> np.ndarray:
         """Phrases of each stream by language."""
-        end = np.array([self.unknown], dtype=np.uint16)
+        end = np.array([self.unknown], dtype=self.symbols.dtype)
         data = np.concatenate([x for s in streams for x in (s, end)])
         length = np.array([len(s) for s in streams])
         begin = np.cumsum(length + 1) - length - 1
@@ -251,18 +253,23 @@ def samples(rows: DataFrame) -> dict[str, list[str]]:
 
     ``rows`` has text ``t`` and language ``l``.  Equal texts count once.  Of the distinct texts of
     a language those of up to SAMPLE_LENGTH characters come first, in a pseudorandom order of
-    their own; SAMPLE_ROWS of each of MOST_LANGUAGES languages reach the driver.  Ranks are found
-    in PARTS parts of a language and then among the first of each, so no language is one task's.
+    their own.  Each language has an equal part of SAMPLE_WHOLE characters, and takes SAMPLE_ROWS
+    of its rows or as many whole ones as that part holds, one at least: so every language is
+    learned, and what reaches the driver is bounded.  Ranks are found in PARTS parts of a language
+    and then among the first of each, so no language is one task's.
     """
-    labelled = rows.filter("l is not null and t is not null").select("l", "t", F.xxhash64("t").alias("k"), (F.length("t") > SAMPLE_LENGTH).alias("long"))
+    size = F.length("t")
+    labelled = rows.filter("l is not null and t is not null").select("l", "t", F.xxhash64("t").alias("k"), F.when(size > SAMPLE_LENGTH, size).otherwise(0).alias("long"), size.alias("size"))
     part = Window.partitionBy("l", F.pmod("k", F.lit(PARTS))).orderBy("long", "k")
     whole = Window.partitionBy("l").orderBy("long", "k")
-    chosen = labelled.groupBy("l", "k", "long").agg(F.count("*").alias("n"))
-    sizes = chosen.groupBy("l").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).select("l")
+    chosen = labelled.groupBy("l", "k", "long", "size").agg(F.lit(1).alias("one")).drop("one")
     for window in (part, whole):
-        chosen = chosen.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= SAMPLE_ROWS).drop("rank")
-    # SAMPLE_ROWS rows for each of MOST_LANGUAGES languages at most.
-    chosen = F.broadcast(chosen.join(F.broadcast(sizes), "l").select("l", "k"))
+        chosen = chosen.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= SAMPLE_ROWS)
+    languages = labelled.select("l").distinct().count()
+    upto = F.sum("size").over(whole.rowsBetween(Window.unboundedPreceding, 0))
+    chosen = chosen.withColumn("upto", upto).filter((F.col("rank") == 1) | (F.col("upto") <= SAMPLE_WHOLE // max(1, languages)))
+    # SAMPLE_ROWS rows for each language at most.
+    chosen = F.broadcast(chosen.select("l", "k"))
     picked = labelled.join(chosen, ["l", "k"]).groupBy("l", "k").agg(F.min("t").alias("t"))
     out: dict[str, list[str]] = {}
     for row in picked.orderBy("l", "k").toLocalIterator():

@@ -775,6 +775,28 @@ def test_language_of_awkward_rows(docs, rows, none):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
 
+def test_every_language_is_learned_within_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_WHOLE", 70 * 400)
+    alphabet = "abcdefghijklmnopqrstuvwxyzäöüßéèàùçñáíóúøåæþðœčšžřůěłąęśźżćńőűğışđ"
+    text = lambda k, n: " ".join(alphabet[k % 60 : k % 60 + 3] * 2 + alphabet[(7 * k) % 60] for _ in range(n))
+    rows = [(f"l{k:02}", text(k, 30 + j)) for k in range(70) for j in range(3)] + [("l69", text(69, 2000))] + [("zz", "ж" * 20_000), ("zz", "ж" * 9000)]
+    got = langid.samples(spark.createDataFrame(rows, "l string, t string"))
+    assert len(got) == 71 and all(1 <= len(v) for v in got.values())
+    # The shortest of a language's long rows; whole rows in a language's part of the bound.
+    assert [len(t) for t in got["zz"]] == [9000]
+    assert all(sum(map(len, v)) <= 70 * 400 // 71 or len(v) == 1 for v in got.values())
+
+
+def test_alphabets_beyond_two_bytes():
+    many = [chr(c) for c in range(0x3400, 0x2A6DF) if chr(c).isalpha()][:66_000]
+    automata = langid.Automata({"many": ["".join(many)], "few": ["abc abd"]})
+    assert len(automata.alphabet) > 1 << 16
+    n, phrases = langid.Parser(automata).counts(["".join(many[-40:]), "abc", "".join(many[:2]) + many[-1]])
+    assert n.tolist() == [40, 3, 3]
+    at = automata.languages.index("many")
+    assert phrases[0, at] <= 3 and phrases[1, automata.languages.index("few")] == 1 and phrases[2, at] <= 4
+
+
 def test_language_of_held_out_documents(spark, sf):
     from terravane.llm.queries import op10_cross_parsing
 
