@@ -102,8 +102,8 @@ def lagged(spark: SparkSession, d: str) -> DataFrame:
 
 def forecasts(spark: SparkSession, d: str) -> DataFrame:
     """A long table of the forecasts of three models on validation and test."""
-    # A row for each month: kept, so that the models read the series once.
-    rows = lagged(spark, d).cache()
+    # A row for each month: written, so that the models read the series once.
+    rows = tables.written(lagged(spark, d))
     train, later = rows.filter("split = 'train'"), rows.filter("split <> 'train'")
     margin = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(0.5) + (F.col("stress_threshold") - F.col("quantity")) / 2))
     models = {
@@ -602,10 +602,8 @@ def metrics_document(spark: SparkSession, d: str) -> DataFrame:
 
 def fitted(spark: SparkSession, d: str) -> tuple[forest.RandomForestClassificationModel, DataFrame]:
     """A forest of the training months, and the months of all splits, written once."""
-    path = tables.scratch(spark)
     # A row for each month: one partition makes refits agree.
-    lagged(spark, d).coalesce(1).write.parquet(path)
-    rows = spark.read.parquet(path)
+    rows = tables.written(lagged(spark, d).coalesce(1))
     return forest.fit(rows.filter("split = 'train'").coalesce(1), FEATURES, TARGET, trees=100), rows
 
 

@@ -270,16 +270,19 @@ def masked_mosaic(spark: SparkSession, d: str) -> DataFrame:
 # Rasters and boxes through the projection.
 
 
-def _terms(terms: list[float], f: str, g: str, u: str = "xi", v: str = "eta") -> str:
-    return " + ".join(f"({a!r}) * {f}({2 * (j + 1)} * {u}) * {g}({2 * (j + 1)} * {v})" for j, a in enumerate(terms))
+#: The published series to the fourth order in the third flattening, written out, for the independent engine.
+KRUEGER_SQL = """earth AS (SELECT 6378137.0::DOUBLE AS radius, (1 / 298.257223563::DOUBLE) AS f), third AS (SELECT *, f / (2 - f) AS n FROM earth),
+  series_ AS (SELECT 0.9996::DOUBLE * radius / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS metres, 2 * sqrt(n) / (1 + n) AS e,
+    n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 AS a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 AS a2, 61 * n ** 3 / 240 - 103 * n ** 4 / 140 AS a3, 49561 * n ** 4 / 161280 AS a4 FROM third)"""
 
 
 def utm_sql(source: str, zone: int, columns: str) -> str:
     """CTEs that add ``easting`` and ``northing`` to a table with ``lon`` and ``lat``: the last is ``utm``."""
-    metres = geo.SCALE * geo._A
-    return f"""conformal AS (SELECT *, sinh(atanh(sin(radians(lat))) - ({geo._E!r}) * atanh(({geo._E!r}) * sin(radians(lat)))) AS t, radians(lon - {zone * 6 - 183}) AS lam FROM {source}),
+    return f"""{KRUEGER_SQL},
+  conformal AS (SELECT p.*, s.*, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) AS t, radians(lon - {zone * 6 - 183}) AS lam FROM {source} p, series_ s),
   sphere AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM conformal),
-  utm AS (SELECT {columns}, lon, lat, {metres!r} * (eta + {_terms(geo._TO, "cos", "sinh")}) + {float(geo.EASTING)!r} AS easting, {metres!r} * (xi + {_terms(geo._TO, "sin", "cosh")}) AS northing FROM sphere)"""
+  utm AS (SELECT {columns}, lon, lat, 500000 + metres * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)) AS easting,
+    metres * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)) AS northing FROM sphere)"""
 
 
 @query(f"""WITH places AS (SELECT c_custkey, 35.0::DOUBLE + (c_custkey % 500) / 100.0::DOUBLE AS lon, 30.0::DOUBLE + (c_custkey % 300) / 100.0::DOUBLE AS lat FROM customer),
@@ -294,26 +297,21 @@ def utm_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return out.select("c_custkey", F.round("easting", 3).alias("easting"), F.round("northing", 3).alias("northing"), exact.alias("exact"))
 
 
-#: A box in degrees, and a grid of 10 m cells from this corner in zone 36.
-BOX, CORNER = (35.45, 32.2, 35.65, 32.75), (699960.0, 3700020.0)
+#: A grid of 10 m cells from this corner in zone 36.
+CORNER = (699960.0, 3700020.0)
 
 
-@query(f"""WITH places AS (SELECT CASE WHEN e.range < 2 THEN 35.45::DOUBLE + (35.65::DOUBLE - 35.45::DOUBLE) * (k.range / 20.0::DOUBLE) WHEN e.range = 2 THEN 35.45::DOUBLE ELSE 35.65::DOUBLE END AS lon,
-    CASE WHEN e.range = 0 THEN 32.2::DOUBLE WHEN e.range = 1 THEN 32.75::DOUBLE ELSE 32.2::DOUBLE + (32.75::DOUBLE - 32.2::DOUBLE) * (k.range / 20.0::DOUBLE) END AS lat FROM range(4) e, range(21) k),
-  {utm_sql("places", 36, "1 AS one")}, box AS (SELECT greatest(min(easting), 699960.0) AS west, min(northing) AS south, max(easting) AS east, least(max(northing), 3700020.0) AS north FROM utm),
+@query(f"""WITH boxes AS (SELECT s_suppkey, 35.45::DOUBLE + s_nationkey / 1000.0::DOUBLE AS w, 32.2::DOUBLE - (s_suppkey % 40) / 100.0::DOUBLE AS s FROM supplier),
+  places AS (SELECT s_suppkey, w + CASE WHEN e.range < 2 THEN 0.2::DOUBLE * k.range / 20 WHEN e.range = 2 THEN 0 ELSE 0.2::DOUBLE END AS lon, s + CASE WHEN e.range = 0 THEN 0 WHEN e.range = 1 THEN 0.55::DOUBLE ELSE 0.55::DOUBLE * k.range / 20 END AS lat FROM boxes, range(4) e, range(21) k),
+  {utm_sql("places", 36, "s_suppkey")}, box AS (SELECT s_suppkey, greatest(min(easting), 699960.0) AS west, min(northing) AS south, max(easting) AS east, least(max(northing), 3700020.0) AS north FROM utm GROUP BY s_suppkey),
   win AS (SELECT *, CAST(round((west - 699960.0) / 10) AS INTEGER) AS col_off, CAST(round((3700020.0 - north) / 10) AS INTEGER) AS row_off, CAST(round((east - west) / 10) AS INTEGER) AS width, CAST(round((north - south) / 10) AS INTEGER) AS height FROM box)
-  SELECT round(west, 3) AS west, round(south, 3) AS south, round(east, 3) AS east, round(north, 3) AS north, col_off, row_off, width, height, 699960.0::DOUBLE + col_off * 10 AS own_west, 3700020.0::DOUBLE - row_off * 10 AS own_north FROM win""")
+  SELECT s_suppkey, round(west, 3) AS west, round(south, 3) AS south, round(east, 3) AS east, round(north, 3) AS north, col_off, row_off, width, height, 699960.0::DOUBLE + col_off * 10 AS own_west, 3700020.0::DOUBLE - row_off * 10 AS own_north FROM win""")
 def utm_box_window(spark: SparkSession, d: str) -> DataFrame:
-    """A box in degrees as a box in metres, cut to a grid, and as a window of that grid with its own origin."""
-    box = geo.projected_bounds(spark, BOX, 36, 20)
-    sides = ("west", "south", "east", "north")
-    whole = {"west": F.lit(CORNER[0]), "south": F.lit(0.0), "east": F.lit(1e7), "north": F.lit(CORNER[1])}
-    common = geo.common_box({s: F.col(s) for s in sides}, whole)
-    cut = box.select(*[common[s].alias(s) for s in sides])
-    window = geo.pixel_window({s: F.col(s) for s in sides}, F.lit(CORNER[0]), F.lit(CORNER[1]), 10.0)
-    cut = cut.select(*sides, *[c.alias(n) for n, c in window.items()])
-    west, north = geo.window_origin({n: F.col(n) for n in window}, F.lit(CORNER[0]), F.lit(CORNER[1]), 10.0)
-    return cut.select(*[F.round(s, 3).alias(s) for s in sides], "col_off", "row_off", "width", "height", west.alias("own_west"), north.alias("own_north"))
+    """A box in degrees for each supplier, as a box in metres, cut to a grid, and as a window of that grid with its own origin."""
+    west, south = F.lit(35.45) + F.col("s_nationkey") / 1000.0, F.lit(32.2) - (F.col("s_suppkey") % 40) / 100.0
+    boxes = table(spark, d, "supplier").select("s_suppkey", west.alias("west"), south.alias("south"), (west + 0.2).alias("east"), (south + 0.55).alias("north"))
+    placed = geo.windows_on_grid(geo.projected_boxes(boxes, "s_suppkey", 36, 20), *CORNER, 10.0, 370_000, 30_000)
+    return placed.select("s_suppkey", *[F.round(s, 3).alias(s) for s in geo.SIDES], "col_off", "row_off", "width", "height", "own_west", "own_north")
 
 
 _DEGREES = f"""source AS (SELECT scene AS scene_id, "row" AS sr, col AS sc, avg(weight) AS value FROM pixels GROUP BY scene, "row", col),

@@ -12,6 +12,7 @@ from terravane.functions import geo
 from terravane.operators import alignment, forest, quantile, raster, splits, target
 from terravane.operators.alignment import Source
 from terravane.plans.catalogue import CATALOGUE, FEATURES, LAGGED, PIXELS, SERIES, TARGET, TRAIN_UNTIL, Query, catalogue, fitted, lagged, months, pixels, r6
+from terravane.plans.edges import utm_sql
 from terravane.sources import blocks, tables, tiles
 from terravane.sources.tables import table
 from terravane.streaming import windows
@@ -250,19 +251,9 @@ def raster_profile(spark: SparkSession, d: str) -> DataFrame:
 
 # Boxes.
 
-#: The published series to the fourth order in the third flattening, for zone 36, written out.
-_KRUEGER = """earth AS (SELECT 6378137.0::DOUBLE AS radius, (1 / 298.257223563::DOUBLE) AS f), third AS (SELECT *, f / (2 - f) AS n FROM earth),
-  series_ AS (SELECT n, 0.9996::DOUBLE * radius / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS metres, 2 * sqrt(n) / (1 + n) AS e,
-    n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 AS a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 AS a2, 61 * n ** 3 / 240 - 103 * n ** 4 / 140 AS a3, 49561 * n ** 4 / 161280 AS a4 FROM third),
-  conformal AS (SELECT p.*, s.*, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) AS t, radians(lon - 33) AS lam FROM spots p, series_ s),
-  sphere AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM conformal),
-  utm AS (SELECT key, 500000 + metres * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)) AS x,
-    metres * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)) AS y FROM sphere)"""
-
-
 @query(f"""WITH boxes AS (SELECT c_custkey AS key, 32.0::DOUBLE + (c_custkey % 400) / 100.0::DOUBLE AS west, 31.0::DOUBLE + (c_custkey % 230) / 100.0::DOUBLE AS south, (1 + c_custkey % 7) / 20.0::DOUBLE AS size FROM customer),
   spots AS (SELECT key, west + CASE WHEN e.range < 2 THEN size * k.range / 20 WHEN e.range = 2 THEN 0 ELSE size END AS lon, south + CASE WHEN e.range = 0 THEN 0 WHEN e.range = 1 THEN size ELSE size * k.range / 20 END AS lat FROM boxes, range(4) e, range(21) k),
-  {_KRUEGER}, around AS (SELECT key, greatest(min(x), 399960) AS west, greatest(min(y), 3490220) AS south, least(max(x), 609760) AS east, least(max(y), 3700020) AS north FROM utm GROUP BY key),
+  {utm_sql("spots", 36, "key")}, around AS (SELECT key, greatest(min(easting), 399960) AS west, greatest(min(northing), 3490220) AS south, least(max(easting), 609760) AS east, least(max(northing), 3700020) AS north FROM utm GROUP BY key),
   cut AS (SELECT *, west < east AND south < north AS meets FROM around)
   SELECT key AS c_custkey, NOT meets AS empty, CASE WHEN meets THEN round(west, 3) END AS west, CASE WHEN meets THEN round(south, 3) END AS south, CASE WHEN meets THEN round(east, 3) END AS east, CASE WHEN meets THEN round(north, 3) END AS north,
     CASE WHEN meets THEN CAST(round((west - 399960) / 10) AS INTEGER) END AS col_off, CASE WHEN meets THEN CAST(round((3700020 - north) / 10) AS INTEGER) END AS row_off, CASE WHEN meets THEN CAST(round((east - west) / 10) AS INTEGER) END AS width, CASE WHEN meets THEN CAST(round((north - south) / 10) AS INTEGER) END AS height,

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +15,25 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    """A temporary folder of this machine, gone when the process ends."""
+    path = tempfile.mkdtemp(prefix="terravane-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share; of this machine only where the session names none."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='terravane-')).rstrip('/')}/files-{uuid.uuid4().hex}"
+    return f"{(root or _local_root()).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a table in a scratch folder, for what is read several times."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
