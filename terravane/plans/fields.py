@@ -63,11 +63,11 @@ _COVER = 'cover AS (SELECT "row", col, avg(CAST(quality = 4 AS INTEGER)) AS frac
 
 @query(f"""WITH {PIXELS}, {SERIES}, {_COVER}, obs AS (
     SELECT 'station' AS source, value, CAST(ts AS DATE) - 9497 AS first, CAST(ts AS DATE) - 9497 AS last, 1.0::DOUBLE AS weight FROM events WHERE event_type <> 'error'
-    UNION ALL SELECT 'scene', l_extendedprice / 1000, CAST(l_shipdate AS DATE), CAST(l_shipdate AS DATE), fraction
+    UNION ALL SELECT 'scene', l_extendedprice / 997, CAST(l_shipdate AS DATE), CAST(l_shipdate AS DATE), fraction
       FROM lineitem JOIN cover ON "row" = floor((l_partkey % 64) / 8) AND col = l_partkey % 8 WHERE l_discount > 0.02
-    UNION ALL SELECT 'composite', o_totalprice / 1000, CAST(date_trunc('week', o_orderdate) AS DATE), CAST(date_trunc('week', o_orderdate) AS DATE) + 6, 1.0 FROM orders WHERE o_orderdate < DATE '2000-02-10' OR o_orderdate > DATE '2000-05-20'
+    UNION ALL SELECT 'composite', o_totalprice / 997, CAST(date_trunc('week', o_orderdate) AS DATE), CAST(date_trunc('week', o_orderdate) AS DATE) + 6, 1.0 FROM orders WHERE o_orderdate < DATE '2000-02-10' OR o_orderdate > DATE '2000-05-20'
     UNION ALL SELECT 'level', quantity, time, last_day(time), 1.0 FROM series
-    UNION ALL SELECT 'amount', price / 1000, time, last_day(time), 1.0 FROM series),
+    UNION ALL SELECT 'amount', price / 997, time, last_day(time), 1.0 FROM series),
   {_DEKADS.format("1994-12-01", "2002-01-01")},
   found AS (SELECT time, {_level("station")}, {_level("scene")}, {_level("composite")}, {_level("level")}, {_amount("amount")} FROM parts GROUP BY time)
   SELECT d.time, station, scene, composite, level, amount, {", ".join(f"coalesce(n_{n}, 0) AS n_{n}" for n in ("station", "scene", "composite", "level", "amount"))} FROM dekads d LEFT JOIN found USING (time)""")
@@ -84,10 +84,10 @@ def dekad_sources(spark: SparkSession, d: str) -> DataFrame:
     day = F.date_sub(F.col("ts").cast("date"), 9497)
     sources = {
         "station": Source(table(spark, d, "events").filter("event_type <> 'error'"), "value", day),
-        "scene": Source(lines.join(cropland, ["row", "col"]), F.col("l_extendedprice") / 1000, "l_shipdate", weight="fraction"),
-        "composite": Source(table(spark, d, "orders").filter("o_orderdate < '2000-02-10' or o_orderdate > '2000-05-20'"), F.col("o_totalprice") / 1000, week, F.date_add(week, 6)),
+        "scene": Source(lines.join(cropland, ["row", "col"]), F.col("l_extendedprice") / 997, "l_shipdate", weight="fraction"),
+        "composite": Source(table(spark, d, "orders").filter("o_orderdate < '2000-02-10' or o_orderdate > '2000-05-20'"), F.col("o_totalprice") / 997, week, F.date_add(week, 6)),
         "level": Source(series, "quantity", "time", F.last_day("time")),
-        "amount": Source(series, F.col("price") / 1000, "time", F.last_day("time"), amount=True),
+        "amount": Source(series, F.col("price") / 997, "time", F.last_day("time"), amount=True),
     }
     out = alignment.aligned(sources, "1994-12-01", "2001-12-31")
     return out.select("time", *[r6(c).alias(c) for c in ("station", "scene", "composite", "level")], F.round("amount", 4).alias("amount"), *[f"n_{n}" for n in sources])
@@ -95,7 +95,7 @@ def dekad_sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH obs AS (
     SELECT s_nationkey AS place, 'shipped' AS source, l_quantity AS value, CAST(l_shipdate AS DATE) AS first, CAST(l_shipdate AS DATE) AS last, l_tax AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey % 3 <> 0
-    UNION ALL SELECT c_nationkey, 'ordered', o_totalprice / 1000, CAST(date_trunc('quarter', o_orderdate) AS DATE), CAST(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 3 MONTH AS DATE) - 1, 1.0 FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 4 <> 1),
+    UNION ALL SELECT c_nationkey, 'ordered', o_totalprice / 997, CAST(date_trunc('quarter', o_orderdate) AS DATE), CAST(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 3 MONTH AS DATE) - 1, 1.0 FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 4 <> 1),
   {_DEKADS.format("1999-01-01", "2000-01-01")},
   found AS (SELECT place, time, {_level("shipped")}, {_amount("ordered")} FROM parts GROUP BY place, time)
   SELECT n_nationkey AS place, d.time, shipped, ordered, coalesce(n_shipped, 0) AS n_shipped, coalesce(n_ordered, 0) AS n_ordered FROM nation n CROSS JOIN dekads d LEFT JOIN found f ON f.place = n_nationkey AND f.time = d.time""")
@@ -107,7 +107,7 @@ def dekad_places(spark: SparkSession, d: str) -> DataFrame:
     quarter = F.trunc("o_orderdate", "quarter")
     sources = {
         "shipped": Source(shipped, "l_quantity", "l_shipdate", weight="l_tax"),
-        "ordered": Source(ordered, F.col("o_totalprice") / 1000, quarter, F.date_sub(F.add_months(quarter, 3), 1), amount=True),
+        "ordered": Source(ordered, F.col("o_totalprice") / 997, quarter, F.date_sub(F.add_months(quarter, 3), 1), amount=True),
     }
     places = table(spark, d, "nation").select(F.col("n_nationkey").alias("place"))
     out = alignment.aligned(sources, "1999-01-01", "1999-12-31", ["place"], places)
@@ -117,13 +117,13 @@ def dekad_places(spark: SparkSession, d: str) -> DataFrame:
 # Coarser grids.
 
 
-_FINE = """fine AS (SELECT l_linenumber AS scene_id, CAST(l_partkey % 80 AS INTEGER) AS r, CAST(l_suppkey % 60 AS INTEGER) AS c, avg(l_extendedprice) / 997 AS value FROM lineitem WHERE l_partkey % 80 < 70 OR l_linenumber > 3 GROUP BY 1, 2, 3)"""
+_FINE = """fine AS (SELECT l_linenumber AS scene_id, CAST(l_partkey % 80 AS INTEGER) AS r, CAST(l_suppkey % 60 AS INTEGER) AS c, sqrt(avg(l_extendedprice)) AS value FROM lineitem WHERE l_partkey % 80 < 70 OR l_linenumber > 3 GROUP BY 1, 2, 3)"""
 
 
 def _fine(spark: SparkSession, d: str) -> DataFrame:
     """Scenes of 80 x 60 cells, with holes; the first three end ten rows earlier."""
     lines = table(spark, d, "lineitem").filter("l_partkey % 80 < 70 or l_linenumber > 3")
-    return lines.groupBy(F.col("l_linenumber").alias("scene_id"), (F.col("l_partkey") % 80).cast("int").alias("row"), (F.col("l_suppkey") % 60).cast("int").alias("col")).agg((F.avg("l_extendedprice") / 997).alias("value"))
+    return lines.groupBy(F.col("l_linenumber").alias("scene_id"), (F.col("l_partkey") % 80).cast("int").alias("row"), (F.col("l_suppkey") % 60).cast("int").alias("col")).agg(F.sqrt(F.avg("l_extendedprice")).alias("value"))
 
 
 @query(f"""WITH {_FINE}, cells AS (SELECT r.range AS "row", c.range AS col FROM range(8) r, range(6) c),

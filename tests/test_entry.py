@@ -6,9 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from terravane.plans import catalogue, edges
+from terravane.plans import catalogue, edges, fields
 
-NAMES = sorted(catalogue.oracle_sql() | edges.oracle_sql())
+NAMES = sorted(catalogue.oracle_sql() | edges.oracle_sql() | fields.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries() | edges.queries()) - set(NAMES)))
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries() | edges.queries() | fields.queries()) - set(NAMES)))
 def test_query_without_sql_runs(spark, sf, name):
     assert entry.queries()[name](spark, sf).count() > 0
 
