@@ -105,6 +105,20 @@ def test_stages_on_awkward_rows(spark, sf):
         assert out.count() == 0 and (out.columns == docs.columns or name == corpus_pipeline.STAGES[-1][0])
 
 
+def test_stages_keep_columns_called_like_their_results(spark, sf):
+    extra = ["_text", "kept", "n_removed", "lang_pred", "score", "chosen", "component_id", "size", "taken", "_c1", "digest"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    docs = docs.select(*[F.lit(f"{c} of ").alias(c) for c in extra[:3]], "*", *[F.lit(f"{c} of ").alias(c) for c in extra[3:]])
+    docs = docs.withColumns({c: F.concat(c, "doc_id") for c in extra})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in extra), name
+        assert all(r.n_chars == len(r.text) for r in rows) or name in ("language ID", "MinHash near-dedup")
+    assert "kept" not in corpus_pipeline.STAGES[-1][1](spark, docs, sf).columns
+
+
 def test_near_copies_leave_and_clean_documents_stay(spark, sf):
     from terravane.llm.queries import op3_minhash_hamming
 
