@@ -208,7 +208,7 @@ def deduplicated(pages: DataFrame, page: str, payload: Column, url: Column) -> D
     made = made.withColumn("digest", F.sha1("payload"))
     long = F.octet_length("payload") >= LEAST_REVISIT
     holders = made.filter(long).groupBy("digest").agg(F.max("page").alias("holder"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # Payloads stay where they are when holders are few; else both sides are dealt by digest.
+    # Both sides are dealt by digest, payloads with theirs; the few holders are hashed, so payloads are not sorted.
     joined = made.join(holders.withColumnRenamed("digest", "same").hint("shuffle_hash"), long & (F.col("digest") == F.col("same")), "left")
     return joined.select("page", "url", "payload", "digest", F.when(F.col("page") != F.col("holder"), F.col("holder")).alias("refers_to"))
 
