@@ -603,7 +603,22 @@ def test_smaller_copies_are_found(spark, scenes):
     found = media.find_copies(spark.createDataFrame(queries, "image long, media binary"), table).collect()
     right = {r.query: r.steps for r in found if r.image == r.query - 100}
     assert len(right) >= 10 and all(r.image == r.query - 100 for r in found)
-    assert all(steps == (2 if k % 2 else 1) for k, steps in right.items())
+    # Four steps of a quarter of an octave make a half, two make 0.7.
+    assert all(steps == (4 if k % 2 else 2) for k, steps in right.items())
+
+
+def test_copies_of_sizes_between_the_scales_are_found(spark, scenes):
+    """Every scene at nine sizes and edits, among all: at least nine of ten found, hardly any wrong."""
+    noise = np.random.default_rng(1)
+    edits = [lambda s, f=f: shrunk(s, 1 / f) for f in (0.5, 0.6, 0.65, 0.7, 0.8, 0.85)]
+    edits += [lambda s: s[20:110, 10:100], lambda s: np.rint(s * 0.7 + 30), lambda s: np.clip(np.rint(s + noise.normal(0, 3, s.shape)), 0, 255)]
+    table = spark.createDataFrame([(k, pgm(s)) for k, s in enumerate(scenes)], "image long, media binary")
+    asked = [(1000 * e + k, pgm(edit(s))) for e, edit in enumerate(edits) for k, s in enumerate(scenes)]
+    found = {(r.query, r.image) for r in media.find_copies(spark.createDataFrame(asked, "image long, media binary"), table).collect()}
+    right = {(q, i) for q, i in found if q % 1000 == i}
+    for e in range(len(edits)):
+        assert sum(q // 1000 == e for q, _ in right) >= 0.9 * len(scenes), e
+    assert len(right) >= 0.98 * len(found)
 
 
 def test_copies_equal_brute_force(spark, scenes):
