@@ -44,17 +44,35 @@ def _sum(terms: list[Column]) -> Column:
     return out
 
 
-def to_utm(longitude: Column, latitude: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
-    """Easting and northing in metres of degrees."""
-    phi, lam = F.radians(latitude), F.radians(longitude - (zone * 6 - 183))
+def _angles(longitude: Column, latitude: Column, zone: int) -> tuple[Column, Column]:
+    """Latitude and distance from the central meridian of degrees, in radians."""
+    return F.radians(latitude), F.radians(longitude - (zone * 6 - 183))
+
+
+def _conformal(phi: Column) -> Column:
+    """The tangent of the conformal latitude."""
     sine = F.sin(phi)
-    t = F.sinh(F.atanh(sine) - F.lit(_E) * F.atanh(F.lit(_E) * sine))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    return F.sinh(F.atanh(sine) - F.lit(_E) * F.atanh(F.lit(_E) * sine))
+
+
+def _on_sphere(t: Column, lam: Column) -> tuple[Column, Column]:
+    """Transverse latitude and longitude of a conformal latitude's tangent."""
+    return F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+
+
+def _metres(xi: Column, eta: Column, south: bool) -> tuple[Column, Column]:
+    """Easting and northing of a place on the transverse sphere."""
     x = eta + _sum([F.lit(a) * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, a in enumerate(_TO)])
     y = xi + _sum([F.lit(a) * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, a in enumerate(_TO)])
     return F.lit(SCALE * _A) * x + EASTING, F.lit(SCALE * _A) * y + (SOUTH if south else 0.0)
 
 
+def to_utm(longitude: Column, latitude: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """Easting and northing in metres of degrees."""
+    phi, lam = _angles(longitude, latitude, zone)
+    return _metres(*_on_sphere(_conformal(phi), lam), south)
+
+
 def from_utm(easting: Column, northing: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
     """Longitude and latitude in degrees of metres."""
     xi = (northing - (SOUTH if south else 0.0)) / (SCALE * _A)
@@ -84,28 +102,41 @@ def projected_bounds(spark: SparkSession, box: tuple[float, float, float, float]
 
 
 SIDES = ("west", "south", "east", "north")
+#: Tasks over which boxes are dealt at least.
+PARTS = 32
 
 
 def projected_boxes(boxes: DataFrame, key: str, zone: int, points: int = 21, south: bool = False) -> DataFrame:
     """``(key, west, south, east, north)`` in metres around each box of a table in degrees.
 
     ``points`` steps along each edge are projected, as edges are curves there.  A row's points stay
-    in its row: a box needs no shuffle.  Boxes with a missing side come out without sides.
+    in its row; the boxes are dealt out first, as a small file with many of them is one task's
+    otherwise.  Boxes with a missing side come out without sides.
     """
 
     def edge(x0: str, y0: str, x1: str, y1: str) -> Column:
-        """Projected points from one corner to another."""
+        """Angles of points from one corner to another."""
 
         def point(k: Column) -> Column:
             t = k / float(points)
-            east, north = to_utm(F.col(x0) + (F.col(x1) - F.col(x0)) * t, F.col(y0) + (F.col(y1) - F.col(y0)) * t, zone, south)
-            return F.struct(east.alias("x"), north.alias("y"))
+            phi, lam = _angles(F.col(x0) + (F.col(x1) - F.col(x0)) * t, F.col(y0) + (F.col(y1) - F.col(y0)) * t, zone)
+            return F.struct(_conformal(phi).alias("t"), lam.alias("lam"))
 
         return F.transform(F.sequence(F.lit(0), F.lit(points)), point)
 
+    def placed(p: Column) -> Column:
+        xi, eta = _on_sphere(p["t"], p["lam"])
+        return F.struct(xi.alias("xi"), eta.alias("eta"))
+
+    def metres(p: Column) -> Column:
+        x, y = _metres(p["xi"], p["eta"], south)
+        return F.struct(x.alias("x"), y.alias("y"))
+
     corners = (("west", "south", "east", "south"), ("west", "north", "east", "north"), ("west", "south", "west", "north"), ("east", "south", "east", "north"))
-    spots = [edge(*c) for c in corners]
-    found = boxes.withColumn("_p", F.concat(*spots))
+    dealt = boxes.select(key, *SIDES).repartition(max(PARTS, 4 * boxes.sparkSession.sparkContext.defaultParallelism))
+    # A step of the series is a value of its own, since an expression within a lambda is computed wherever it stands.
+    spots = F.transform(F.transform(F.concat(*[edge(*c) for c in corners]), placed), metres)
+    found = dealt.withColumn("_p", spots)
     return found.select(key, F.array_min("_p.x").alias("west"), F.array_min("_p.y").alias("south"), F.array_max("_p.x").alias("east"), F.array_max("_p.y").alias("north"))
 
 

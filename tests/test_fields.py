@@ -289,6 +289,17 @@ def test_boxes_of_a_table_equal_those_of_one(spark):
     assert all(cut[k].empty and cut[k].west is None and cut[k].width is None for k in (2, 3))
 
 
+def test_boxes_are_dealt_out_and_each_step_of_the_series_is_computed_once(spark):
+    df = spark.range(1000).coalesce(1).selectExpr("id as k", "30.0 + id / 1000.0 as west", "31.0 as south", "31.5 + id / 1000.0 as east", "31.5 as north")
+    found = geo.projected_boxes(df.union(df.limit(1)), "k", 36)
+    # Four edges' conformal latitudes, and four terms of the series.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SINH(") == 8 and plan.count("ATAN2(") == 1
+    assert found.rdd.getNumPartitions() >= geo.PARTS
+    # Rows stay rows, equal ones too.
+    assert Counter(r.k for r in found.collect()) == Counter([*range(1000), 0])
+
+
 @pytest.mark.parametrize("finest", [1e-4, 0.5, 3.0])
 def test_meeting_boxes_equal_all_pairs(spark, finest):
     rng = random.Random(9)
