@@ -178,6 +178,23 @@ def test_brackets_hold_few_values_whatever_the_outliers(spark):
     assert (left[r.low], left[r.high]) == (order[10_001], order[10_002])
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_values_are_never_sent_to_all(spark, tmp_path, few):
+    # Few bytes in their file, and many rows.
+    spark.range(200_000).selectExpr("0 as g", "cast(id % 2 as double) as v").write.parquet(str(tmp_path / "v"))
+    left = spark.read.parquet(str(tmp_path / "v"))
+    sketched = spark.createDataFrame([(0, k, 200_000, [0.0, 0.0, 1.0, 1.0, 1.0]) for k in range(3)], "g int, k int, n long, p array<double>")
+    ranks = spark.createDataFrame([(0, k, 200_000, 10, 10, 0.0) for k in range(3)], "g int, k int, whole long, low long, high long, part double")
+    found, kept = quantile.narrowed(left, sketched, ranks, 4, ["g"], few)
+    for plan in (t._jdf.queryExecution().executedPlan().toString() for t in (found, kept)):
+        lines = plan.splitlines()
+        for i in (i for i, line in enumerate(lines) if "BroadcastExchange" in line and few):
+            below = lines[i + 1 : i + 3]
+            assert not any("FileScan" in line for line in below)
+        assert few or "BroadcastHashJoin" not in plan
+    assert {(r.k, r.v): r.n for r in kept.groupBy("k", "v").agg(F.count("*").alias("n")).collect()}[0, 0.0] == 100_000
+
+
 def test_thresholds_of_observations_and_of_a_series_agree(spark):
     rng = random.Random(6)
     rows = [(dt.date(1995 + k // 36, 1 + k % 12, 1 + k % 28), k % 12 + 1, rng.random()) for k in range(300)]
