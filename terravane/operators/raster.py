@@ -22,8 +22,11 @@ NODATA = -9999.0
 
 
 def finite(value: Column) -> Column:
-    """Whether a value is a number: not null, NaN or infinite."""
-    return F.coalesce(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), F.lit(False))
+    """Whether a value is a number: not null, NaN, which Spark orders last, or infinite.
+
+    It names the value once: filters are pushed below what makes a value, and every mention then computes it anew.
+    """
+    return F.coalesce(F.abs(value) < F.lit(float("inf")), F.lit(False))
 
 
 def clear(quality: Column, bad: Sequence[int] = BAD_CLASSES) -> Column:

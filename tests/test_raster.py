@@ -141,3 +141,11 @@ def test_exact_median_from_counts(spark, values):
     assert {r.g for r in out} == {"a", None} and all(r.median == pytest.approx(np.median(values)) for r in out)
     whole = raster.weighted_summary(spark.createDataFrame(rows, "g string, value double, w double"), "value", "w").first()
     assert whole.median == pytest.approx(np.median(values)) and whole.pixels == 2 * len(values)
+
+
+def test_a_check_for_numbers_names_its_value_once(spark):
+    df = spark.createDataFrame([(0, None), (1, float("nan")), (2, float("inf")), (3, -float("inf")), (4, 2.0), (5, 0.0)], "k int, v double")
+    kept = df.filter(raster.finite(F.col("v") / (F.col("v") + 1)))
+    assert [r.k for r in kept.collect()] == [4, 5]
+    # Filters are pushed below what makes a value: each mention is computed anew.
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count(" / ") == 1
