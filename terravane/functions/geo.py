@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terravane.sources.tables import written
+
 # WGS84 and the UTM grid.
 RADIUS, FLATTENING = 6378137.0, 1 / 298.257223563
 SCALE, EASTING, SOUTH = 0.9996, 500000.0, 10000000.0
@@ -197,6 +199,24 @@ def meeting_boxes(a: DataFrame, b: DataFrame, levels: int = 24, finest: float =
     return met.filter(first & touch).drop("_level", "_x", "_y", "_own", "_other", *[f"_{s}" for s in SIDES])
 
 
+def meeting_facts(a: DataFrame, b: DataFrame, facts: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """The rows of ``a`` whose box meets a row of ``b``, with facts about the rows that it meets.
+
+    ``facts`` has names, each with ``count``, ``min`` or ``max`` and a column of ``b``; counts have
+    none and count rows.  The pairs themselves would grow with the product of the tables where many
+    rows have one box, so equal boxes of either table are one: those of ``b`` meet with their facts,
+    which are put together again, and those of ``a`` share what was found.  See ``meeting_boxes``.
+    """
+    ends = {"min": F.min, "max": F.max}
+    own = [(ends[kind](column) if kind in ends else F.count("*")).alias(f"_{name}") for name, (kind, column) in facts.items()]
+    together = [ends.get(kind, F.sum)(f"_{name}").alias(name) for name, (kind, _) in facts.items()]
+    # Each is read twice, for its levels and its cells.
+    boxes = written(a.select(*SIDES).distinct())
+    others = written(b.groupBy(*SIDES).agg(*own))
+    found = meeting_boxes(boxes, others).groupBy(*SIDES).agg(*together)
+    return a.join(found, list(SIDES)).select(*a.columns, *facts)
+
+
 def boxes_meet(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Whether boxes with west, south, east and north meet; touching counts."""
     return (a["west"] <= b["east"]) & (a["east"] >= b["west"]) & (a["south"] <= b["north"]) & (a["north"] >= b["south"])

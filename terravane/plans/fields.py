@@ -275,8 +275,10 @@ def study_boxes(spark: SparkSession, d: str) -> DataFrame:
     west, south = (k * 7 % 3600) / 10.0 - 180, (k * 11 % 1700) / 10.0 - 85
     size = F.when(k % 500 == 0, F.lit(40.0)).when(k % 3 == 0, F.lit(0.0)).otherwise((k % 10) / 10.0)
     boxes = table(spark, d, "customer").select("c_custkey", west.alias("west"), south.alias("south"), (west + size).alias("east"), (south + size).alias("north"))
-    met = geo.meeting_boxes(boxes, catalogue(spark, d).select("id", "datetime", *geo.SIDES))
-    return met.groupBy("c_custkey").agg(F.count("*").alias("scenes"), F.min("id").alias("first"), F.max("datetime").cast("date").alias("last"))
+    scenes = catalogue(spark, d).select("id", "datetime", *geo.SIDES)
+    met = geo.meeting_facts(boxes, scenes, {"scenes": ("count", None), "first": ("min", "id"), "last": ("max", "datetime")})
+    # A customer's rows together, if there are several.
+    return met.groupBy("c_custkey").agg(F.sum("scenes").alias("scenes"), F.min("first").alias("first"), F.max("last").cast("date").alias("last"))
 
 
 # The forest as a table.

@@ -341,6 +341,25 @@ def test_meeting_boxes_equal_all_pairs(spark, finest):
         geo.meeting_boxes(*df, levels=2, finest=0.1).count()
 
 
+def test_facts_of_meeting_boxes_equal_those_of_all_pairs(spark):
+    rng = random.Random(10)
+
+    def some(n, places):
+        spots = [(rng.uniform(-9, 9), rng.uniform(-9, 9), rng.choice([0.0, 0.5, 6.0])) for _ in range(places)]
+        return [(k, x, y, x + w, y + w) for k in range(n) for x, y, w in [rng.choice(spots)]]
+
+    a, b = some(60, 20), some(3000, 15)
+    a += [(900, None, 0.0, 1.0, 1.0), (901, 0.0, 0.0, -1.0, 1.0), (0, *a[0][1:])]
+    df = [spark.createDataFrame(t, f"{k} int, west double, south double, east double, north double") for t, k in ((a, "a"), (b, "b"))]
+    found = geo.meeting_facts(*df, {"n": ("count", None), "low": ("min", "b"), "high": ("max", "b")})
+    meets = lambda p, q: p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2]
+    wanted = []
+    for p in a:
+        if p[0] < 900 and (ids := [q[0] for q in b if meets(p, q)]):
+            wanted.append((p[0], len(ids), min(ids), max(ids)))
+    assert Counter(tuple(r) for r in found.select("a", "n", "low", "high").collect()) == Counter(wanted)
+
+
 # The forest's nodes.
 
 
