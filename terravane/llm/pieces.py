@@ -161,36 +161,53 @@ class Transducer:
         return known
 
     def merge_path(self, word: str) -> list[int]:
-        """The path of a byte-pair model: ``last[j]`` is the one symbol that can end at j."""
+        """The path of a byte-pair model, the longest symbol tried first.
+
+        A beginning of the word has one path only, so a place from which none leads on is never
+        tried again, whatever symbol ends there.
+        """
         n, size, root, pairs = len(word), len(self.texts), self.trie, self.pairs
-        last = array("i", [-1]) * (n + 1)
-        last[0] = START
-        for i in range(n):
-            u = last[i]
-            node = root.get(word[i])
-            j = i + 1
-            if node is None or "" not in node:
-                v = size + ord(word[i])
-                if last[j] < 0 and (pairs.get(u << 21 | v) or (u << 21 | v not in pairs and self.apart(u, v))):
-                    last[j] = v
-            while node is not None:
-                v = node.get("")
-                if v is not None and last[j] < 0:
-                    good = pairs.get(u << 21 | v)
-                    if good is None:
-                        good = self.apart(u, v)
-                    if good:
-                        last[j] = v
-                if j == n:
+        dead = bytearray(n + 1)
+        out: list[int] = []
+        # Where each symbol of ``out`` starts, and those that are left to try there.
+        starts: list[int] = []
+        untried: list[list[int]] = []
+        i, u, back, left = 0, START, False, []
+        while i < n:
+            if not back:
+                node = root.get(word[i])
+                j = i + 1
+                left = [] if node is not None and "" in node else [size + ord(word[i]), j]
+                while node is not None:
+                    v = node.get("")
+                    if v is not None:
+                        left += (v, j)
+                    if j == n:
+                        break
+                    node = node.get(word[j])
+                    j += 1
+            back = True
+            while left:
+                j, v = left.pop(), left.pop()
+                if dead[j]:
+                    continue
+                good = pairs.get(u << 21 | v)
+                if good is None:
+                    good = self.apart(u, v)
+                if good:
+                    back = False
                     break
-                node = node.get(word[j])
-                j += 1
-        out = []
-        while n:
-            v = last[n]
-            out.append(v)
-            n -= len(self.texts[v]) if v < size else 1
-        return out[::-1]
+            if back:
+                dead[i] = 1
+                out.pop()
+                i, left = starts.pop(), untried.pop()
+                u = out[-1] if out else START
+            else:
+                out.append(v)
+                starts.append(i)
+                untried.append(left)
+                i, u = j, v
+        return out
 
     def score_path(self, word: str) -> list[int]:
         """The path of a unigram model: the largest sum of scores, an unknown character at a penalty."""

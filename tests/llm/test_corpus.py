@@ -674,6 +674,23 @@ def test_pieces_equal_the_library():
         assert machine.decode(ids) == text.replace("▁", " ")
 
 
+def test_merging_looks_up_few_places_of_a_word():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    machine = pieces.Transducer(open(MODEL, "rb").read())
+    machine.trie = Counted(machine.trie)
+    words = ["▁internationalization", "▁the", "▁understanding", "▁information"]
+    for word in words:
+        assert [machine.text(v) for v in machine.merge_path(word)] == machine.merged(word)
+    # A place where no symbol of the path starts is looked at only on a wrong way.
+    assert Counted.asked <= sum(map(len, words)) / 2
+
+
 def test_unigram_path_is_the_best():
     machine = pieces.Transducer(open(MODEL, "rb").read())
     machine.bpe = False
