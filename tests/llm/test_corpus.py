@@ -659,6 +659,59 @@ def test_groups_of_copies_have_representatives(spark, scenes):
     assert media.representatives(described.limit(0), shared_folder(spark)).count() == 0
 
 
+def all_corners(asked, known):
+    """(query, image) -> corners that agree, from all pairs of descriptors; both name lists of media.descriptors."""
+    out = {}
+    for i, (a, x) in asked.items():
+        for j, (b, y) in known.items():
+            votes = {}
+            for k, m in np.argwhere(np.unpackbits(x[:, None] ^ y, axis=2).sum(axis=2) <= media.MOST_BITS):
+                p, q = a[k], b[m]
+                angles = [np.rint(v[2] / media.TURN) % (1 << media.ANGLE) * media.TURN for v in (p, q)]
+                by, c = angles[1] - angles[0], np.rint(np.array([p[:2], q[:2]]) * 8) / 8
+                d = c[1] - media.STEP ** (q[3] - p[3]) * np.array([[np.cos(by), -np.sin(by)], [np.sin(by), np.cos(by)]]) @ c[0]
+                for s in np.ndindex(2, 2, 2):
+                    t, u, v = (np.floor(z + h / 2) - h / 2 + 0.5 for z, h in zip((by / (2 * np.pi / media.TURNS), *(d / media.WINDOW)), s, strict=True))
+                    votes.setdefault((q[3] - p[3], t % media.TURNS, u, v), []).append((k, m))
+            most = max((min(len({k for k, _ in v}), len({m for _, m in v})) for v in votes.values()), default=0)
+            if most >= media.LEAST_CORNERS:
+                out[i, j] = most
+    return out
+
+
+def test_whole_search_leaves_out_no_pair(spark, scenes, monkeypatch):
+    """Noisy copies, whose descriptors differ in more bits than tables find."""
+    rng = np.random.default_rng(2)
+    noisy = [np.clip(np.rint(scenes[k][:70, :70] + rng.normal(0, s, (70, 70))), 0, 255) for k in range(4) for s in (0, 6, 10)]
+    asked = [np.rint(noisy[k][5:, 5:] * 0.8 + 20) for k in range(0, 12, 3)]
+    rows = [[(k, pgm(p)) for k, p in enumerate(pictures)] for pictures in (asked, noisy)]
+    of = [{k: media.descriptors(media.gray(m)[None])[1:] for k, m in side} for side in rows]
+    want = all_corners(*of)
+    a, b = (spark.createDataFrame(side, "image long, media binary") for side in rows)
+    # One block, and then blocks of an image or two on both sides.
+    assert {(r.query, r.image): r.corners for r in media.find_copies(a, b, whole=True).collect()} == want
+    monkeypatch.setattr(media, "ASKING_BLOCK", 40)
+    monkeypatch.setattr(media, "BLOCK", 60)
+    assert {(r.query, r.image): r.corners for r in media.find_copies(a, b, whole=True).collect()} == want
+    by_tables = {(r.query, r.image): r.corners for r in media.find_copies(a, b).collect()}
+    assert sum(by_tables.values()) < sum(want.values())
+    assert media.find_copies(a, b.limit(0), whole=True).count() == 0 and media.find_copies(a.limit(0), b, whole=True).count() == 0
+
+
+def test_image_query_gives_every_pair_there_is(spark, tmp_path):
+    from terravane.llm import queries
+
+    rng = np.random.default_rng(6)
+    bases = rng.normal(size=(5, 64))
+    vectors = {k: (bases[k % 5] + rng.normal(size=64) * (0.02 + 0.12 * (k % 4))).astype(np.float32) for k in [*range(40), 100, 200, 300]}
+    spark.createDataFrame([(k, v.tolist()) for k, v in vectors.items()], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    of = [{k: media.descriptors(media.gray(media.picture(v.tolist(), edited))[None])[1:] for k, v in vectors.items() if not edited or k % 100 == 0} for edited in (True, False)]
+    want = all_corners(*of)
+    out = queries.op1_image_copies(spark, str(tmp_path)).collect()
+    assert {(m.query_id, r.vec_id): m.corners for r in out for m in r.matches or []} == want
+    assert {r.vec_id: r.n_queries for r in out} == {k: sum(i == k for _, i in want) for k in vectors}
+
+
 # Pieces.
 
 
