@@ -134,7 +134,9 @@ def components(edges: DataFrame, folder: str, name: str = "components") -> DataF
     ``component`` is the smallest node of the component; nodes without edges are absent.
     Alternates large-star and small-star steps, each of them two aggregations and joins on the
     edges, so no neighbourhood is ever gathered in one task.  Every round is written to the
-    shared folder.  The rounds grow as the logarithm of the longest path.
+    shared folder.  The rounds grow as the logarithm of the longest path, and end as soon as the
+    edges are stars: the driver keeps a thread for every exchange of the last minute, so a round
+    that would only show that nothing changes is not run, and the joins do without broadcasts.
     """
     spark = edges.sparkSession
 
@@ -143,25 +145,22 @@ def components(edges: DataFrame, folder: str, name: str = "components") -> DataF
         if large:
             both = both.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        joined = both.join(least, "a")
+        joined = both.join(least.hint("merge"), "a")
         if large:
             out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         return out.filter("a <> b").distinct()
 
-    def state(pairs: DataFrame) -> tuple:
-        return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(pairs: DataFrame) -> bool:
+        """Whether every node has one edge to a smaller node, which has none itself: then that is the component's smallest."""
+        ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(pairs.select("b", F.lit(0), F.lit(1)))
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1 and up > 0").isEmpty()
 
-    now = write_stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), folder, f"{name}-0")
-    before, k = state(now), 0
-    while before[0]:
+    now, k = write_stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), folder, f"{name}-0"), 0
+    while not settled(now):
         k += 1
         now = write_stage(star(star(now, True), False), folder, f"{name}-{k}")
-        after = state(now)
         drop_stages(spark, folder, f"{name}-{k - 1}")
-        if after == before:
-            break
-        before = after
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(now.select(F.col("b"), F.col("b")).distinct())

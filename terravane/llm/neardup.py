@@ -323,8 +323,10 @@ def _linked_wholes(meetings: DataFrame, groups: DataFrame, sizes: DataFrame, set
         n = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
         return df.groupBy(by).agg(n.cast("int").alias(name))
 
+    # Both are read by several joins of the plans below, and are made once.
+    meetings = write_stage(meetings, folder, "wholes-asking")
     asked = blocks(meetings.withColumnRenamed("na", "n"), "cy", "chunks")
-    asked = asked.join(blocks(groups.join(sizes, "node").join(asked, F.col("component") == F.col("cy")), "cy", "blocks"), "cy")
+    asked = write_stage(asked.join(blocks(groups.join(sizes, "node").join(asked, F.col("component") == F.col("cy")), "cy", "blocks"), "cy"), folder, "wholes-blocks")
     members = groups.join(asked, F.col("component") == F.col("cy")).select("cy", F.col("node").alias("y"), "blocks", "chunks", F.col("strict").alias("label"))
     ids = members.select(F.col("y").alias("node")).union(meetings.select("x")).distinct()
     sets = write_stage(_sets(ids, sets_of, rows, words), folder, "wholes-sets")
@@ -336,5 +338,5 @@ def _linked_wholes(meetings: DataFrame, groups: DataFrame, sizes: DataFrame, set
     right = right.select(*[F.col(c).alias(n) for c, n in zip(right.columns, ("cm", "bm", "km", "y", "members", "label"), strict=True)])
     links = left.groupBy("cy", "block", "chunk").cogroup(right.groupBy("cm", "bm", "km")).applyInArrow(_ask(percent), "a long, b long")
     links = write_stage(links, folder, "wholes")
-    drop_stages(rows.sparkSession, folder, "wholes-sets")
+    drop_stages(rows.sparkSession, folder, "wholes-asking", "wholes-blocks", "wholes-sets")
     return links

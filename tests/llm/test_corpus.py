@@ -164,6 +164,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), shared_folder(spark)).count() == 0
 
 
+def test_components_run_no_round_that_changes_nothing(spark, monkeypatch):
+    """Each round is a dozen exchanges, for each of which the driver keeps a thread for a minute."""
+    from terravane.llm import common
+
+    written, write = [], common.write_stage
+    monkeypatch.setattr(common, "write_stage", lambda df, folder, name: written.append(name) or write(df, folder, name))
+    for edges, rounds in (([(1, 2), (1, 3), (7, 5)], 0), ([(3, 1), (3, 2)], 1), ([(1, 2), (2, 3)], 1)):
+        written.clear()
+        got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long"), shared_folder(spark)).collect()}
+        assert got == ({1: 1, 2: 1, 3: 1, 7: 5, 5: 5} if not rounds else {1: 1, 2: 1, 3: 1})
+        assert len(written) == 1 + rounds
+
+
 # Repeated byte strings.
 
 
