@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -725,6 +726,51 @@ def test_image_query_gives_every_pair_there_is(spark, tmp_path):
     assert {r.vec_id: r.n_queries for r in out} == {k: sum(i == k for _, i in want) for k in vectors}
 
 
+def corner_batch(asks, images):
+    """A side of a comparison: the descriptors of pictures."""
+    of = [media.descriptors(np.float32(p)[None])[1:] for p in images]
+    numbers = np.ascontiguousarray(np.concatenate([b for _, b in of])).view(np.int64).reshape(-1, len(media.WORDS))
+    columns = [np.repeat(np.arange(len(of)), [len(b) for _, b in of]), media.packed(np.concatenate([s for s, _ in of])), *numbers.T.copy()]
+    return pa.RecordBatch.from_arrays([pa.array([asks] * len(numbers)), *[pa.array(c) for c in columns]], names=["asks", "image", "spot", *media.WORDS])
+
+
+def test_votes_of_images_make_no_rows(spark, scenes):
+    """Copies leave a comparison as one row a pair, however many matches they have, and windows of votes are no rows."""
+    copies = [np.rint(scenes[0][:70, :70])] * 12
+    block = [corner_batch(asks, copies) for asks in (True, False)]
+    found = pa.Table.from_batches(media._compare(iter(block))).to_pylist()
+    assert sorted((r["query"], r["image"]) for r in found) == [(i, j) for i in range(12) for j in range(12)]
+    assert {(r["corners"], r["steps"]) for r in found} == {(block[0].num_rows / 12, 0)}
+    met = spark.createDataFrame([(1, 2, 3, 4)], "query long, image long, asked long, spot long")
+    assert "Generate" not in media.places(met)._jdf.queryExecution().toString()
+
+
+def test_votes_are_counted_over_whole_pairs(scenes):
+    """Matches of a pair that are cut into batches at any place."""
+    spots = np.unique(media.packed(media.descriptors(np.rint(scenes[1][:70, :70])[None].astype(np.float32))[1]))
+    rows = np.array([(q, i, s, s) for q, i, m in ((1, 1, len(spots)), (1, 2, 7), (2, 2, 5), (3, 1, 6), (3, 9, 9)) for s in spots[:m]]).T.copy()
+    for size in (1, 4, 6, rows.shape[1]):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + size]) for c in rows], names=["query", "image", "asked", "spot"]) for k in range(0, rows.shape[1], size)]
+        found = pa.Table.from_batches(media._places(iter(batches))).to_pylist()
+        assert [(r["query"], r["image"], r["corners"]) for r in found] == [(1, 1, len(spots)), (1, 2, 7), (3, 1, 6), (3, 9, 9)]
+    assert pa.Table.from_batches(media._places(iter([]))).num_rows == 0
+
+
+def test_few_corners_wait_for_the_others(scenes):
+    """Of the pairs of descriptors fewer than all are compared at once, and the copies are the same."""
+    rng = np.random.default_rng(4)
+    noisy = [np.clip(np.rint(scenes[k][:70, :70] + rng.normal(0, s, (70, 70))), 0, 255) for k in range(6) for s in (0, 8)]
+    asked = [np.rint(noisy[k][4:, 7:] * 0.8 + 20) for k in range(0, 12, 2)] + [np.rint(media._shrink(70, 1.42) @ noisy[0] @ media._shrink(70, 1.42).T)]
+    of = [{k: media.descriptors(np.float32(p)[None])[1:] for k, p in enumerate(side)} for side in (asked, noisy)]
+    block = [corner_batch(True, asked), corner_batch(False, noisy)]
+    compared, near = [], media._near
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(media, "_near", lambda x, y: compared.append(len(x[0]) * len(y[0])) or near(x, y))
+        found = pa.Table.from_batches(media._compare(iter(block))).to_pylist()
+    assert {(r["query"], r["image"]): r["corners"] for r in found} == all_corners(*of)
+    assert 0 < sum(compared) < 0.9 * block[0].num_rows * block[1].num_rows
+
+
 # Pieces.
 
 
