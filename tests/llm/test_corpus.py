@@ -741,6 +741,12 @@ def test_votes_of_images_make_no_rows(spark, scenes):
     found = pa.Table.from_batches(media._compare(iter(block))).to_pylist()
     assert sorted((r["query"], r["image"]) for r in found) == [(i, j) for i in range(12) for j in range(12)]
     assert {(r["corners"], r["steps"]) for r in found} == {(block[0].num_rows / 12, 0)}
+    voted, best = [], media._best
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(media, "STEP_VOTES", 10)
+        patch.setattr(media, "_best", lambda *c: voted.append(len(c[0])) or best(*c))
+        assert pa.Table.from_batches(media._compare(iter(block))).sort_by([("query", "ascending"), ("image", "ascending")]).to_pylist() == sorted(found, key=lambda r: (r["query"], r["image"]))
+    assert len(voted) == 144
     met = spark.createDataFrame([(1, 2, 3, 4)], "query long, image long, asked long, spot long")
     assert "Generate" not in media.places(met)._jdf.queryExecution().toString()
 
