@@ -777,6 +777,61 @@ def test_few_corners_wait_for_the_others(scenes):
     assert 0 < sum(compared) < 0.9 * block[0].num_rows * block[1].num_rows
 
 
+def test_comparison_takes_few_large_steps(scenes):
+    """Steps are as large as what they hold allows, and smaller where much matches."""
+    rng = np.random.default_rng(5)
+    noisy = [np.clip(np.rint(scenes[k][:70, :70] + rng.normal(0, 4, (70, 70))), 0, 255) for k in range(12) for _ in range(3)]
+    block = [corner_batch(True, [p[4:, 7:] for p in noisy]), corner_batch(False, noisy)]
+    levels = len(np.unique(block[1].column("spot").to_numpy() >> 2 * media.PLACE + media.ANGLE))
+    compared, near = [], media._near
+
+    def counted(x, y):
+        compared.append((len(x[0]), len(y[0])))
+        return near(x, y)
+
+    def rows():
+        return pa.Table.from_batches(media._compare(iter(block))).sort_by([("query", "ascending"), ("image", "ascending")]).to_pylist()
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(media, "_near", counted)
+        want = rows()
+        assert len(want) >= 12 * 9 and len(compared) <= levels * (block[0].num_rows // 1024 + 1)
+        compared.clear()
+        patch.setattr(media, "STEP_MATCHES", 300)
+        assert rows() == want
+        assert all(a * b <= max(300, b) for a, b in compared)
+
+
+def test_near_descriptors_in_steps_of_any_size(monkeypatch):
+    rng = np.random.default_rng(7)
+    words = rng.integers(0, 1 << 63, (4, 1)).astype(np.uint64)
+    # Some bits of each word are turned over: distances around the limit.
+    x, y = ([w ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 63, (7, n)).astype(np.uint64)) for w in words] for n in (23, 101))
+    far = sum(np.bitwise_count(u[:, None] ^ v).astype(int) for u, v in zip(x, y, strict=True))
+    want = np.argwhere(far <= media.MOST_BITS).tolist()
+    assert 0 < len(want) < far.size
+    for pairs in (1, 101, 250, 1 << 16):
+        monkeypatch.setattr(media, "STEP_PAIRS", pairs)
+        assert np.stack(media._near(x, y), axis=1).tolist() == want
+
+
+def test_descriptors_are_as_defined(scenes, monkeypatch):
+    """Those of pictures described together are those of each, and each bit is a test of the smoothed patch."""
+    pictures = np.stack([np.rint(s[:60, :52]) for s in scenes[:5]]).astype(np.float32)
+    monkeypatch.setattr(media, "STEP_CORNERS", 7)
+    owner, spots, bits = media.descriptors(pictures)
+    for k, picture in enumerate(pictures):
+        _, own, tests = media.descriptors(picture[None])
+        assert np.array_equal(own, spots[owner == k]) and np.array_equal(tests, bits[owner == k])
+    smooth = [sum(np.pad(p, 1, mode="edge")[dy : dy + 60, dx : dx + 52] for dy in range(3) for dx in range(3)) for p in pictures]
+    for k, (x, y, angle, level), row in zip(owner, spots, bits, strict=True):
+        if level == 0:
+            turn = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
+            u, v = (np.rint(media._TESTS[:, i] @ turn.T).astype(int) for i in (0, 1))
+            a, b = (smooth[k][int(y) + t[:, 1], int(x) + t[:, 0]] for t in (u, v))
+            assert np.array_equal(np.unpackbits(row), a < b)
+
+
 # Pieces.
 
 
